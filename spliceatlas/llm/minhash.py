@@ -29,7 +29,7 @@ PERMUTATIONS = ROWS * BANDS // 2
 #: Signature values keep one bit each for a cheap comparison. A pair at the threshold differs in 7.2 of 96 bits on average
 #: (standard deviation 2.6); pairs that differ in more than this many are left out, eight deviations away.
 MOST_BITS = 28
-SMALL_BUCKET, BLOCK = 128, 256
+SMALL_BUCKET, BLOCK = 64, 256
 VERIFY_BYTES = 4 << 20
 _ODD = mix64(np.arange(101, 101 + PERMUTATIONS, dtype=U64)) | U64(1)
 _ROW = mix64(np.arange(501, 501 + ROWS, dtype=U64)) | U64(1)
