@@ -78,12 +78,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(texts: pa.Array) -> Words:
+def split_words(texts: pa.Array, separators: np.ndarray = _SPACE) -> Words:
+    """separators: for each byte, whether it lies between words."""
     data, offsets = buffers(texts)
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(offsets), np.int64))
-    solid = ~_SPACE[data]
+    solid = ~separators[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     edge = offsets[:-1][offsets[:-1] < len(data)]
