@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, substring, toxicity
+from . import ann, bpe, minhash, packing, pii, secret_scan, substring, topk, toxicity, warc
+from ._spans import counted, joined
+from ._store import Scratch
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,6 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _digested(found: DataFrame, kinds: list[str], base_kinds: list[str]) -> DataFrame:
+    spans = F.col("spans")
+    base = F.sha2(joined(kinds, spans, True).cast("binary"), 256)
+    return found.select("doc_id", *[counted(spans, k).alias(f"n_{k}") for k in base_kinds], base.alias("base_sha256"), joined(kinds, spans, False).alias("spans"))
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark).path}/archives"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_captures(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return _digested(found, pii.KINDS, pii.KINDS)
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -37,6 +64,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return _digested(found, secret_scan.KINDS, secret_scan.KINDS[:3])
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
