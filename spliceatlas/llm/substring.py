@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,20 +122,32 @@ def _texts(table: pa.Table, column: str):
             yield part
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs, all columns, with repeated words cut from the texts as remove_repeats finds them. A text that loses words becomes its
+    remaining words joined by one space; the others stay verbatim. length_col, if there is one, follows the text."""
+    rest = [c for c in docs.columns if c != text_col]
+    found = remove_repeats(docs, window, id_col, text_col, carry=F.struct(*[F.col(c) for c in rest]))
+    out = found.select(*[F.col("carried")[c].alias(c) for c in rest], F.col("kept").alias(text_col)).select(*docs.columns)
+    if length_col in docs.columns:
+        out = out.select(*[F.coalesce(F.length(text_col).cast(docs.schema[length_col].dataType), F.col(c)).alias(c) if c == length_col else c for c in docs.columns])
+    return out
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", carry=None) -> DataFrame:
     """Words covered by a window of `window` words whose sequence also starts elsewhere in docs are removed.
 
     Returns id_col, n_words, n_removed, kept (remaining words joined by one space) and repeats (array of start, end word
     offsets of the maximal repeats, end exclusive), one row per input row. Null and blank texts have no words and an
     empty kept text; texts shorter than a window lose nothing. Repeated rows, equal ids included, are texts of their own, so
     their long passages repeat. A null id stays null. Other columns are ignored. An empty table gives an empty result.
-    Words are compared by 64-bit hashes of their bytes and windows by hashes of those.
+    Words are compared by 64-bit hashes of their bytes and windows by hashes of those. With carry, a column to take
+    along, the result is that column as `carried` and the text as `kept`, verbatim where nothing was removed.
     """
-    spark = session_of(docs)
+    spark, carried = session_of(docs), carry is not None
     least = 2 * shuffle_partitions(spark)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = docs.select((F.col(id_col) if carry is None else carry).alias("id"), F.col(id_col).alias("route"), F.col(text_col).alias("text"))
     groups, buckets = parts_for(slim, GROUP_BYTES, least), parts_for(slim, BUCKET_BYTES, shuffle_partitions(spark))
-    texts = slim.select(F.pmod(F.xxhash64("id", F.length("text"), F.substring("text", 1, 64)), F.lit(groups)).cast("int").alias("gid"), "id", "text")
+    texts = slim.select(F.pmod(F.xxhash64("route", F.length("text")), F.lit(groups)).cast("int").alias("gid"), "id", "text")
 
     def probe(table: pa.Table) -> pa.Table:
         gid, routes, blocks = table["gid"][0].as_py(), [], []
@@ -172,16 +185,18 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 gone[at] += 1
                 gone[at + window] -= 1
             gone = np.cumsum(gone)[:-1] > 0
-            out.append(_result(part["id"], runs.words, gone))
-        return pa.concat_tables(out) if out else _result(pa.array([], table["id"].type), split_words(pa.array([], pa.string())), np.zeros(0, bool))
+            made = _result(part["id"], runs.words, gone)
+            out.append(pa.table({"carried": part["id"], "kept": pc.if_else(pc.greater(made["n_removed"], 0), made["kept"], part["text"].cast(pa.string()))}) if carried else made)
+        return pa.concat_tables(out)
 
     id_type = slim.schema["id"].dataType.simpleString()
     probes = texts.groupBy("gid").applyInArrow(probe, PACKED)
     anchors = probes.groupBy("bucket").applyInArrow(lambda t: _repeated(t, True), PACKED)
     extended = texts.groupBy("gid").cogroup(anchors.groupBy("gid")).applyInArrow(extend, PACKED)
     repeats = extended.groupBy("bucket").applyInArrow(lambda t: _repeated(t, False), PACKED)
-    result = texts.groupBy("gid").cogroup(repeats.groupBy("gid")).applyInArrow(finish, f"id {id_type}, n_words bigint, n_removed bigint, kept string, repeats array<struct<start:bigint,end:bigint>>")
-    return result.withColumnRenamed("id", id_col)
+    shape = f"id {id_type}, n_words bigint, n_removed bigint, kept string, repeats array<struct<start:bigint,end:bigint>>" if not carried else f"carried {id_type}, kept string"
+    result = texts.groupBy("gid").cogroup(repeats.groupBy("gid")).applyInArrow(finish, shape)
+    return result if carried else result.withColumnRenamed("id", id_col)
 
 
 def _result(ids: pa.Array, words: Words, gone: np.ndarray) -> pa.Table:
