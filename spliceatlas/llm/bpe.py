@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ..shipping import session_of
 from ._text import buffers, ragged, slices, split_words
 
-SLICE = 6 << 20
+#: Bytes of text whose distinct chunks are merged at once, and that are split into chunks at once.
+GROUP, SLICE = 14 << 20, 4 << 20
 SLOT_BITS = 20
 #: Unicode White_Space, as \s means it in the tokenizers' pattern language.
 WHITE = "\\u0009-\\u000D\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -92,7 +93,7 @@ class Vocabulary:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 for none."""
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         slot = self._slot(key)
         rank = np.where(self.slot_key[slot] == key, self.slot_rank[slot], -1)
         again = np.flatnonzero(self.crowded[slot] & (rank < 0))
@@ -109,8 +110,8 @@ class Vocabulary:
     def merge(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Applies all merges to pieces that end (exclusive) at `ends`. Returns the ids left and where each stood."""
         n = len(symbols)
-        sym = np.r_[symbols.astype(np.int64), -1]
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        sym = np.append(symbols.astype(np.int32), np.int32(-1))
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1] = n
         before[np.r_[0, ends[:-1]]] = n
         after[n] = before[n] = n
@@ -135,8 +136,7 @@ class Vocabulary:
                     index[r] = [at[edges[k] : edges[k + 1]]]
                     heapq.heappush(heap, r)
 
-        start = np.arange(n)
-        add(start[after[:n] < n])
+        add(np.flatnonzero(after[:n] < n).astype(np.int32))
         fresh = np.zeros(n + 1, bool)
         while heap:
             rank = heapq.heappop(heap)
@@ -279,21 +279,23 @@ def _encode_chunks(chunks: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.
 
 def encode_batch(texts: pa.Array, vocab: Vocabulary):
     """Yields (lo, hi, ids, first): ids of the texts lo..hi, text k of them at ids[first[k] : first[k + 1]]."""
-    coded, spans, lo = [], [], 0
-    for part in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t", SLICE):
-        chunks, first = _chunks(part.column(0), vocab)
-        coded.append(chunks.dictionary_encode())
-        spans.append((lo, lo + part.num_rows, first))
-        lo += part.num_rows
-    if not coded:
-        return
-    whole = pa.chunked_array(coded).unify_dictionaries()
-    ids, at, size = _encode_chunks(whole.chunk(0).dictionary, vocab)
-    ids = ids.astype(np.int32)
-    for k, (lo, hi, first) in enumerate(spans):
-        codes = whole.chunk(k).indices.to_numpy()
-        sizes = size[codes]
-        yield lo, hi, ragged(ids, at[codes], sizes), np.r_[0, np.cumsum(sizes)][first]
+    lo = 0
+    for group in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t", GROUP):
+        coded, spans = [], []
+        for part in slices(group, "t", SLICE):
+            chunks, first = _chunks(part.column(0), vocab)
+            coded.append(chunks.dictionary_encode())
+            spans.append((lo, lo + part.num_rows, first))
+            lo += part.num_rows
+            del chunks
+        whole = pa.chunked_array(coded).unify_dictionaries()
+        del coded
+        ids, at, size = _encode_chunks(whole.chunk(0).dictionary, vocab)
+        ids = ids.astype(np.int32)
+        for k, (begin, end, first) in enumerate(spans):
+            codes = whole.chunk(k).indices.to_numpy()
+            sizes = size[codes]
+            yield begin, end, ragged(ids, at[codes], sizes), np.r_[0, np.cumsum(sizes)][first]
 
 
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
