@@ -47,10 +47,10 @@ def measured(events: DataFrame, event: Event, analysis: str) -> DataFrame:
         "line",
         F.array_join(F.slice(f, 4, width), ":").alias("key"),
         F.slice(f, 4, 2 + event.coordinates).alias("coords"),
-        number(F.element_at(f, -4)).alias("fdr"),
-        number(F.element_at(f, -1)).alias("delta"),
-        mean_of_list(F.element_at(f, -3)).alias("psi1"),
-        mean_of_list(F.element_at(f, -2)).alias("psi2"),
+        number(F.try_element_at(f, F.lit(-4))).alias("fdr"),
+        number(F.try_element_at(f, F.lit(-1))).alias("delta"),
+        mean_of_list(F.try_element_at(f, F.lit(-3))).alias("psi1"),
+        mean_of_list(F.try_element_at(f, F.lit(-2))).alias("psi2"),
     )
 
 

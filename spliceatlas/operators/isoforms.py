@@ -89,6 +89,6 @@ def exon_sets(rows: DataFrame, cuts: Cuts = EXON_SET_CUTS, least_fpkm: float = L
         "line",
         F.array_join(F.slice(f, 4, 4), ":").alias("key"),
         F.slice(f, 2, 10).alias("cols"),
-        class_of(number(f[19]), number(f[22]), mean_of_list(f[20], 0.0), mean_of_list(f[21], 0.0), cuts, F.least(number(F.element_at(f, -6)), number(F.element_at(f, -5))) > least_fpkm).alias("set"),
+        class_of(number(F.get(f, F.lit(19))), number(F.get(f, F.lit(22))), mean_of_list(F.get(f, F.lit(20)), 0.0), mean_of_list(F.get(f, F.lit(21)), 0.0), cuts, F.least(number(F.try_element_at(f, F.lit(-6))), number(F.try_element_at(f, F.lit(-5)))) > least_fpkm).alias("set"),
     )
     return exclusive(last_wins(table.where(F.col("set").isNotNull()), ["set", "key"], "cols", "line"), "key", "set")

@@ -59,9 +59,10 @@ def classify_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select l_partkey, l_suppkey, arg_max(l_extendedprice, n) as last_price, min(n) as first_place from (
-  select *, l_orderkey * 10 + l_linenumber as n from lineitem where l_orderkey is not null) group by all""")
+  select *, (l_orderkey * 10 + l_linenumber) * 1000000000 + cast(round(l_extendedprice * 100) as bigint) as n from lineitem) group by all""")
 def last_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _t(spark, sf_dir, "lineitem").withColumn("n", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    place = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000_000 + F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    li = _t(spark, sf_dir, "lineitem").withColumn("n", place)
     return K.last_wins(li, ["l_partkey", "l_suppkey"], "l_extendedprice", "n").select("l_partkey", "l_suppkey", F.col("l_extendedprice").alias("last_price"), F.col("first").alias("first_place"))
 
 
@@ -188,14 +189,14 @@ def mean_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with dna as (select doc_id, upper(regexp_replace(text, '[^acgtnACGTN]', '', 'g')) as s from documents),
-r as (select doc_id, s, 10 as a, 50 as b from dna where length(s) > 0 union all select doc_id, s, length(s) - 20, length(s) + 20 from dna where length(s) >= 20)
-select doc_id, a as start, b as "end", rpad(case when doc_id % 2 = 1 then reverse(translate(substring(s, a + 1, b - a), 'ACGTN', 'TGCAN')) else substring(s, a + 1, b - a) end, cast(b - a as int), 'N') as seq from r""")
+r as (select doc_id, s, 0 as part, 10 as a, 50 as b from dna where length(s) > 0 union all select doc_id, s, 1, length(s) - 20, length(s) + 20 from dna where length(s) >= 20)
+select doc_id, part, a as start, b as "end", rpad(case when doc_id % 2 = 1 then reverse(translate(substring(s, a + 1, b - a), 'ACGTN', 'TGCAN')) else substring(s, a + 1, b - a) end, cast(b - a as int), 'N') as seq from r""")
 def region_slice_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     dna = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chrom"), F.lit(0).cast("bigint").alias("at"), F.upper(F.regexp_replace("text", "[^acgtnACGTN]", "")).alias("seq")).where(F.length("seq") > 0)
     n = F.length("seq").cast("bigint")
     ends = F.array(F.struct(F.lit(10).cast("bigint").alias("start"), F.lit(50).cast("bigint").alias("end")), F.struct((n - 20).alias("start"), (n + 20).alias("end")))
-    regions = dna.select(F.col("chrom").alias("chr"), F.explode(F.when(n >= 20, ends).otherwise(F.slice(ends, 1, 1))).alias("r")).select("chr", "r.start", "r.end", (F.col("chr").cast("bigint") % 2 == 1).alias("reverse"))
-    return genome.slices(regions, genome.chunked(dna)).select(F.col("chr").cast("bigint").alias("doc_id"), "start", "end", "seq")
+    regions = dna.select(F.col("chrom").alias("chr"), F.posexplode(F.when(n >= 20, ends).otherwise(F.slice(ends, 1, 1))).alias("part", "r")).select("chr", "part", "r.start", "r.end", (F.col("chr").cast("bigint") % 2 == 1).alias("reverse"))
+    return genome.slices(regions, genome.chunked(dna)).select(F.col("chr").cast("bigint").alias("doc_id"), "part", "start", "end", "seq")
 
 
 @query("""with c as (select p_type, p_size, sum(case when l_returnflag = 'R' then 1 else 0 end) as a, sum(case when l_returnflag <> 'R' then 1 else 0 end) as b from lineitem join part on l_partkey = p_partkey group by all),

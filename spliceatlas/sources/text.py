@@ -36,7 +36,7 @@ def read_coordinates(spark: SparkSession, paths: dict[str, str], event: Event) -
     """grp, line, chr, strand, c2..: coordinate sets of the groups up, dn and bg."""
     parts = [fields(lines(spark, paths[g])).withColumn("grp", F.lit(g)) for g in GROUPS]
     df = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return df.where(F.size("f") >= 2 + event.coordinates).select("grp", "line", F.col("f")[0].alias("chr"), F.col("f")[1].alias("strand"), *[F.col("f")[k].cast("bigint").alias(f"c{k}") for k in range(2, 2 + event.coordinates)])
+    return df.where(F.size("f") >= 2 + event.coordinates).select("grp", "line", F.get("f", F.lit(0)).alias("chr"), F.get("f", F.lit(1)).alias("strand"), *[F.get("f", F.lit(k)).cast("bigint").alias(f"c{k}") for k in range(2, 2 + event.coordinates)])
 
 
 def read_peaks(spark: SparkSession, path: str) -> DataFrame:
@@ -44,12 +44,12 @@ def read_peaks(spark: SparkSession, path: str) -> DataFrame:
     df = lines(spark, path, header=False).where(~F.col("value").startswith("#"))
     f = F.split(stripped(F.col("value")), "\t", -1)
     df = df.select("line", F.when(F.size(f) >= 6, f).otherwise(F.raise_error(F.concat(F.lit("not a BED row of six columns: "), F.col("value")))).alias("f"))
-    return df.select(F.col("f")[0].alias("chr"), (F.col("f")[1].cast("bigint") + 1).alias("p_start"), F.col("f")[2].cast("bigint").alias("p_end"), F.col("f")[4].cast("double").cast("bigint").alias("height"), "line")
+    return df.select(F.get("f", F.lit(0)).alias("chr"), (F.get("f", F.lit(1)).cast("bigint") + 1).alias("p_start"), F.get("f", F.lit(2)).cast("bigint").alias("p_end"), F.get("f", F.lit(4)).cast("double").cast("bigint").alias("height"), "line")
 
 
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
     """motif, regex: named regular expressions, each pair once."""
-    return fields(lines(spark, path)).where(F.size("f") >= 2).select(F.col("f")[0].alias("motif"), F.col("f")[1].alias("regex")).distinct()
+    return fields(lines(spark, path)).where(F.size("f") >= 2).select(F.get("f", F.lit(0)).alias("motif"), F.get("f", F.lit(1)).alias("regex")).distinct()
 
 
 def read_isoforms(spark: SparkSession, path: str) -> DataFrame:
