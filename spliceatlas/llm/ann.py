@@ -23,7 +23,7 @@ from ._vectors import best, matrix, usable
 ORDERINGS, DIMENSIONS, BITS = 8, 8, 6
 #: Rows on either side of a query in each ordering: this share of all rows, and at least LEAST_WINDOW.
 WINDOW_SHARE, LEAST_WINDOW = 0.085, 256
-BLOCK, STRIP = 2048, 256
+BLOCK, STRIP = 8192, 256
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -121,14 +121,18 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, seed: int = 7, id_
                 scores = qm[lo:hi] @ cm.T
                 scores[(np.abs(qr[lo:hi, None] - cr[None, :]) > window) | (qi[lo:hi, None] == ci[None, :])] = -np.inf
                 row, column = best(scores, ci, k)
-                out.append((qi[lo + row], ci[column], (qm[lo + row] * cm[column]).sum(1)))
-        found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
-
-    found = left.groupBy("o", "b").cogroup(right.groupBy("o", "b")).applyInArrow(visit, "query_id bigint, vec_id bigint, score double")
-    # every list is short: k for each block and ordering
-    merged = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return merged.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                exact = (qm[lo + row] * cm[column]).sum(1)
+                out.append((qi[lo:hi], np.bincount(row, minlength=len(scores)), -exact, ci[column]))
+        asked_, sizes, minus, near = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        tops = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(minus), pa.array(near)], ["m", "i"]))
+        return pa.table({"query_id": asked_, "o": pa.array(np.full(len(asked_), key[0].as_py(), np.int32)), "top": tops})
+
+    # one short list for each query and block; larger scores first, then smaller ids
+    tops = left.groupBy("o", "b").cogroup(right.groupBy("o", "b")).applyInArrow(visit, "query_id bigint, o int, top array<struct<m:double,i:bigint>>")
+    for by in (["query_id", "o"], ["query_id"]):
+        tops = tops.groupBy(*by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("top")))), 1, k).alias("top"))
+    out = tops.select("query_id", F.posexplode("top").alias("p", "t"))
+    return out.select("query_id", (F.col("p") + 1).alias("rank"), F.col("t.i").alias("vec_id"), (0 - F.col("t.m")).alias("score"))
 
 
 def _all_float(df: DataFrame, column: str) -> bool:
