@@ -12,7 +12,7 @@ from . import __version__
 from .functions import stats
 from .operators.classify import CLIP_A5SS_CUTS, CLIP_CUTS, MOTIF_CUTS, Cuts
 from .operators.isoforms import convert, exon_sets, header
-from .operators.motif import Shape
+from .operators.motif import Shape, sequences
 from .plans import maps
 from .sources import genome, sinks, text
 from .specs import EVENTS, event
@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     motif.add_argument("--known-motifs", required=True)
     motif.add_argument("--motifs", default=maps.MISSING)
     motif.add_argument("--fasta", required=True)
+    motif.add_argument("--keep-tables", action="store_true", help="also write counts, p-values and sequences of all positions")
     clip = commands.add_parser("clip-map", help="sum peak heights around splice sites")
     _inputs(clip, 10)
     clip.add_argument("--peak", required=True)
@@ -80,13 +81,18 @@ def main(argv: list[str] | None = None) -> int:
         analysis = "motif" if args.command == "motif-map" else "clip"
         kind = event(args.event)
         coords = maps.load_coordinates(spark, kind, analysis, events=args.events, isoforms=args.isoforms, up=args.up, dn=args.down, bg=args.background, cuts=cuts_of(args, analysis))
+        maps.write_coordinates(coords, kind, args.output)
         shape = Shape(args.exon, args.intron, args.window, args.step)
         how = {"method": args.stat_method, "permutations": args.stat_permutations, "seed": args.stat_seed}
         if analysis == "motif":
             motifs = text.read_motifs(spark, args.known_motifs)
             if maps.given(args.motifs):
                 motifs = motifs.union(text.read_motifs(spark, args.motifs)).distinct()
-            maps.write_motif_map(maps.motif_map(coords, genome.read_fasta(spark, args.fasta), motifs, kind.name, shape, **how), args.output)
+            sequence = genome.read_fasta(spark, args.fasta)
+            result = maps.motif_map(coords, sequence, motifs, kind.name, shape, **how)
+            maps.write_motif_map(result, args.output, args.stat_method, args.keep_tables)
+            if args.keep_tables:
+                sinks.write_fasta(sequences(coords, sequence, kind, shape).drop("reverse"), f"{args.output}/fasta")
         else:
             result = maps.clip_map(coords, text.read_peaks(spark, args.peak), kind.name, shape, **how)
             maps.write_clip_map(result, args.output, stats.method_name(args.stat_method))

@@ -122,13 +122,31 @@ def clip_map(coords: DataFrame, peaks: DataFrame, event_name: str, shape: Shape
     return Map(kind, sizes, counts, cells, _tested(counts, cells, [], sizes, method, True, shape.window, permutations, seed, "total"), [], "total")
 
 
-def write_motif_map(result: Map, out: str) -> None:
+def write_coordinates(coords: DataFrame, kind: Event, out: str) -> None:
+    """exon/{up,dn,bg}.coord.txt, in order, as coordinate replay reads them."""
+    from ..operators.isoforms import header
     from ..sources.sinks import write_report
 
-    label = stats.HEADERS["fisher"]
+    names = [c for c in coords.columns if c not in ("grp", "exon_idx")]
+    titles = header(kind)[3 : 5 + kind.coordinates]
+    for g in GROUPS:
+        rows = coords.where(F.col("grp") == g).orderBy("exon_idx")
+        write_report(rows.select(*[F.col(c).alias(t) for c, t in zip(names, titles, strict=True)]), f"{out}/exon/{g}.coord.txt")
+
+
+def write_motif_map(result: Map, out: str, method: str = "fisher", tables: bool = False) -> None:
+    """Summaries of smallest p-values and draw points; with tables also count distributions and p-values of all motifs, as folders."""
+    from ..sources.sinks import write_report, write_table
+
+    label = stats.HEADERS[stats.method_name(method)]
     for g in CONTRASTS:
         write_report(result.min_p(g), f"{out}/pVal.{g}.vs.bg.RNAmap.txt")
-    write_report(result.labelled(result.points()).orderBy(*result.keys, "region", "pos").withColumnRenamed("p_up", f"up.{label}"), f"{out}/points.txt")
+    write_report(result.labelled(result.points()).orderBy(*result.keys, "region", "pos"), f"{out}/points.txt")
+    if tables:
+        for g in GROUPS:
+            write_table(result.labelled(result.values(g)), f"{out}/countDist.{g}")
+        for g in CONTRASTS:
+            write_table(result.labelled(result.tested).select(*result.keys, F.col("region").alias("Region"), F.col("pos").alias("position"), F.col(f"p_{g}").alias(label)), f"{out}/pVal.{g}.vs.bg")
 
 
 def write_clip_map(result: Map, out: str, method: str = "fisher") -> None:

@@ -113,7 +113,10 @@ def test_command_line(spark, files, tmp_path):
     assert {"upregulated.RNAmap.txt", "combined.RNAmap.txt", "count.dist.background.RNAmap.txt", "pVal.up.vs.bg.RNAmap.txt"} <= names
     head = (tmp_path / "c/pVal.up.vs.bg.RNAmap.txt").read_text().split("\n")
     assert head[0] == f"Region\tposition\t{stats.HEADERS['fisher']}" and head[1].startswith("UpstreamExon_3prime\t0\t")
-    assert cli.main(["motif-map", "se", "--events", str(files / "events.txt"), "--known-motifs", str(files / "motifs.txt"), "--fasta", str(files / "genome.fa"), "--output", str(tmp_path / "m"), "--exon", "10", "--intron", "10", "--window", "5"]) == 0
+    assert cli.main(["motif-map", "se", "--events", str(files / "events.txt"), "--known-motifs", str(files / "motifs.txt"), "--fasta", str(files / "genome.fa"), "--output", str(tmp_path / "m"), "--exon", "10", "--intron", "10", "--window", "5", "--keep-tables"]) == 0
+    assert all(list((tmp_path / "m" / d).glob("part-*")) for d in ("countDist.up", "pVal.dn.vs.bg", "fasta"))
+    paths = {g: str(tmp_path / f"c/exon/{g}.coord.txt") for g in ("up", "dn", "bg")}
+    assert maps.load_coordinates(spark, EVENTS["SE"], "clip", **paths).groupBy("grp").count().count() == 3
     assert (tmp_path / "m/pVal.up.vs.bg.RNAmap.txt").read_text().startswith("RBP\tsmallest_p_in")
     iso = tmp_path / "iso.txt"
     iso.write_text("\t".join(["h"] * 18) + "\n" + "\t".join(["e", "0.3", "x", "x", "0.2", "x", "x", "0.1", "100", "c:11:20:+@c:31:40:+@c:51:60:+", "x", "0:1", "x", "1:2", "chr1", "+", "x", "x"]) + "\n")
