@@ -1,6 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words, pairs of neighbours and pairs that skip one or two words of a text, hashed into 2**20 slots. Training
+Features are the distinct words and their stems, pairs of neighbours and pairs that skip one or two words of a text, hashed
+into 2**20 slots. Training
 takes a bounded sample of labelled rows, the same for any order and partitioning of the input, in one task; FTRL keeps a
 learning rate for each coordinate and its L1 term leaves few weights, which are sent to all tasks with the
 scoring function (bounded by the number of slots).
@@ -8,18 +9,22 @@ scoring function (bounded by the number of slots).
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import session_of
-from ._text import U64, mix64, slices, split_words, window_starts, word_hashes
+from ._text import U64, Words, mix64, slices, split_words, window_starts, word_hashes
 
 SLOTS = 1 << 20
 #: Bound on the labelled rows that are learned from: those with the smallest hashes of their ids.
 TRAINING_ROWS = 16_000
 SKIPS = (1, 2, 3)
+#: Longer words also count by their first bytes, so that inflected forms share features.
+STEMS = (4, 5, 6, 7, 8)
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 1.0, 1.0, 8.0, 0.0
 #: Texts are split at anything in ASCII that is neither letter nor digit.
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -30,6 +35,13 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = split_words(texts, SEPARATORS)
     hashes, owner = word_hashes(words, lower=True), words.text_of
     slots, owners = [hashes], [owner]
+    length = words.end - words.start
+    for stem in STEMS:
+        long = np.flatnonzero(length > stem)
+        if len(long):
+            cut = Words(words.data, words.start[long], words.start[long] + stem, words.first)
+            slots.append(mix64(word_hashes(cut, lower=True) + U64(7)))
+            owners.append(owner[long])
     for skip in SKIPS:
         at = window_starts(words.counts, skip + 1)
         if len(at):
@@ -64,6 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(~held_out("id"))
     wanted = wanted.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(wanted), "id")
+    sample = sample.groupBy("id", "y").agg(F.min("text").alias("text"))  # an id counts once, so the bound holds
 
     def extract(batches):
         for batch in batches:
@@ -78,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             flat, at = batch["slots"].values.to_numpy(), batch["slots"].offsets.to_numpy()
             found += [(i, y, flat[a:b].copy()) for i, y, a, b in zip(batch["id"].to_pylist(), batch["y"].to_pylist(), at[:-1], at[1:], strict=True)]
-        found.sort(key=lambda r: (hash((r[0] * 2654435761) % (1 << 32)), r[0], len(r[2])))
+        found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0])))
         weights, bias = _fit([r[2] for r in found], np.array([r[1] for r in found], float))
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([weights[at].tolist()], pa.list_(pa.float64())), pa.array([float(bias)])], ["at", "w", "bias"])
