@@ -81,5 +81,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP1_SQL = """
+with p as (select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n from pages),
+d as (select page_id, n, sha1(h) as digest, max(page_id) over (partition by h) as largest from p)
+select page_id, n as payload_bytes, digest as payload_digest, case when n >= 1000 and page_id <> largest then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id <> largest then largest end as refers_to from d"""
+
+OP4_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.e, v.e) as bigint) as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
+select * from r where rank <= 10"""
+
+_WORDS_SQL = "regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]+')"
+
+OP6_SQL = f"""
+with d as (select doc_id, {_WORDS_SQL.format(text='text')} as w from documents),
+t as (select doc_id, len(w) as n, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+k as (select *, case when i + 34 <= n then string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 34 following) end as run from t),
+c as (select *, case when run is not null and count(*) over (partition by run) > 1 then 1 else 0 end as again from k),
+g as (select *, max(again) over (partition by doc_id order by i rows between 34 preceding and current row) as gone from c),
+o as (select doc_id, sum(gone) as removed, string_agg(word, ' ' order by i) filter (gone = 0) as kept from g group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join o using (doc_id)"""
+
+OP7_SQL = f"""
+with recursive d as (select doc_id, {_WORDS_SQL.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+t as (select doc_id, len(w) as n, unnest(w) as word, generate_subscripts(w, 1) as i from d where len(w) >= 3),
+s as (select distinct doc_id, sh from (select doc_id, word || ' ' || lead(word, 1) over p || ' ' || lead(word, 2) over p as sh from t window p as (partition by doc_id order by i)) where sh is not null
+  union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 2),
+z as (select doc_id, count(*) as n from s group by doc_id),
+links as (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as common from s x join s y on x.sh = y.sh and x.doc_id < y.doc_id group by all) p
+  join z za on za.doc_id = a join z zb on zb.doc_id = b where 100 * common >= 85 * (za.n + zb.n - common)),
+edges as (select a, b from links union select b, a from links),
+reach(doc_id, other) as (select a, b from edges union select r.doc_id, e.b from reach r join edges e on r.other = e.a),
+roots as (select doc_id, min(other) as root from reach group by doc_id)
+select d.doc_id, cast(coalesce(z.n, 0) as bigint) as n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) as component_id, least(d.doc_id, coalesce(root, d.doc_id)) = d.doc_id as kept
+from d left join z using (doc_id) left join roots using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators it can express. The others are tested against brute force, the tokenizers library or held-out rows."""
+    return {"op1_warc": OP1_SQL, "op4_topk": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_minhash": OP7_SQL}
