@@ -194,6 +194,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col:
     hubs = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("x")).where("size > 1").select("key", "size", F.col("x").bitwiseXOR(F.col("key")).alias("hub"))
     shared = scratch.save(members.join(hubs, "key"), "shared")
 
+    # Texts of candidates, once: the list of candidates grows with the corpus, so it is joined by a shuffle at every size.
+    candidates = shared.select("id").distinct()
+    docs = scratch.save(docs.join(candidates.hint("merge"), "id"), "texts")
+
     stars = shared.where("id <> hub").select("id", "n", "e0", "e1", F.col("hub").alias("b")).distinct().join(brief, "b").where(_similar(percent)).select(F.col("b").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirm(docs, stars, width, percent, scratch, "stars")
     first = scratch.save(components(links, scratch, "first"), "first")
