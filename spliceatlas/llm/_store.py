@@ -32,6 +32,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later result reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate: a partitioning hint only, results never depend on it."""

@@ -31,6 +31,8 @@ PERMUTATIONS = ROWS * BANDS // 2
 MOST_BITS = 28
 SMALL_BUCKET, BLOCK = 64, 256
 VERIFY_BYTES = 4 << 20
+#: Pairs of one hub that are confirmed together.
+HUB_PAIRS = 256
 _ODD = mix64(np.arange(101, 101 + PERMUTATIONS, dtype=U64)) | U64(1)
 _ROW = mix64(np.arange(501, 501 + ROWS, dtype=U64)) | U64(1)
 SIGNATURES = "id bigint, n bigint, fp bigint, fp2 bigint, bands array<bigint>, e0 bigint, e1 bigint"
@@ -98,7 +100,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratc
     total = pairs.count()
     groups = max(1, total * 2 * 4096 // VERIFY_BYTES, min(total, 2 * shuffle_partitions(scratch.spark)))
     sizes = pairs.groupBy("a").agg(F.count("*").alias("c"))
-    dealt = scratch.save(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("a", F.when(F.col("c") > 1024, F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / 1024)))), F.lit(groups)).cast("int").alias("g")), f"{name}-dealt")
+    dealt = scratch.save(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("a", F.when(F.col("c") > HUB_PAIRS, F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / HUB_PAIRS)))), F.lit(groups)).cast("int").alias("g")), f"{name}-dealt")
     wanted = scratch.save(dealt.select("g", F.col("a").alias("id")).union(dealt.select("g", "b")).distinct(), f"{name}-wanted")
     texts = docs.join(wanted, "id").select("g", "id", "text")
 
@@ -230,6 +232,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_col:
     # rows of one id and several texts are one document
     tops = nodes.select("fp", "fp2", F.col("id").alias("node")).join(roots, "node", "left").select("fp", "fp2", F.coalesce("root", "node").alias("top"))
     tops = scratch.save(tops, "tops")
+    # the result reads signed and tops only
+    scratch.drop("nodes", "shared", "texts", "first", "placed", "open", "cut", "blocks", "seats", "tiled", "roots", *(f"{a}-{b}" for a in ("stars", "small") for b in ("pairs", "dealt", "wanted", "links")))
     found = signed.select("id", "n", "fp", "fp2").join(tops, ["fp", "fp2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("top", "id")).otherwise(F.col("id")).alias("top"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("top")).alias("component_id"), F.coalesce(F.col("id") == F.col("top"), F.lit(True)).alias("kept"))
 
