@@ -33,6 +33,7 @@ def _inputs(parser: argparse.ArgumentParser, window: int) -> None:
     parser.add_argument("--stat-method", default="fisher")
     parser.add_argument("--stat-permutations", type=int)
     parser.add_argument("--stat-seed", type=int)
+    parser.add_argument("--plots", action="store_true", help="also draw the maps as SVG")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -90,12 +91,12 @@ def main(argv: list[str] | None = None) -> int:
                 motifs = motifs.union(text.read_motifs(spark, args.motifs)).distinct()
             sequence = genome.read_fasta(spark, args.fasta)
             result = maps.motif_map(coords, sequence, motifs, kind.name, shape, **how)
-            maps.write_motif_map(result, args.output, args.stat_method, args.keep_tables)
+            maps.write_motif_map(result, args.output, args.stat_method, args.keep_tables, args.plots)
             if args.keep_tables:
                 sinks.write_fasta(sequences(coords, sequence, kind, shape).drop("reverse"), f"{args.output}/fasta")
         else:
             result = maps.clip_map(coords, text.read_peaks(spark, args.peak), kind.name, shape, **how)
-            maps.write_clip_map(result, args.output, stats.method_name(args.stat_method))
+            maps.write_clip_map(result, args.output, stats.method_name(args.stat_method), args.plots)
     elif args.command == "convert":
         kind = event(args.event)
         rows = convert(text.read_isoforms(spark, args.input), kind, args.bayes_low, args.bayes_high)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,14 +135,21 @@ def write_coordinates(coords: DataFrame, kind: Event, out: str) -> None:
         write_report(rows.select(*[F.col(c).alias(t) for c, t in zip(names, titles, strict=True)]), f"{out}/exon/{g}.coord.txt")
 
 
-def write_motif_map(result: Map, out: str, method: str = "fisher", tables: bool = False) -> None:
-    """Summaries of smallest p-values and draw points; with tables also count distributions and p-values of all motifs, as folders."""
-    from ..sources.sinks import write_report, write_table
+def write_motif_map(result: Map, out: str, method: str = "fisher", tables: bool = False, plot: bool = False) -> None:
+    """Summaries of smallest p-values and draw points; with tables also count distributions and p-values of all motifs, as folders;
+    with plot also a map of each motif as an SVG file."""
+    from ..sources.sinks import write_report, write_svg, write_table
 
     label = stats.HEADERS[stats.method_name(method)]
     for g in CONTRASTS:
         write_report(result.min_p(g), f"{out}/pVal.{g}.vs.bg.RNAmap.txt")
     write_report(result.labelled(result.points()).orderBy(*result.keys, "region", "pos"), f"{out}/points.txt")
+    if plot:
+        points = result.points().persist()
+        for r in points.select(*result.keys).distinct().collect():  # a row for each motif
+            own = points.where((F.col("motif") == r["motif"]) & (F.col("regex") == r["regex"]))
+            write_svg(own, f"{out}/maps/{result.event.name}.{re.sub('[^A-Za-z0-9.-]', '_', r['motif'] + '.' + r['regex'])}.svg", result.event.labels, f"{r['motif']} {r['regex']}")
+        points.unpersist()
     if tables:
         for g in GROUPS:
             write_table(result.labelled(result.values(g)), f"{out}/countDist.{g}")
@@ -149,8 +157,9 @@ def write_motif_map(result: Map, out: str, method: str = "fisher", tables: bool
             write_table(result.labelled(result.tested).select(*result.keys, F.col("region").alias("Region"), F.col("pos").alias("position"), F.col(f"p_{g}").alias(label)), f"{out}/pVal.{g}.vs.bg")
 
 
-def write_clip_map(result: Map, out: str, method: str = "fisher") -> None:
-    from ..sources.sinks import write_report
+def write_clip_map(result: Map, out: str, method: str = "fisher", plot: bool = False) -> None:
+    """Counts, combined counts, distributions and p-values; with plot also the map as an SVG file."""
+    from ..sources.sinks import write_report, write_svg
 
     label = stats.HEADERS[stats.method_name(method)]
     rows = result.combined().orderBy("region", "pos")
@@ -162,3 +171,5 @@ def write_clip_map(result: Map, out: str, method: str = "fisher") -> None:
     write_report(result.labelled(rows).select(F.col("region").alias("Region"), F.col("pos").alias("Position"), *[F.col(g).alias(f"RawPeakCounts_{t}") for g, t in tails.items()], *[F.col(f"mean_{g}").alias(f"AverageRawPeakCount_{t}") for g, t in tails.items()]), f"{out}/combined.RNAmap.txt")
     for g in CONTRASTS:
         write_report(result.labelled(result.tested.orderBy("region", "pos")).select(F.col("region").alias("Region"), F.col("pos").alias("position"), F.col(f"p_{g}").alias(label)), f"{out}/pVal.{g}.vs.bg.RNAmap.txt")
+    if plot:
+        write_svg(result.combined(), f"{out}/{result.event.name}.RNA.map.svg", result.event.labels, f"{result.event.name} RNA map")

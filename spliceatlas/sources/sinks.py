@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pathlib import Path
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +30,18 @@ def write_fasta(seqs: DataFrame, path: str) -> None:
     seqs.select(F.concat(F.lit(">"), F.concat_ws(":", *[F.col(c).cast("string") for c in names]), F.lit("\n"), F.col("seq"))).write.mode("overwrite").text(path)
 
 
-def write_svg(points: DataFrame, path: str, region: int, title: str) -> None:
-    """A line plot of one region's mean scores by position: up red, down blue, background black."""
-    rows = points.where(F.col("region") == region).orderBy("pos").select("pos", "mean_up", "mean_dn", "mean_bg").collect()
-    top = max([1e-9, *(max(r[1:]) for r in rows)])
-    width, height = 600, 200
-    lines = []
-    for k, color in ((1, "red"), (2, "blue"), (3, "black")):
-        at = " ".join(f"{r[0] * width / max(len(rows) - 1, 1):.1f},{height - r[k] / top * height:.1f}" for r in rows)
-        lines.append(f'<polyline fill="none" stroke="{color}" points="{at}"/>')
-    Path(path).write_text(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height + 20}"><title>{title}</title>{"".join(lines)}</svg>\n', encoding="utf-8")
+def write_svg(points: DataFrame, path: str, labels: tuple[str, ...], title: str) -> None:
+    """One panel for each region with mean scores by position (up red, down blue, background black). points: region, pos, mean_up, mean_dn, mean_bg."""
+    rows = points.select("region", "pos", "mean_up", "mean_dn", "mean_bg").orderBy("region", "pos").collect()  # bounded: positions of one map
+    top, width, height = max([1e-9, *(max(r[2:]) for r in rows)]), 220, 160
+    panels = []
+    for k, label in enumerate(labels):
+        own = [r for r in rows if r["region"] == k]
+        lines = []
+        for column, color in (("mean_up", "red"), ("mean_dn", "blue"), ("mean_bg", "black")):
+            at = " ".join(f"{r['pos'] * (width - 20) / max(len(own) - 1, 1):.1f},{height - r[column] / top * height:.1f}" for r in own)
+            lines.append(f'<polyline fill="none" stroke="{color}" points="{at}"/>')
+        panels.append(f'<g transform="translate({10 + k * width},30)">{"".join(lines)}<text y="{height + 16}" font-size="10">{escape(label)}</text></g>')
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(f'<svg xmlns="http://www.w3.org/2000/svg" width="{20 + width * len(labels)}" height="{height + 60}"><text x="10" y="16">{escape(title)}</text>{"".join(panels)}</svg>\n', encoding="utf-8")

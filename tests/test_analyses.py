@@ -107,13 +107,15 @@ def test_motif_map(spark, files):
 
 
 def test_command_line(spark, files, tmp_path):
-    args = ["clip-map", "se", "--events", str(files / "events.txt"), "--peak", str(files / "peaks.bed"), "--output", str(tmp_path / "c"), "--exon", "20", "--intron", "30"]
+    args = ["clip-map", "se", "--events", str(files / "events.txt"), "--peak", str(files / "peaks.bed"), "--output", str(tmp_path / "c"), "--exon", "20", "--intron", "30", "--plots"]
     assert cli.main(args) == 0
+    assert (tmp_path / "c/SE.RNA.map.svg").read_text().count("<polyline") == 24
     names = {p.name for p in (tmp_path / "c").iterdir()}
     assert {"upregulated.RNAmap.txt", "combined.RNAmap.txt", "count.dist.background.RNAmap.txt", "pVal.up.vs.bg.RNAmap.txt"} <= names
     head = (tmp_path / "c/pVal.up.vs.bg.RNAmap.txt").read_text().split("\n")
     assert head[0] == f"Region\tposition\t{stats.HEADERS['fisher']}" and head[1].startswith("UpstreamExon_3prime\t0\t")
-    assert cli.main(["motif-map", "se", "--events", str(files / "events.txt"), "--known-motifs", str(files / "motifs.txt"), "--fasta", str(files / "genome.fa"), "--output", str(tmp_path / "m"), "--exon", "10", "--intron", "10", "--window", "5", "--keep-tables"]) == 0
+    assert cli.main(["motif-map", "se", "--events", str(files / "events.txt"), "--known-motifs", str(files / "motifs.txt"), "--fasta", str(files / "genome.fa"), "--output", str(tmp_path / "m"), "--exon", "10", "--intron", "10", "--window", "5", "--keep-tables", "--plots"]) == 0
+    assert len(list((tmp_path / "m/maps").glob("SE.m*.svg"))) == 2
     assert all(list((tmp_path / "m" / d).glob("part-*")) for d in ("countDist.up", "pVal.dn.vs.bg", "fasta"))
     paths = {g: str(tmp_path / f"c/exon/{g}.coord.txt") for g in ("up", "dn", "bg")}
     assert maps.load_coordinates(spark, EVENTS["SE"], "clip", **paths).groupBy("grp").count().count() == 3
