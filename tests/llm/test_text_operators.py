@@ -111,12 +111,12 @@ def components(texts, width=3, percent=85):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("small_bucket", [64, 2])
-def test_near_duplicates_match_brute_force(spark, corpus, small_bucket, monkeypatch):
+@pytest.mark.parametrize("small_bucket,width,percent", [(64, 3, 85), (2, 3, 85), (64, 5, 80)])
+def test_near_duplicates_match_brute_force(spark, corpus, small_bucket, width, percent, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", small_bucket)  # 2: larger buckets go by tiles
     monkeypatch.setattr(minhash, "BLOCK", 8 if small_bucket == 2 else minhash.BLOCK)
-    expected = components(corpus)
-    got = {r.doc_id: r for r in minhash.near_duplicates(docs_of(spark, corpus)).collect()}
+    expected = components(corpus, width, percent)
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs_of(spark, corpus), width, percent).collect()}
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == expected
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
