@@ -286,3 +286,30 @@ def test_event_lists():
         event("xx")
     loci = lambda clip, shape: [sum(n for _, n in motif.positions(e, shape, clip)) for e in EVENTS.values()]
     assert loci(False, Shape()) == [1200, 800, 800, 450, 1800] and loci(True, Shape(window=10)) == [1128, 728, 728, 405, 1692]
+
+
+def test_scaled_overlap(spark):
+    rnd, shape, kind = random.Random(12), Shape(20, 60, 10, 1), EVENTS["RI"]
+    exons = [("up", k, "c1", rnd.choice("+-"), 0, 0, 900, a := rnd.choice([1000, 9_900]) + k, a + rnd.randint(5, 300), 99_999) for k in range(20)]
+    coords = spark.createDataFrame(exons, "grp string, exon_idx bigint, chr string, strand string, " + ", ".join(f"c{2 + k} bigint" for k in range(6)))
+    peaks = [(f"c{rnd.choice('112')}", s := rnd.choice([990, 9_890]) + rnd.randint(0, 330), s + rnd.choice([0, 6, 40]), rnd.randint(1, 9), k) for k in range(80)]
+    table = spark.createDataFrame(peaks, "chr string, p_start bigint, p_end bigint, height bigint, line bigint")
+    got = {(r.exon_idx, r.pos): r.total for r in overlap.scaled_overlap(coords, table, kind, shape).collect()}
+    bins, expected = 51, {}
+    for _, k, _, strand, _, _, _, c5, c6, _ in exons:
+        totals = restated_scan(c5, c6 - c5 + 1, strand == "+", 10, 1, bins, [(a, b, h) for c, a, b, h, _ in peaks if c == "c1"])
+        expected |= {(k, p): v for p, v in enumerate(totals) if v}
+    assert got == expected
+
+
+def test_retained_introns_end_to_end(spark):
+    from spliceatlas.plans import maps
+
+    rnd = random.Random(5)
+    exons = [(g, k, "c1", rnd.choice("+-"), 0, 0, 500 + 40 * k, 600 + 40 * k, 760 + 40 * k, 900 + 40 * k) for k, g in enumerate(["up", "dn", "bg"] * 6)]
+    coords = spark.createDataFrame(exons, "grp string, exon_idx bigint, chr string, strand string, " + ", ".join(f"c{2 + k} bigint" for k in range(6)))
+    coords = coords.withColumn("c2", F.col("c4")).withColumn("c3", F.col("c7"))
+    peaks = spark.createDataFrame([("c1", s, s + 8, rnd.randint(1, 9), k) for k, s in enumerate(rnd.randint(450, 1700) for _ in range(150))], "chr string, p_start bigint, p_end bigint, height bigint, line bigint")
+    result = maps.clip_map(coords, peaks, "RI", Shape(20, 60, 10, 2))
+    rows = result.tested.collect()
+    assert len(rows) == 4 * 6 + 26 and {r.region for r in rows if r.up + r.dn + r.bg} == {0, 1, 2, 3, 4}
