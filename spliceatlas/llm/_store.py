@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
+#: Bytes of an Arrow batch that goes to a Python worker. Spark's default of 64 MB is held several times over, by worker and executor.
+BATCH_BYTES, DEFAULT_BATCH = 8 << 20, "67108864b"
 _OWN: dict[str, str] = {}
 
 
@@ -21,6 +25,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the package shipped and Arrow batches of bounded size (a setting of the user's stays)."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting) == DEFAULT_BATCH:
+        spark.conf.set(setting, str(BATCH_BYTES))
+    return ship(spark)
+
+
+def session_of(df: DataFrame) -> SparkSession:
+    """The prepared session of df: call it before handing Spark a Python function."""
+    return prepared(df.sparkSession)
+
+
 class Scratch:
     """Tables of one operator call. A written table cuts the lineage and is read again after an executor is lost."""
 

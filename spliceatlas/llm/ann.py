@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import session_of
-from ._store import Scratch, shuffle_partitions
+from ._store import Scratch, session_of, shuffle_partitions
 from ._vectors import best, matrix, usable
 
 ORDERINGS, DIMENSIONS, BITS = 8, 8, 6

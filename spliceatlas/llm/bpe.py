@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import session_of
-from ._text import buffers, ragged, slices, split_words
+from ._store import session_of
+from ._text import buffers, gathered, ragged, slices, split_words
 
 #: Bytes of text whose distinct chunks are merged at once, and that are split into chunks at once.
-GROUP, SLICE = 14 << 20, 4 << 20
+GROUP, SLICE = 16 << 20, 4 << 20
 SLOT_BITS = 20
 #: Unicode White_Space, as \s means it in the tokenizers' pattern language.
 WHITE = "\\u0009-\\u000D\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -308,7 +308,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         vocab = vocabulary(vocabulary_path)
-        for batch in batches:
+        for batch in gathered(batches, GROUP):
             for lo, hi, ids, first in encode_batch(batch["text"], vocab):
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], ["id", "ids"])
 
@@ -349,7 +349,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
 
     def run(batches):
         vocab = vocabulary(vocabulary_path)
-        for batch in batches:
+        for batch in gathered(batches, GROUP):
             for lo, hi, ids, first in encode_batch(batch["text"], vocab):
                 said, heard = [], []
                 size = vocab.decimal_size[ids]

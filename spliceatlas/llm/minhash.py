@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import session_of
 from ._graph import components
-from ._store import Scratch, shuffle_partitions
+from ._store import Scratch, session_of, shuffle_partitions
 from ._text import U64, mix64, rolling, slices, split_words, window_starts, word_hashes
 
 ROWS, BANDS = 4, 32

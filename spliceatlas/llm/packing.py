@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import session_of
-from ._store import Scratch, shuffle_partitions
-from .bpe import encode_batch, vocabulary
+from ._store import Scratch, session_of, shuffle_partitions
+from ._text import gathered
+from .bpe import GROUP, encode_batch, vocabulary
 
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 GROUP_ROWS = 100_000
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, end_id:
 
     def run(batches):
         vocab = vocabulary(vocabulary_path)
-        for batch in batches:
+        for batch in gathered(batches, GROUP):
             for lo, hi, ids, first in encode_batch(batch["text"], vocab):
                 raw, rows = ids.astype("<u4").tobytes(), []
                 for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):

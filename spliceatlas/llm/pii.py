@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import session_of
 from ._spans import SPANS, Taken
-from ._store import Scratch
+from ._store import Scratch, session_of
 from ._text import slices
 
 KINDS = ["email", "ip", "card", "phone"]

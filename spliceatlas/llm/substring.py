@@ -18,8 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import session_of
-from ._store import parts_for, shuffle_partitions
+from ._store import parts_for, session_of, shuffle_partitions
 from ._text import U64, Words, rolling, slices, split_words, window_starts, word_hashes
 
 GROUP_BYTES = 4 << 20

@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import session_of
-from ._store import Scratch
+from ._store import Scratch, session_of
 from ._vectors import best, matrix, usable
 
 QUERY_BLOCK, SHARD, STRIP, FAN = 2048, 4096, 256, 8

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import session_of
+from ._store import session_of
 from ._text import U64, Words, mix64, slices, split_words, window_starts, word_hashes
 
 SLOTS = 1 << 20

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ._store import prepared
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
@@ -109,7 +109,7 @@ def parse_archive(raw: bytes, payloads: bool):
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row for each record of the archives under path."""
-    ship(spark)
+    prepared(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
     schema = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("content_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("computed_digest", pa.string()), ("payload", pa.binary())])
 
