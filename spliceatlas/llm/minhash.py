@@ -28,7 +28,7 @@ PERMUTATIONS = ROWS * BANDS // 2
 #: Signature values keep one bit each for a cheap comparison. A pair at a threshold of 0.8 differs in 12.8 of 128 bits on average
 #: (standard deviation 3.4); pairs that differ in more than this many are left out, seven deviations away.
 MOST_BITS = 37
-SMALL_BUCKET, BLOCK = 64, 256
+SMALL_BUCKET, BLOCK = 64, 512
 VERIFY_BYTES = 4 << 20
 #: Pairs of one hub that are confirmed together.
 HUB_PAIRS = 256
