@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import functions as F
 
@@ -39,3 +39,12 @@ class Taken:
         """Whether start..end overlaps none of them."""
         k = bisect_left(self.starts, end)
         return k == 0 or self.ends[k - 1] <= start
+
+    def gaps(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The parts of start..end that none of them covers."""
+        out, k = [], bisect_right(self.ends, start)
+        while k < len(self.starts) and self.starts[k] < end:
+            if self.starts[k] > start:
+                out.append((start, self.starts[k]))
+            start, k = self.ends[k], k + 1
+        return [*out, (start, end)] if start < end else out

@@ -1,13 +1,17 @@
 """Secret scanning: patterns of known shapes, and novelty under dictionary-primed zstandard.
 
 A candidate is a long token shortly after a sensitive word. Its novelty is what it adds to the compressed size of the code around
-it, per byte, with a dictionary of that surrounding text and of common identifiers: names, paths and repeated values
-compress to nearly nothing, random keys do not. Candidates that stay incompressible are reported as `novel`.
+it, with a dictionary of that surrounding text and of common identifiers, over what its own characters add in random
+order: names, paths and repeated values compress to much less, random keys of any alphabet and length do not.
+Candidates that stay incompressible are reported as `novel`.
 """
 
 from __future__ import annotations
 
+import math
+import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -29,21 +33,31 @@ _KEYED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT = 256
 #: A level that finds matches of three bytes.
 LEVEL = 19
-#: Marginal compressed bytes for each byte of a candidate from which it counts as incompressible.
+#: Marginal compressed bytes of a candidate, over those of its own characters in random order, from which it counts as incompressible.
 NOVELTY = 0.85
+#: Order-0 entropy of a candidate below which its characters in another order are no yardstick, as in rulers; 16 random digits have about 46.
+LEAST_BITS = 32
 #: Identifiers and words that sensitive contexts are made of; the dictionary every context is compressed with.
 #: Fixed list, of bounded size.
 IDENTIFIERS = " ".join("/usr/local/lib/python3/site-packages/ /usr/bin/env /home/user/.config/ /etc/ssl/certs/ /var/lib/ /opt/share/include/ https://www.example.com/ access account admin api app application auth authorization aws base64 bearer build bucket cache client cloud code com commit config connection content credential data database date debug default deploy development dev document documentation endpoint env environment error example field file folder get github header host http https id image import index info input internal invalid item json key kubernetes lib license link list local localhost log login main manager message method module name network node null number object org output package page parameter password path placeholder port prefix private production profile project property provider public read refresh region registry release repository request required reset resource response role root sample scope secret server service session set settings source src stage staging standard status storage string system table tag target temp test token true type undefined update upload url user username usr utils value var variable version web www your_api_key_here your_token_here changeme abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789".split()).encode()
 
 
+def own_bits(token: str) -> float:
+    """Order-0 entropy of the whole token."""
+    return sum(c * math.log2(len(token) / c) for c in Counter(token).values())
+
+
 class Novelty:
-    """Marginal compressed size of a string within its surroundings."""
+    """Marginal compressed size of a string within its surroundings, over that of its characters in a fixed random order; 0 below LEAST_BITS."""
 
     def __call__(self, before: str, token: str, after: str) -> float:
+        if own_bits(token) < LEAST_BITS:
+            return 0.0
         around = (before + "\n" + after).encode(errors="replace")
         dictionary = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
-        return (len(press.compress(token.encode())) - len(press.compress(b""))) / len(token)
+        nothing, mixed = len(press.compress(b"")), "".join(random.Random(0).sample(token, len(token)))
+        return (len(press.compress(token.encode())) - nothing) / (len(press.compress(mixed.encode())) - nothing)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -58,7 +72,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty) -> list[tuple[int, int, float]]:
-    """Incompressible tokens in sensitive contexts that overlap no base span: start, end and novelty."""
+    """Incompressible tokens in sensitive contexts, less what base spans cover of them: start, end and novelty."""
     lowered = text.lower()
     if not any(w in lowered for w in _WORDS):
         return []
@@ -66,10 +80,11 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty) -
     for m in SENSITIVE.finditer(text):
         a, b = m.span(2)
         token = m[2]
-        if len(token) <= 512 and taken.free(a, b) and re.search("[0-9]", token) and re.search("[A-Za-z]", token):
+        free = taken.gaps(a, b)
+        if len(token) <= 512 and free and re.search("[0-9]", token) and re.search("[A-Za-z]", token):
             n = novelty(text[max(0, a - CONTEXT) : a], token, text[b : b + CONTEXT])
             if n >= NOVELTY:
-                out.append((a, b, n))
+                out += [(*gap, n) for gap in free]
     return out
 
 

@@ -169,6 +169,26 @@ def test_secret_base_spans_and_novelty(spark):
     assert [tuple(r) for r in secret_scan.redact_secrets(rows).orderBy("doc_id").collect()] == [(1, "see [SECRET] é", 14), (2, None, 7), (3, "clean", 5)]
 
 
+ALPHABETS = {"upper hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+def novel_tokens(text):
+    return [text[a:b] for a, b, _ in secret_scan.novel_spans(text, secret_scan.base_spans(text), secret_scan.Novelty())]
+
+
+def test_random_keys_of_any_alphabet_are_novel():
+    rnd = random.Random(8)
+    for name, letters in ALPHABETS.items():
+        for n in (20, 48, 64, 128, 256, 450, 512):
+            for _ in range(10):
+                key = "A7" + "".join(rnd.choice(letters) for _ in range(n - 2))
+                text = f"INFO call with Authorization: Bearer {key} was sent\n"
+                found = secret_scan.base_spans(text) + [("novel", a, b) for a, b, _ in secret_scan.novel_spans(text, secret_scan.base_spans(text), secret_scan.Novelty())]
+                assert "".join(text[a:b] for _, a, b in sorted(found, key=lambda s: s[1])) == key, (name, n)
+    for plain in ("/usr/local/lib/python3/site-packages", "a1" * 20, "=" * 40 + "a1", "my1-application-production-database-password", "hunter2" * 10):
+        assert not novel_tokens(f"INFO call with Authorization: Bearer {plain} was sent\n"), plain
+
+
 def test_plan_is_whole_and_tight():
     rnd = random.Random(4)
     for capacity in (10, 64, 2048):
