@@ -3,7 +3,7 @@
 A candidate is a long token shortly after a sensitive word. Its novelty is what it adds to the compressed size of the code around
 it, with a dictionary of that surrounding text and of common identifiers, over what its own characters add in random
 order: names, paths and repeated values compress to much less, random keys of any alphabet and length do not.
-Candidates that stay incompressible are reported as `novel`.
+Candidates that stay incompressible are reported as `novel`. Long ones are measured in consecutive parts, and one novel part is enough.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SENSITIVE = re.compile(r"(password|passwd|passphrase|pwd|secret|token|api[_-]?ke
 _WORDS = ("passw", "passp", "pwd", "secret", "token", "api", "key", "auth", "bearer", "credential")
 _KEYED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT = 256
+#: Longest part of a candidate that is measured at once.
+PART = 512
 #: A level that finds matches of three bytes.
 LEVEL = 19
 #: Marginal compressed bytes of a candidate, over those of its own characters in random order, from which it counts as incompressible.
@@ -72,7 +74,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty) -> list[tuple[int, int, float]]:
-    """Incompressible tokens in sensitive contexts, less what base spans cover of them: start, end and novelty."""
+    """Incompressible tokens in sensitive contexts, less what base spans cover of them: start, end and novelty (of the first novel part)."""
     lowered = text.lower()
     if not any(w in lowered for w in _WORDS):
         return []
@@ -80,11 +82,15 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty) -
     for m in SENSITIVE.finditer(text):
         a, b = m.span(2)
         token = m[2]
-        free = taken.gaps(a, b)
-        if len(token) <= 512 and free and re.search("[0-9]", token) and re.search("[A-Za-z]", token):
-            n = novelty(text[max(0, a - CONTEXT) : a], token, text[b : b + CONTEXT])
-            if n >= NOVELTY:
-                out += [(*gap, n) for gap in free]
+        if not (free := taken.gaps(a, b)):
+            continue
+        before, after = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
+        parts = -(-len(token) // PART)
+        cuts = [len(token) * k // parts for k in range(parts + 1)]
+        scores = (novelty((before + token[max(0, x - CONTEXT) : x])[-CONTEXT:], token[x:y], after) for x, y in zip(cuts, cuts[1:], strict=False))
+        n = next((score for score in scores if score >= NOVELTY), None)
+        if n is not None:
+            out += [(*gap, n) for gap in free]
     return out
 
 
@@ -105,7 +111,8 @@ _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end"
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and spans (kind, start, end, base, score) of every whole text, in code points.
 
-    Base spans always stay; `novel` spans come from the novelty measure. Null and empty texts have none. Rows,
+    Base spans always stay; `novel` spans come from the novelty measure, which alone decides on candidates of 16 characters or
+    more, whatever they are made of. Null and empty texts have none. Rows,
     repeated ones too, are scanned independently; a null id stays null; other columns are ignored.
     """
     session_of(docs)

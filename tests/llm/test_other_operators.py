@@ -189,6 +189,19 @@ def test_random_keys_of_any_alphabet_are_novel():
         assert not novel_tokens(f"INFO call with Authorization: Bearer {plain} was sent\n"), plain
 
 
+def test_long_keys_and_keys_of_letters_or_digits_are_novel(spark):
+    rnd = random.Random(9)
+    letters = ALPHABETS["base64"]
+    keys = ["".join(rnd.choice(letters) for _ in range(n)) for n in (513, 700, 1700, 5000)]
+    keys += ["".join(rnd.choice(letters[:52]) for _ in range(n)) for n in (16, 40, 600)] + [".".join("".join(rnd.choice(letters[:62]) for _ in range(n)) for n in (36, 400, 342))]
+    keys += ["/usr/local/lib/python3/site-packages" * 20 + keys[1], "_".join("".join(rnd.choice("0123456789") for _ in range(8)) for _ in range(3))]
+    plain = ["-" * 2000, "=" * 16, "/usr/local/lib/python3/site-packages" * 40, "xy" * 4000, "your_api_key_here", "authorization/credential/documentation"]
+    rows = [(i, f"INFO call with private_key: {t} was sent") for i, t in enumerate(keys + plain)]
+    left = dict(secret_scan.redact_secrets(docs_of(spark, rows)).select("doc_id", "text").collect())
+    for i, (_, text) in enumerate(rows):
+        assert left[i] == ("INFO call with private_key: [SECRET] was sent" if i < len(keys) else text), text[:200]
+
+
 def test_plan_is_whole_and_tight():
     rnd = random.Random(4)
     for capacity in (10, 64, 2048):
