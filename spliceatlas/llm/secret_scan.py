@@ -2,7 +2,8 @@
 
 A candidate is a long token shortly after a sensitive word. Its novelty is what it adds to the compressed size of the code around
 it, with a dictionary of that surrounding text and of common identifiers, over what its own characters add in random
-order: names, paths and repeated values compress to much less, random keys of any alphabet and length do not.
+order: names, paths and repeated parts compress to much less, random keys of any alphabet and length do not. Other
+occurrences of the token are no surroundings, so that a key stays novel where it is repeated.
 Candidates that stay incompressible are reported as `novel`. Long ones are measured in consecutive parts, and one novel part is enough.
 """
 
@@ -84,7 +85,7 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty) -
         token = m[2]
         if not (free := taken.gaps(a, b)):
             continue
-        before, after = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
+        before, after = _around(text, token, a, b)
         parts = -(-len(token) // PART)
         cuts = [len(token) * k // parts for k in range(parts + 1)]
         scores = (novelty((before + token[max(0, x - CONTEXT) : x])[-CONTEXT:], token[x:y], after) for x, y in zip(cuts, cuts[1:], strict=False))
@@ -94,6 +95,12 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty) -
     return out
 
 
+def _around(text: str, token: str, a: int, b: int) -> tuple[str, str]:
+    """CONTEXT characters before a and after b, with line feeds for other occurrences of the token, those that reach in from outside too."""
+    wide, blank = CONTEXT + len(token), "\n" * len(token)
+    return text[max(0, a - wide) : a].replace(token, blank)[-CONTEXT:], text[b : b + wide].replace(token, blank)[:CONTEXT]
+
+
 def _batch_spans(texts: pa.Array, novelty: Novelty) -> list[list[dict]]:
     found = []
     for text in texts.to_pylist():

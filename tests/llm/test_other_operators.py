@@ -202,6 +202,15 @@ def test_long_keys_and_keys_of_letters_or_digits_are_novel(spark):
         assert left[i] == ("INFO call with private_key: [SECRET] was sent" if i < len(keys) else text), text[:200]
 
 
+def test_repeated_keys_stay_novel():
+    key = "q7Zk2Vx9Lm4TfR8sYb3WnCp6HdJ1gUaEo5Kx0BvN"
+    line = f"INFO call with Authorization: Bearer {key} was sent\n"
+    assert novel_tokens(line * 4) == [key] * 4
+    for gap in (150, 190, 230, 250):  # the other occurrence reaches into the surroundings
+        assert novel_tokens(line + " " * gap + line) == [key] * 2
+    assert not novel_tokens("auth /usr/local/lib/python3/site-packages\n" * 4)
+
+
 def test_plan_is_whole_and_tight():
     rnd = random.Random(4)
     for capacity in (10, 64, 2048):
