@@ -32,6 +32,8 @@ SMALL_BUCKET, BLOCK = 64, 512
 VERIFY_BYTES = 4 << 20
 #: Pairs of one hub that are confirmed together.
 HUB_PAIRS = 256
+#: Groups that rows of one id are spread over.
+SALTS = 16
 _ODD = mix64(np.arange(101, 101 + PERMUTATIONS, dtype=U64)) | U64(1)
 _ROW = mix64(np.arange(501, 501 + ROWS, dtype=U64)) | U64(1)
 SIGNATURES = "id bigint, n bigint, fp bigint, fp2 bigint, bands array<bigint>, e0 bigint, e1 bigint"
@@ -237,6 +239,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the near-duplicates: of each component the document with the smallest id stays, once."""
-    found = Scratch(docs.sparkSession).save(near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("not kept").select(id_col).distinct(), "dropped")
-    return docs.join(found, id_col, "left_anti")
+    """docs without the near-duplicates: of each component the document with the smallest id stays, once.
+
+    Of rows that repeat an id the one with the longest text stays, ties to the smallest row. Rows with null ids all stay.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), (F.spark_partition_id() % SALTS).alias("salt"), F.struct(*docs.columns).alias("row"))
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("id"), "kept").where("id is not null")
+    found = found.groupBy("id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    found = Scratch(docs.sparkSession).save(found, "found")
+    once = rows.join(found, "id", "left_anti")
+    # of the rows of one id each salt keeps its best first
+    salted = found.where("kept").select("id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    order = F.struct(-F.coalesce(F.length(F.col("row")[text_col]), F.lit(-1)), F.to_json("row"))
+    best = rows.join(salted, ["id", "salt"]).select("id", "salt", "row", order.alias("order"))
+    for by in (["id", "salt"], ["id"]):
+        best = best.groupBy(*by).agg(F.min_by("row", "order").alias("row"), F.min("order").alias("order"))
+    return once.select("row.*").union(best.select("row.*"))

@@ -127,6 +127,18 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (5, 5, True), (5, 5, True), (9, 9, True)]
 
 
+def test_one_row_of_each_kept_document_stays(spark):
+    clean, copied = (" ".join(f"{w}{k}" for k in range(60)) for w in "tc")
+    rows = [(1, clean)] * 5 + [(2, copied), (3, copied), (3, copied), (4, "short"), (4, "short and longer"), (4, None), (5, None), (5, None), (6, ""), (None, clean), (None, clean)]
+    kept = minhash.keep_one(docs_of(spark, rows).repartition(3))
+    assert kept.columns == ["doc_id", "text", "id", "n", "gid"]
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(1, clean), (2, copied), (4, "short and longer"), (5, None), (6, ""), (None, clean), (None, clean)])
+    following = substring.cut_repeats(kept.where("doc_id is not null"), length_col=None)
+    assert Counter((r.doc_id, r.text) for r in following.collect()) == Counter({k: 1 for k in got if k[0] is not None})
+    assert minhash.keep_one(docs_of(spark, [])).collect() == []
+
+
 def test_chain_of_links(spark):
     """Ends of a chain are far apart but in one component."""
     base = ["c%d" % k for k in range(300)]
