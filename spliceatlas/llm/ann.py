@@ -5,7 +5,10 @@ an offset of its own, on a Hilbert curve and sorts all rows by their keys (range
 rows within a window around it in each ordering. Sorted rows fall into blocks; a query visits the blocks its windows touch,
 is compared there in double precision with the original vectors, and the lists of all orderings merge to the final ranking.
 
-Windows are a share of all rows. Vectors without clusters, as random directions are, have neighbours hardly nearer than
+Equal vectors are indexed once, by their smallest id, and searched once. A list of k + 1 vectors, each with its k + 1 smallest ids, holds
+the best k rows for every copy that asks: lists are expanded by ids at the end, so that copies are found exactly.
+
+Windows are a share of all distinct vectors. Vectors without clusters, as random directions are, have neighbours hardly nearer than
 the rest, and no ordering brings them close: there a recall of 0.9 needs windows of several hundredths of the rows.
 """
 
@@ -20,7 +23,7 @@ from ._store import Scratch, session_of, shuffle_partitions
 from ._vectors import best, matrix, usable
 
 ORDERINGS, DIMENSIONS, BITS = 8, 8, 6
-#: Rows on either side of a query in each ordering: this share of all rows, and at least LEAST_WINDOW.
+#: Distinct vectors on either side of a query in each ordering: this share of all, and at least LEAST_WINDOW.
 WINDOW_SHARE, LEAST_WINDOW = 0.085, 256
 BLOCK, STRIP = 8192, 256
 
@@ -65,9 +68,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, seed: int = 7, id_
     spark = session_of(vectors)
     scratch = Scratch(spark)
     rows = scratch.save(usable(vectors, id_col, vector_col, zero=False), "rows")
-    size = rows.agg(F.max(F.size("v")), F.count("*")).first()
-    width, total = size[0] or 1, size[1]
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
     rows = rows.where(F.size("v") == width)
+    # Spark cuts a numbering with a limit before the shuffle, so a common vector travels as a few rows
+    copies = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    distinct = scratch.save(copies.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids")), "distinct")
+    members = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v").join(distinct.select("id", "v"), "v")
+    members = scratch.save(members.select("query_id", "id"), "members")
+    rows, total = distinct.select("id", "v"), distinct.count()
 
     def moments(batches):
         n, one, two = 0, np.zeros(width), np.zeros(width)
@@ -102,10 +110,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, seed: int = 7, id_
     chunks = scratch.save(chunks.withColumn("ahead", F.coalesce(F.sum("c").over(Window.partitionBy("o").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("o", "p", "i0", "ahead"), "chunks")
     ranked = keyed.join(chunks, ["o", "p"]).select("id", "o", (F.col("i") - F.col("i0") + F.col("ahead")).alias("rank"))
     window = max(LEAST_WINDOW, int(np.ceil(WINDOW_SHARE * total)))
-    located = scratch.save(rows.join(ranked, "id").select("id", "o", "rank", F.transform("v", lambda x: x.cast("float")).alias("v")) if _all_float(vectors, vector_col) else rows.join(ranked, "id").select("id", "o", "rank", "v"), "located")
+    queries = members.select("id").distinct().withColumn("asked", F.lit(True))
+    v = F.transform("v", lambda x: x.cast("float")) if _all_float(vectors, vector_col) else F.col("v")
+    located = scratch.save(rows.join(ranked, "id").join(queries, "id", "left").select("id", "o", "rank", v.alias("v"), "asked"), "located")
     block = F.floor(F.col("rank") / BLOCK).cast("int")
     right = located.withColumn("b", block)
-    asked = located.where(F.col("id") % every == 0)
+    asked = located.where("asked")
     left = asked.withColumn("b", F.explode(F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / BLOCK).cast("int"), F.floor(F.least(F.col("rank") + window, F.lit(max(total - 1, 0))) / BLOCK).cast("int"))))
 
     def visit(key, queries: pa.Table, candidates: pa.Table) -> pa.Table:
@@ -118,8 +128,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, seed: int = 7, id_
             for lo in range(0, len(qi), STRIP):
                 hi = lo + STRIP
                 scores = qm[lo:hi] @ cm.T
-                scores[(np.abs(qr[lo:hi, None] - cr[None, :]) > window) | (qi[lo:hi, None] == ci[None, :])] = -np.inf
-                row, column = best(scores, ci, k)
+                scores[np.abs(qr[lo:hi, None] - cr[None, :]) > window] = -np.inf
+                row, column = best(scores, ci, k + 1)
                 exact = (qm[lo + row] * cm[column]).sum(1)
                 out.append((qi[lo:hi], np.bincount(row, minlength=len(scores)), -exact, ci[column]))
         asked_, sizes, minus, near = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
@@ -129,8 +139,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, seed: int = 7, id_
     # one short list for each query and block; larger scores first, then smaller ids
     tops = left.groupBy("o", "b").cogroup(right.groupBy("o", "b")).applyInArrow(visit, "query_id bigint, o int, top array<struct<m:double,i:bigint>>")
     for by in (["query_id", "o"], ["query_id"]):
-        tops = tops.groupBy(*by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("top")))), 1, k).alias("top"))
-    out = tops.select("query_id", F.posexplode("top").alias("p", "t"))
+        tops = tops.groupBy(*by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("top")))), 1, k + 1).alias("top"))
+    # vectors become rows: at most (k + 1)^2 for each list, and for each query all but itself
+    wide = tops.select(F.col("query_id").alias("asking"), F.explode("top").alias("t")).select("asking", F.col("t.m").alias("m"), F.col("t.i").alias("id")).join(distinct.select("id", "ids"), "id")
+    near = wide.select("asking", F.transform("ids", lambda i: F.struct(F.col("m").alias("m"), i.alias("i"))).alias("top")).groupBy(F.col("asking").alias("id")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k + 1).alias("top"))
+    out = members.join(near, "id").select("query_id", F.slice(F.filter("top", lambda t: t["i"] != F.col("query_id")), 1, k).alias("top"))
+    out = out.select("query_id", F.posexplode("top").alias("p", "t"))
     return out.select("query_id", (F.col("p") + 1).alias("rank"), F.col("t.i").alias("vec_id"), (0 - F.col("t.m")).alias("score"))
 
 

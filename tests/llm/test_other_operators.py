@@ -100,6 +100,26 @@ def test_neighbours_reach_the_recall(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(vectors_of(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.0])])).collect()] == [(0, 1, 1)]
 
 
+def test_copies_of_a_common_vector_are_found_by_id(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    common = np.sort(rng.choice(3000, 1000, replace=False))
+    x[common] = x[common[0]]
+    got = defaultdict(list)
+    for r in ann.nearest(vectors_of(spark, [(k, v.tolist()) for k, v in enumerate(x)])).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(range(0, 3000, 20))
+    hit, whole = 0, x.astype(float)
+    for q, near in got.items():
+        scores = (whole * whole[q]).sum(1)
+        order = [k for k in np.lexsort((np.arange(3000), -scores)) if k != q][:20]
+        if x[q].tolist() == x[common[0]].tolist():
+            assert near == order
+        hit += len(set(near) & set(order))
+    assert hit >= 0.9 * 20 * len(got)
+
+
 def test_hilbert_neighbours_touch():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = ann.hilbert_keys(cells, 3)
