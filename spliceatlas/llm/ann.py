@@ -14,6 +14,8 @@ the rest, and no ordering brings them close: there a recall of 0.9 needs windows
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -63,13 +65,41 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, seed: int = 7, id_
 
     The score is the inner product in double precision; ties go to the smaller id. Rows with null ids, and
     vectors that are null, zero, empty or hold null or non-finite components take no part. Repeated ids count once, with
-    their smallest vector. Vectors that are not as long as the longest take no part. Every row is indexed.
+    their smallest vector. Vectors are compared with those of their own length, and each length has an index of its
+    own; lengths of at most LEAST_WINDOW rows, which a window holds whole, are searched exhaustively together. Every row takes part.
     """
     spark = session_of(vectors)
     scratch = Scratch(spark)
     rows = scratch.save(usable(vectors, id_col, vector_col, zero=False), "rows")
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
-    rows = rows.where(F.size("v") == width)
+    lengths = rows.groupBy(F.size("v").alias("length")).count().orderBy("length").collect()
+    long_lists = [r["length"] for r in lengths if r["count"] > LEAST_WINDOW]
+    found = [_indexed(rows.where(F.size("v") == n), n, k, every, seed, _all_float(vectors, vector_col)) for n in long_lists]
+    if len(found) < len(lengths) or not lengths:
+        few = rows.where(~F.size("v").isin(long_lists)) if long_lists else rows
+        found.append(few.groupBy(F.size("v").alias("length")).applyInArrow(_exhaustive(k, every), "query_id bigint, rank int, vec_id bigint, score double"))
+    return reduce(DataFrame.union, found)
+
+
+def _exhaustive(k: int, every: int):
+    """Neighbours within a table of few rows of one length."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, m = table["id"].to_numpy(), matrix(table["v"]).astype(float)
+        asked = np.flatnonzero(ids % every == 0)
+        scores = np.array([(m * m[q]).sum(1) for q in asked]).reshape(len(asked), len(ids))
+        scores[np.arange(len(asked)), asked] = -np.inf
+        row, column = best(scores, ids, k)
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        return pa.table({"query_id": ids[asked[row]], "rank": pa.array(rank.astype(np.int32)), "vec_id": ids[column], "score": scores[row, column]})
+
+    return run
+
+
+def _indexed(rows: DataFrame, width: int, k: int, every: int, seed: int, single: bool) -> DataFrame:
+    """Neighbours among rows of one length, by the orderings; single: components are single precision."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark)
     # Spark cuts a numbering with a limit before the shuffle, so a common vector travels as a few rows
     copies = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     distinct = scratch.save(copies.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids")), "distinct")
@@ -111,7 +141,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, seed: int = 7, id_
     ranked = keyed.join(chunks, ["o", "p"]).select("id", "o", (F.col("i") - F.col("i0") + F.col("ahead")).alias("rank"))
     window = max(LEAST_WINDOW, int(np.ceil(WINDOW_SHARE * total)))
     queries = members.select("id").distinct().withColumn("asked", F.lit(True))
-    v = F.transform("v", lambda x: x.cast("float")) if _all_float(vectors, vector_col) else F.col("v")
+    v = F.transform("v", lambda x: x.cast("float")) if single else F.col("v")
     located = scratch.save(rows.join(ranked, "id").join(queries, "id", "left").select("id", "o", "rank", v.alias("v"), "asked"), "located")
     block = F.floor(F.col("rank") / BLOCK).cast("int")
     right = located.withColumn("b", block)

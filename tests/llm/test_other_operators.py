@@ -120,6 +120,21 @@ def test_copies_of_a_common_vector_are_found_by_id(spark):
     assert hit >= 0.9 * 20 * len(got)
 
 
+def test_each_length_has_its_neighbours(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=n).astype(np.float32).tolist()) for n, ids in ((4, range(0, 300)), (6, range(300, 340)), (5, range(340, 640)), (9, [700]), (8, [720, 721])) for k in ids]
+    got = defaultdict(list)
+    for r in ann.nearest(vectors_of(spark, rows)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q, v in rows:
+        if q % 20 == 0:
+            scores = sorted((-float(np.dot(np.array(v, float), np.array(w, float))), k) for k, w in rows if len(w) == len(v) and k != q)[:20]
+            near = got.pop(q, [])
+            assert [(a, b) for a, b, _ in near] == [(a + 1, b) for a, (_, b) in enumerate(scores)]
+            assert [s for _, _, s in near] == pytest.approx([-s for s, _ in scores])
+    assert not got
+
+
 def test_hilbert_neighbours_touch():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = ann.hilbert_keys(cells, 3)
