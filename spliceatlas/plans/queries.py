@@ -341,7 +341,7 @@ def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     grp = F.when(F.col("event_type") == "click", "up").when(F.col("event_type") == "view", "dn").otherwise("bg")
     counts = e.groupBy(grp.alias("grp"), F.lit(0).alias("region"), F.hour("ts").alias("pos"), F.col("user_id").alias("exon_idx")).agg(F.count("*").alias("cnt"))
     n = e.agg(F.max("user_id")).first()[0] + 1
-    return summary.permutation_test(counts, summary.grid(spark, [(0, 24)]), [], dict.fromkeys(GROUPS, int(n)), 50, stats.SEED, shared=False)
+    return summary.permutation_test(counts, summary.grid(spark, [(0, 24)]), [], dict.fromkeys(GROUPS, int(n)), stats.PERMUTATIONS, stats.SEED, shared=False)
 
 
 @query()

@@ -176,3 +176,10 @@ def test_nothing_else_needs_the_training_data_operators(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e, spliceatlas.cli, spliceatlas.streaming; q = e.queries(); assert q and not any(n.startswith('op') for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+
+
+def test_the_permutation_query_takes_all_permutations(spark, small):
+    rows = QUERIES["permutation"](spark, small).collect()
+    counts = [p * (stats.PERMUTATIONS + 1) for r in rows for p in (r.p_up, r.p_dn)]
+    assert any(c < stats.PERMUTATIONS for c in counts)
+    assert counts == pytest.approx([round(c) for c in counts], abs=1e-6)
