@@ -30,16 +30,6 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTN", "TGCAN"))
 
 
-def match_starts(seq: Column, pattern: Column) -> Column:
-    """0-based starts of the leftmost non-overlapping matches of a regular expression."""
-    found = F.regexp_extract_all(seq, pattern, F.lit(0))
-    gaps = F.split(seq, pattern, -1)
-    # the k-th match starts after k + 1 gaps and k matches
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), F.concat(F.array(F.lit("")), found), lambda g, m: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
-    sums = F.aggregate(F.slice(steps, 1, F.size(found)), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, s: F.struct((a["at"] + s).alias("at"), F.array_append(a["out"], a["at"] + s).alias("out")), lambda a: a["out"])
-    return F.when(F.size(found) > 0, sums).otherwise(F.array().cast("array<int>"))
-
-
 def steps_between(low: Column, high: Column) -> Column:
     """low..high inclusive, empty if high is below low (sequence would count down)."""
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import mean_of_list, number
 from ..specs import Event
+from .numbering import numbered
 
 
 @dataclass(frozen=True)
@@ -99,9 +100,8 @@ def classify(events: DataFrame, event: Event, cuts: Cuts, analysis: str = "motif
 
 def coordinates(members: DataFrame, event: Event) -> DataFrame:
     """grp, exon_idx (place in the group), chr, strand, c2..: typed coordinates of classified members."""
-    order = Window.partitionBy("grp").orderBy("first", "pos")
     c = F.col("coords")
-    return members.select("grp", (F.row_number().over(order) - 1).cast("bigint").alias("exon_idx"), c[0].alias("chr"), c[1].alias("strand"), *[c[k].cast("bigint").alias(f"c{k}") for k in range(2, 2 + event.coordinates)])
+    return numbered(members, "grp", ["first", "pos"], "exon_idx").select("grp", "exon_idx", c[0].alias("chr"), c[1].alias("strand"), *[c[k].cast("bigint").alias(f"c{k}") for k in range(2, 2 + event.coordinates)])
 
 
 def rekeyed(coords: DataFrame, event: Event) -> DataFrame:
@@ -109,5 +109,4 @@ def rekeyed(coords: DataFrame, event: Event) -> DataFrame:
     names = [f"c{k}" for k in range(2, 2 + event.coordinates)]
     key = ["grp", "chr", "strand", *names[: event.key_columns - 2]]
     agg = coords.groupBy(*key).agg(F.max_by(F.struct(*names), "exon_idx").alias("s"), F.min("exon_idx").alias("first"))
-    order = Window.partitionBy("grp").orderBy("first")
-    return agg.select("grp", (F.row_number().over(order) - 1).cast("bigint").alias("exon_idx"), "chr", "strand", *[F.col(f"s.{n}").alias(n) for n in names])
+    return numbered(agg, "grp", ["first"], "exon_idx").select("grp", "exon_idx", "chr", "strand", *[F.col(f"s.{n}").alias(n) for n in names])

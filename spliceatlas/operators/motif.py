@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions.scalars import match_starts, steps_between
+from ..functions.scalars import steps_between
+from ..shipping import session_of
 from ..sources.genome import slices
 from ..specs import Event
 
 
+#: A motif table goes to every task.
+MOST_MOTIFS = 100_000
+
+
 @dataclass(frozen=True)
 class Shape:
     """Lengths in bases: exon and intron parts that are mapped, window and step."""
@@ -41,14 +49,58 @@ def sequences(coords: DataFrame, genome: DataFrame, event: Event, shape: Shape)
     return slices(regions(coords, event, shape), genome)
 
 
-def matches(seqs: DataFrame, motifs: DataFrame, id_cols: list[str]) -> DataFrame:
+def matches(seqs: DataFrame, motifs: DataFrame, id_cols: list[str], shape: Shape | None = None) -> DataFrame:
     """id_cols, motif, regex, p (0-based start), m_len (of the first match) and seq_len of all leftmost non-overlapping matches.
 
-    The motif table is small and is paired with every sequence; sequences without a match leave no row.
+    One pass over the sequences, whose places come from the matches themselves, so a sequence of any number of matches takes
+    linear time. The motif table goes along with the function: MOST_MOTIFS rows at most, more raise ValueError.
+    Sequences without a match, null ones and null expressions leave no row. With shape, matches out of its reach are left out
+    and a sequence too long to have one within reach is only searched for its first match.
     """
-    paired = seqs.crossJoin(F.broadcast(motifs))
-    found = paired.select(*id_cols, "motif", "regex", F.length("seq").alias("seq_len"), match_starts(F.col("seq"), F.col("regex")).alias("at"), F.length(F.expr("regexp_extract(seq, regex, 0)")).alias("m_len"))
-    return found.withColumn("p", F.explode("at")).drop("at")
+    session_of(seqs)
+    table = [(r["motif"], r["regex"]) for r in motifs.where("regex is not null").select("motif", "regex").limit(MOST_MOTIFS + 1).collect()]
+    if len(table) > MOST_MOTIFS:
+        raise ValueError(f"more than {MOST_MOTIFS} motifs")
+    reach = None if shape is None else max(shape.intron, shape.exon) + shape.window
+    slim = seqs.select(*id_cols, "seq")
+    ids = slim.schema[: len(id_cols)]
+    out = StructType([*ids, StructField("motif", StringType()), StructField("regex", StringType()), StructField("seq_len", IntegerType()), StructField("m_len", IntegerType()), StructField("p", IntegerType())])
+
+    def run(batches):
+        expressions = [re.compile(rx) for _, rx in table]
+        names = pa.array([m for m, _ in table], pa.string()), pa.array([rx for _, rx in table], pa.string())
+        for batch in batches:
+            for rows, which, length, first, at in _found(batch["seq"].to_pylist(), expressions, reach):
+                own = [batch.column(k).take(pa.array(rows)) for k in range(len(id_cols))]
+                yield pa.RecordBatch.from_arrays([*own, *(x.take(pa.array(which)) for x in names), *(pa.array(x, pa.int32()) for x in (length, first, at))], names=out.names)
+
+    return slim.mapInArrow(run, out)
+
+
+def _found(texts: list[str | None], expressions: list[re.Pattern], reach: int | None):
+    """Lists of row, expression, sequence length, length of the first match, and start, some matches at a time."""
+    rows: list[list[int]] = [[], [], [], [], []]
+    for k, text in enumerate(texts):
+        if text is None:
+            continue
+        n = len(text)
+        for e, expression in enumerate(expressions):
+            if (one := expression.search(text)) is None:
+                continue
+            size = one.end() - one.start()
+            if reach is None:
+                at = [m.start() for m in expression.finditer(text)]
+            elif (low := n - reach - size + 1) < reach:
+                at = [p for p in (m.start() for m in expression.finditer(text)) if low <= p < reach]
+            else:
+                continue
+            for column, values in zip(rows, ([k] * len(at), [e] * len(at), [n] * len(at), [size] * len(at), at), strict=True):
+                column += values
+            if len(at) and len(rows[0]) >= 1 << 16:
+                yield rows
+                rows = [[], [], [], [], []]
+    if rows[0]:
+        yield rows
 
 
 def within_reach(p: Column, n: Column, shape: Shape) -> Column:
@@ -99,7 +151,7 @@ def scatter(found: DataFrame, event: Event, shape: Shape) -> DataFrame:
 
 def hit_counts(seqs: DataFrame, motifs: DataFrame, event: Event, shape: Shape) -> DataFrame:
     """motif, regex, grp, region, pos, exon_idx, cnt: sparse counts, without zeros."""
-    found = matches(seqs, motifs, ["grp", "exon_idx", "fasta_region"])
+    found = matches(seqs, motifs, ["grp", "exon_idx", "fasta_region"], shape)
     return scatter(found, event, shape).groupBy("motif", "regex", "grp", "region", "pos", "exon_idx").agg(F.count("*").alias("cnt"))
 
 

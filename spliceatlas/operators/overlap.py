@@ -25,11 +25,8 @@ def distinct_peaks(peaks: DataFrame, keys: list[str] | None = None, order: str =
     return peaks.groupBy(*keys).agg(F.max_by("height", order).alias("height"))
 
 
-def windows(coords: DataFrame, event: Event, shape: Shape) -> DataFrame:
-    """grp, exon_idx, chr, region, pos, w_start, w_end (1-based, inclusive). The scaled region of retained introns is not among them.
-
-    Regions follow the minus formulas on '-'; windows run from the region's end on every strand but '+'.
-    """
+def _regions(coords: DataFrame, event: Event, shape: Shape) -> DataFrame:
+    """grp, exon_idx, chr, region, n (number of windows), first (start of the first window) and by (from one window's start to the next's)."""
     named = coords.select("*", *[F.expr(x).alias(n) for n, x in event.names.items()])
     lengths = {"e": shape.exon, "i": shape.intron}
     minus, plus = F.coalesce(F.col("strand") == "-", F.lit(False)), F.coalesce(F.col("strand") == "+", F.lit(False))
@@ -38,10 +35,19 @@ def windows(coords: DataFrame, event: Event, shape: Shape) -> DataFrame:
         if n < 1 or (event.name == "RI" and letter == "i"):
             continue
         start, end = F.expr(event.plus[k].format(**lengths)), F.expr(event.minus[k].format(**lengths))
-        parts.append(F.struct(F.lit(k).alias("region"), F.lit(n).alias("n"), start.alias("a"), F.when(minus, end).otherwise(start + lengths[letter] - 1).alias("b")))
-    regions = named.withColumn("plus", plus).withColumn("r", F.explode(F.array(*parts))).select("grp", "exon_idx", "chr", "plus", "r.*")
-    placed = regions.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    start = F.when(F.col("plus"), F.col("a") + F.col("pos") * shape.step).otherwise(F.col("b") - F.col("pos") * shape.step - shape.window + 1)
+        last = F.when(minus, end).otherwise(start + lengths[letter] - 1)
+        parts.append(F.struct(F.lit(k).alias("region"), F.lit(n).alias("n"), F.when(plus, start).otherwise(last - shape.window + 1).alias("first")))
+    by = F.when(plus, shape.step).otherwise(-shape.step)
+    return named.withColumn("by", by).withColumn("r", F.explode(F.array(*parts))).select("grp", "exon_idx", "chr", "r.*", "by")
+
+
+def windows(coords: DataFrame, event: Event, shape: Shape) -> DataFrame:
+    """grp, exon_idx, chr, region, pos, w_start, w_end (1-based, inclusive). The scaled region of retained introns is not among them.
+
+    Regions follow the minus formulas on '-'; windows run from the region's end on every strand but '+'.
+    """
+    placed = _regions(coords, event, shape).withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    start = F.col("first") + F.col("pos") * F.col("by")
     return placed.select("grp", "exon_idx", "chr", "region", "pos", start.alias("w_start"), (start + shape.window - 1).alias("w_end"))
 
 
@@ -65,8 +71,8 @@ def region_overlap_sum(coords: DataFrame, peaks: DataFrame, event: Event, shape:
 
     So each peak is joined with a few regions of an exon, not with each of hundreds of windows.
     """
-    wins = windows(coords, event, shape)
-    spans = wins.groupBy("grp", "exon_idx", "chr", "region").agg(F.min("w_start").alias("lo"), F.max("w_end").alias("hi"), F.count("*").alias("n"), F.min_by("w_start", "pos").alias("first"), F.max_by("w_start", "pos").alias("last"))
+    last = F.col("first") + (F.col("n") - 1) * F.col("by")
+    spans = _regions(coords, event, shape).select("grp", "exon_idx", "chr", "region", F.least("first", last).alias("lo"), (F.greatest("first", last) + shape.window - 1).alias("hi"), "n", "first", last.alias("last"))
     return spans_overlap(spans, peaks, shape)
 
 

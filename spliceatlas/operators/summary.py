@@ -138,7 +138,13 @@ def count_significant(p: Column, cut: float = 0.05) -> Column:
 def value_lists(counts: DataFrame, cells: DataFrame, sizes: dict[str, int], group: str, keys: list[str], value: str = "cnt") -> DataFrame:
     """keys, region, pos, sum and values ([a,b,...] in exon order, zeros included) of one group."""
     on = [*keys, "region", "pos"]
-    got = counts.where(F.col("grp") == group).groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct(F.col("exon_idx").cast("bigint"), value))).alias("m"), F.sum(value).alias("sum"))
+    got = counts.where(F.col("grp") == group).groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(F.col("exon_idx").cast("bigint").alias("k"), F.col(value).cast("string").alias("v")))).alias("m"), F.sum(value).alias("sum"))
     n = sizes[group]
-    each = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(max(n - 1, 0)).cast("bigint")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("string"))
-    return cells.join(got, on, "left").select(*on, F.coalesce("sum", F.lit(0)).alias("sum"), F.concat(F.lit("["), F.array_join(each, ",") if n else F.lit(""), F.lit("]")).alias("values"))
+    # each value with the zeros between it and the one before, then the zeros after the last
+    places = F.transform("m", lambda x: x["k"])
+    previous = F.concat(F.array(F.lit(-1).cast("bigint")), places)
+    each = F.zip_with(F.col("m"), F.slice(previous, 1, F.size("m")), lambda x, k: F.concat(F.repeat(F.lit("0,"), (x["k"] - k - 1).cast("int")), x["v"]))
+    rest = F.lit(n - 1).cast("bigint") - F.element_at(places, -1)
+    listed = F.concat(F.array_join(each, ","), F.repeat(F.lit(",0"), rest.cast("int")))
+    values = F.coalesce(listed, F.lit(",".join(["0"] * n)))
+    return cells.join(got, on, "left").select(*on, F.coalesce("sum", F.lit(0)).alias("sum"), F.concat(F.lit("["), values, F.lit("]")).alias("values"))

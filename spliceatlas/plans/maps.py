@@ -13,6 +13,7 @@ from ..operators import motif, overlap, summary
 from ..operators.classify import CLIP_A5SS_CUTS, CLIP_CUTS, MOTIF_CUTS, Cuts, classify, coordinates, rekeyed
 from ..operators.isoforms import convert
 from ..operators.motif import Shape
+from ..operators.numbering import numbered
 from ..sources.text import read_coordinates, read_events, read_isoforms
 from ..sources.workbook import is_workbook, read_workbook
 from ..specs import CONTRASTS, GROUPS, Event, event
@@ -35,20 +36,13 @@ def load_coordinates(spark: SparkSession, kind: Event, analysis: str, *, events:
         rows = read_workbook(spark, events).where(F.size("f") >= 3 + 2 + kind.coordinates) if is_workbook(events) else read_events(spark, events, kind, analysis)
     elif given(up) and given(dn) and given(bg):
         sets = read_coordinates(spark, {"up": up, "dn": dn, "bg": bg}, kind)
-        order = F.row_number().over(_by_group("line")) - 1
-        return sets.withColumn("exon_idx", order.cast("bigint")).drop("line")
+        return numbered(sets, "grp", ["line"], "exon_idx").drop("line")
     else:
         raise ValueError("an event table, an isoform table, or up, down and background coordinates are needed")
     cuts = cuts or (MOTIF_CUTS if analysis == "motif" else CLIP_A5SS_CUTS if kind.name == "A5SS" else CLIP_CUTS)
     return coordinates(classify(rows, kind, cuts, analysis), kind)
 
 
-def _by_group(order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("grp").orderBy(order)
-
-
 @dataclass
 class Map:
     """Counts and p-values of an analysis. counts: sparse, by key, grp, region, pos, exon_idx; tested: keys, region, pos, up, dn, bg, p_up, p_dn."""

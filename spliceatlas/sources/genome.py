@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import ahead, bucket
 from .text import lines
 
 CHUNK = 1024
@@ -13,15 +14,23 @@ CHUNK = 1024
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """chrom, chunk, seq: upper-case sequence in chunks of CHUNK bases, of a FASTA file.
 
-    Lines find their chromosome by the last header before them and their offset by a running sum, within a chromosome.
+    Lines find their header and their offset by buckets: what the buckets ahead hold is summed over a table of one row for
+    each, the rest inside the bucket, so neither a chromosome nor the file meets in one task, however many scaffolds there are.
     """
     df = lines(spark, path, header=False).select("line", F.trim("value").alias("value"))
-    heads = df.where(F.col("value").startswith(">")).select(F.col("line").alias("from"), F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("chrom"))
-    heads = heads.withColumn("to", F.lead("from").over(Window.orderBy("from")))  # a row for each chromosome
-    body = df.where(~F.col("value").startswith(">") & (F.length("value") > 0)).join(F.broadcast(heads), (F.col("line") > F.col("from")) & (F.col("to").isNull() | (F.col("line") < F.col("to"))))
-    order = Window.partitionBy("chrom").orderBy("line")
-    placed = body.withColumn("at", F.sum(F.length("value")).over(order) - F.length("value"))
-    return chunked(placed.select("chrom", "at", F.upper("value").alias("seq")))
+    head = F.col("value").startswith(">")
+    rows = df.where(F.length("value") > 0).select("line", bucket(df, "line").alias("bucket"), "value", F.when(head, F.regexp_extract("value", r"^>\s*(\S+)", 1)).alias("name"), F.when(head, 0).otherwise(F.length("value")).cast("bigint").alias("n"))
+    inside = Window.partitionBy("bucket").orderBy("line")
+    rows = rows.withColumn("at", F.sum("n").over(inside) - F.col("n"))
+    rows = rows.withColumn("own", F.last(F.when(F.col("name").isNotNull(), F.struct("name", "at")), ignorenulls=True).over(inside))
+    buckets = ahead(rows.groupBy("bucket").agg(F.sum("n").alias("n"), F.max_by("own", "line").alias("last")), [], "n", "base")
+    before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.when(F.col("last").isNotNull(), F.struct(F.col("last.name").alias("name"), (F.col("base") + F.col("last.at")).alias("at")))
+    buckets = buckets.select("bucket", "base", F.last(last, ignorenulls=True).over(before).alias("earlier"))
+    placed = rows.where(~head).join(buckets, "bucket")
+    own = F.when(F.col("own").isNotNull(), F.struct(F.col("own.name").alias("name"), (F.col("base") + F.col("own.at")).alias("at")))
+    placed = placed.withColumn("of", F.coalesce(own, "earlier")).where(F.col("of").isNotNull())
+    return chunked(placed.select(F.col("of.name").alias("chrom"), (F.col("base") + F.col("at") - F.col("of.at")).alias("at"), F.upper("value").alias("seq")))
 
 
 def chunked(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spliceatlas.functions import scalars, stats
 from spliceatlas.operators import classify as K
-from spliceatlas.operators import isoforms, motif, overlap, summary
+from spliceatlas.operators import isoforms, motif, numbering, overlap, summary
 from spliceatlas.operators.motif import Shape
 from spliceatlas.sources import genome
 from spliceatlas.specs import EVENTS, event, event_description, list_supported_events
@@ -96,15 +97,54 @@ def test_scatter(spark, name, shape):
     assert got == expected
 
 
-def test_match_starts(spark):
+def test_matches(spark):
     rnd = random.Random(2)
-    rows = [("".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 40))), rx) for rx in ("A", "AA", "[AC]G", "T{2,3}", "^A", "N") for _ in range(20)]
-    for r in spark.createDataFrame(rows, "s string, rx string").select("*", scalars.match_starts(F.col("s"), F.col("rx")).alias("at")).collect():
-        assert r.at == [m.start() for m in re.finditer(r.rx, r.s)]
+    texts = ["".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 40))) for _ in range(30)] + ["", None, "é" * 3 + "AA漢A"]
+    expressions = ["A", "AA", "[AC]G", "T{2,3}", "^A", "N"]
+    seqs = spark.createDataFrame(list(enumerate(texts)), "k bigint, seq string")
+    motifs = spark.createDataFrame([("m", rx) for rx in expressions] + [("none", None)], "motif string, regex string")
+    got = sorted((r.k, r.regex, r.p, r.m_len, r.seq_len) for r in motif.matches(seqs, motifs, ["k"]).collect())
+    expected = []
+    for k, text in enumerate(texts):
+        for rx in expressions:
+            spans = [m.span() for m in re.finditer(rx, text or "")]
+            expected += [(k, rx, a, spans[0][1] - spans[0][0], len(text)) for a, _ in spans]
+    assert got == sorted(expected)
+
+
+def test_many_matches_in_one_sequence_take_linear_time(spark):
+    began = time.time()
+    list(motif._found(["AC" * 32_000], [re.compile("A")], None))
+    assert time.time() - began < 1
+    rows = list(motif._found(["AC" * 100_000, "A"], [re.compile("A"), re.compile("C")], None))
+    assert sum(len(r[0]) for r in rows) == 200_001 and len(rows) > 1
+    assert list(motif._found(["AC" * 32_000], [re.compile("A")], 300)) == []  # too long to have a match within reach of both ends
+
+
+def test_a_motif_table_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(motif, "MOST_MOTIFS", 2)
+    motifs = spark.createDataFrame([("a", "A"), ("b", "C"), ("c", "G")], "motif string, regex string")
+    with pytest.raises(ValueError, match="motifs"):
+        motif.matches(spark.createDataFrame([(1, "A")], "k bigint, seq string"), motifs, ["k"])
+
+
+def test_numbering_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "BUCKET_BITS", 3)
+    rnd = random.Random(8)
+    rows = [("ab"[rnd.randrange(2)], k, rnd.randrange(9)) for k in rnd.sample(range(1000), 200)] + [("a", None, 5), ("a", None, 4)]
+    df = spark.createDataFrame(rows, "grp string, first bigint, pos bigint").repartition(4)
+    got = {(r.grp, r.first, r.pos): r.n for r in numbering.numbered(df, "grp", ["first", "pos"], "n").collect()}
+    for g in "ab":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r] for r in own] == list(range(len(own)))
+    lines = spark.createDataFrame([("a", (f, s, r)) for f in ("x", "y") for s in (0, 7) for r in rnd.sample(range(100), 20)], "grp string, line struct<file:string,split:bigint,row:bigint>")
+    found = numbering.numbered(lines, "grp", ["line"], "n").orderBy("line").collect()
+    assert [r.n for r in found] == list(range(80))
 
 
 def test_genome_slices(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(genome, "CHUNK", 7)
+    monkeypatch.setattr(numbering, "BUCKET_BITS", 2)
     rnd = random.Random(1)
     chromosomes = {"c1": "".join(rnd.choice("acgtN") for _ in range(83)), "c2": "ACGT" * 5}
     fasta = tmp_path / "g.fa"
