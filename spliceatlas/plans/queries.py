@@ -115,17 +115,29 @@ def peak_identity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPARSE = Shape(exon=50, intron=250, window=10, step=120)
-_COORDS = """coords as (select o_orderkey as exon_idx, case o_orderstatus when 'O' then 'up' when 'F' then 'dn' else 'bg' end as grp, o_orderpriority as chr, case when o_custkey % 3 = 0 then '-' else '+' end as strand,
-  o_custkey * 37 + 2000 as c2, o_custkey * 37 + 2150 as c3, o_custkey * 37 + 1000 as c4, o_custkey * 37 + 1100 as c5, o_custkey * 37 + 3000 as c6, o_custkey * 37 + 3120 as c7 from orders)"""
+#: Places of the exons of each event type, from a base by the customer.
+_PLACES = {
+    "SE": {"c2": 2000, "c3": 2150, "c4": 1000, "c5": 1100, "c6": 3000, "c7": 3120},
+    "A3SS": {"c2": 2000, "c3": 2200, "c4": 2060, "c5": 2190, "c6": 1000, "c7": 1100},
+    "A5SS": {"c2": 1000, "c3": 1200, "c4": 1010, "c5": 1140, "c6": 2000, "c7": 2120},
+    "RI": {"c2": 1000, "c3": 1520, "c4": 1005, "c5": 1100, "c6": 1400, "c7": 1530},
+    "MXE": {"c2": 2000, "c3": 2150, "c4": 3000, "c5": 3120, "c6": 1000, "c7": 1100, "c8": 4000, "c9": 4150},
+}
 
 
-def _coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _coords_sql(kind: str) -> str:
+    at = ", ".join(f"o_custkey * 37 + {v} as {n}" for n, v in _PLACES[kind].items())
+    return f"""coords as (select o_orderkey as exon_idx, case o_orderstatus when 'O' then 'up' when 'F' then 'dn' else 'bg' end as grp, o_orderpriority as chr,
+  case when o_custkey % 3 = 0 then '-' else '+' end as strand, {at} from orders)"""
+
+
+def _coords(spark: SparkSession, sf_dir: str, kind: str = "SE") -> DataFrame:
     o, c = _t(spark, sf_dir, "orders"), F.col("o_custkey") * 37
     grp = F.when(F.col("o_orderstatus") == "O", "up").when(F.col("o_orderstatus") == "F", "dn").otherwise("bg")
-    at = {"c2": 2000, "c3": 2150, "c4": 1000, "c5": 1100, "c6": 3000, "c7": 3120}
-    return o.select(F.col("o_orderkey").alias("exon_idx"), grp.alias("grp"), F.col("o_orderpriority").alias("chr"), F.when(F.col("o_custkey") % 3 == 0, "-").otherwise("+").alias("strand"), *[(c + v).alias(n) for n, v in at.items()])
+    return o.select(F.col("o_orderkey").alias("exon_idx"), grp.alias("grp"), F.col("o_orderpriority").alias("chr"), F.when(F.col("o_custkey") % 3 == 0, "-").otherwise("+").alias("strand"), *[(c + v).alias(n) for n, v in _PLACES[kind].items()])
 
 
+_COORDS = _coords_sql("SE")
 _PLUS = ("c5 - 49", "c5 + 1", "c2 + 1 - 250", "c2 + 1", "c3 - 49", "c3 + 1", "c6 + 1 - 250", "c6 + 1")
 _MINUS = ("c6 + 50", "c6", "c3 + 250", "c3", "c2 + 50", "c2", "c6", "c6 + 50")
 _WINDOWS = "windows as (" + " union all ".join(
