@@ -4,12 +4,13 @@ Each permutation of the shingle hashes is evaluated once and gives two values, t
 evaluations give 128 signature values. Bands take four values of four different permutations: a pair at a threshold of 0.8
 shares none of the 32 bands with a probability of 5e-8, at 0.85 of 6e-11.
 
-Equal sets collapse to one node first. Candidates of a bucket are then compared in two rounds, neither of which forms all
-pairs of a group. Round one compares every member with one hub, another one in each bucket, and joins what is confirmed
-to components. Round two looks at buckets that still hold several components: pairs of different components in small
-buckets, and in larger ones tiles of two bounded blocks, within which set intersections are products of incidence
-matrices and only the edges that join components leave the task. Blocks of one component are never compared with each
-other. All links are confirmed on full shingle sets.
+Equal sets collapse to one node first. The hub of a bucket is its smallest node, so the many buckets that a group of near copies
+shares fall together into few groups of one hub, and a pair that meets in several bands is looked at once. Candidates are
+compared in two rounds. Round one compares every member with its hubs and joins what is confirmed to components. Round two
+looks at hubs whose members still are in several components: members fill blocks of bounded rows and bytes, a tile compares two
+blocks by exact set intersections and only the edges that join components leave the task. Texts are sent once to
+each tile; most groups are one tile. Blocks of one component are never compared with each other. Every candidate
+pair of different components is decided on full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,16 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ._graph import at_all_salts, components, salted
 from ._store import Scratch, session_of, shuffle_partitions
-from ._text import U64, mix64, rolling, slices, split_words, window_starts, word_hashes
+from ._text import U64, buffers, mix64, ragged, rolling, slices, split_words, window_starts, word_hashes
 
 ROWS, BANDS = 4, 32
 PERMUTATIONS = ROWS * BANDS // 2
-#: Signature values keep one bit each for a cheap comparison. A pair at a threshold of 0.8 differs in 12.8 of 128 bits on average
-#: (standard deviation 3.4); pairs that differ in more than this many are left out, seven deviations away.
-MOST_BITS = 37
-SMALL_BUCKET, BLOCK = 64, 512
+#: Most rows and bytes of text of a block (a longer text is a block of its own). A group of more than LEAST_ROWS rows is cut into
+#: SHARES blocks before blocks grow, so that its tiles are compared side by side.
+BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS, SHARES = 2048, 2 << 20, 256, 8
+#: Text of the tiles that a task takes at once.
+LOT_BYTES = 8 << 20
 VERIFY_BYTES = 4 << 20
 #: Pairs of one hub that are confirmed together.
 HUB_PAIRS = 256
@@ -36,7 +38,7 @@ HUB_PAIRS = 256
 SALTS = 16
 _ODD = mix64(np.arange(101, 101 + PERMUTATIONS, dtype=U64)) | U64(1)
 _ROW = mix64(np.arange(501, 501 + ROWS, dtype=U64)) | U64(1)
-SIGNATURES = "id bigint, n bigint, fp bigint, fp2 bigint, bands array<bigint>, e0 bigint, e1 bigint"
+SIGNATURES = "id bigint, n bigint, size bigint, fp bigint, fp2 bigint, bands array<bigint>"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,31 +80,22 @@ def _signatures(width: int):
                         prints[k, full] = np.add.reduceat(mix64(values + U64(k + 1)), at)
                 signature = np.concatenate([low, high])
                 keys = mix64((signature.reshape(BANDS, ROWS, -1) * _ROW[None, :, None]).sum(1, dtype=U64) + np.arange(BANDS, dtype=U64)[:, None] * U64(0x9E3779B97F4A7C15))
-                bits = (mix64(signature) & U64(1)).astype(np.uint8)
-                bits = np.packbits(bits, axis=0).T.copy().view(np.int64) if len(full) else np.zeros((0, 2), np.int64)
-                sketch = np.zeros((len(sizes), 2), np.int64)
-                sketch[full] = bits
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((sizes > 0) * BANDS)].astype(np.int32)), pa.array(keys.T.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(sizes, pa.int64()), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["id", "n", "fp", "fp2", "bands", "e0", "e1"])
+                size = np.diff(buffers(part["text"])[1])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(sizes, pa.int64()), pa.array(size), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists], ["id", "n", "size", "fp", "fp2", "bands"])
 
     return run
 
 
-def _similar(percent: int):
-    """Join condition on columns n, m (set sizes) and sketches e0, e1, f0, f1: may the two sets be similar enough?"""
-    bits = F.bit_count(F.col("e0").bitwiseXOR(F.col("f0"))) + F.bit_count(F.col("e1").bitwiseXOR(F.col("f1")))
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (bits <= MOST_BITS)
-
-
 def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. Pairs meet in groups by a; an a with many partners is spread over several."""
-    pairs = scratch.save(pairs, f"{name}-pairs")
     total = pairs.count()
     groups = max(1, total * 2 * 4096 // VERIFY_BYTES, min(total, 2 * shuffle_partitions(scratch.spark)))
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("c"))
-    dealt = scratch.save(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("a", F.when(F.col("c") > HUB_PAIRS, F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / HUB_PAIRS)))), F.lit(groups)).cast("int").alias("g")), f"{name}-dealt")
-    wanted = scratch.save(dealt.select("g", F.col("a").alias("id")).union(dealt.select("g", "b")).distinct(), f"{name}-wanted")
-    texts = docs.join(wanted, "id").select("g", "id", "text")
+    many = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > HUB_PAIRS)
+    sized = salted(pairs, "b").join(at_all_salts(many), ["a", "salt"], "left")
+    dealt = scratch.save(sized.select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b", F.lit(1)), F.ceil(F.col("c") / HUB_PAIRS))), F.lit(groups)).cast("int").alias("g")), f"{name}-dealt")
+    wanted = dealt.select(F.col("g").alias("lot"), F.col("a").alias("id")).union(dealt.select("g", "b")).distinct()
+    texts = docs.join(wanted.hint("merge"), "id").select("lot", "id", "text")
 
     def check(table: pa.Table, links: pa.Table) -> pa.Table:
         sets: dict[int, list[np.ndarray]] = {}
@@ -116,7 +109,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratc
         kept = links.filter(pa.array(good, pa.bool_()))
         return kept.select(["a", "b"])
 
-    return scratch.save(texts.groupBy("g").cogroup(dealt.groupBy("g")).applyInArrow(check, "a bigint, b bigint"), f"{name}-links")
+    return scratch.save(texts.groupBy("lot").cogroup(dealt.groupBy("g")).applyInArrow(check, "a bigint, b bigint"), f"{name}-links")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -128,49 +121,84 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def _tile(width: int, percent: int):
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of left with each of right.
+
+    Members of many sets are counted by products of incidence matrices, the others by the pairs of sets they are in.
+    """
+    m, k = len(left), len(right)
+    out = np.zeros((m, k), np.float32)
+    size = np.array([len(x) for x in (*left, *right)])
+    _, code, count = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m + k), size)
+    common = count >= max(3, (m + k) // 16)
+    if common.any():
+        column = np.cumsum(common) - 1
+        at = np.flatnonzero(common[code])
+        at = at[np.argsort(column[code[at]], kind="stable")]
+        columns, rows = column[code[at]], owner[at]
+        for lo in range(0, int(columns[-1]) + 1, 1024):
+            x, y = np.searchsorted(columns, [lo, lo + 1024])
+            block = np.zeros((m + k, 1024), np.float32)
+            block[rows[x:y], columns[x:y] - lo] = 1
+            out += block[:m] @ block[m:].T
+    at = np.flatnonzero(((count > 1) & ~common)[code])
+    at = at[np.argsort(code[at], kind="stable")]
+    codes, rows = code[at], owner[at]
+    ours = rows < m
+    tokens, a, b = codes[ours], rows[ours], rows[~ours] - m
+    first, last = np.searchsorted(codes[~ours], tokens, "left"), np.searchsorted(codes[~ours], tokens, "right")
+    for lo in range(0, len(tokens), 1 << 16):
+        n = (last - first)[lo : lo + (1 << 16)]
+        np.add.at(out.reshape(-1), np.repeat(a[lo : lo + (1 << 16)], n) * k + ragged(b, first[lo : lo + (1 << 16)], n), 1)
+    return out
+
+
+def _similar(shared: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets, of sizes left and right, are similar; some rows at a time."""
+    out = np.empty(shared.shape, bool)
+    for lo in range(0, len(left), 256):
+        own = shared[lo : lo + 256].astype(np.int64)
+        out[lo : lo + 256] = (100 + percent) * own >= percent * (left[lo : lo + 256, None] + right[None, :])
+    return out
+
+
+def _joining(ok: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) of ok that join components; left and right: component numbers of rows and columns."""
+    _, number = np.unique(np.concatenate([left, right]), return_inverse=True)
+    label, out = number.copy(), []
+    for i in np.flatnonzero(ok.any(1)):
+        near = np.flatnonzero(ok[i])
+        roots, where = np.unique(label[len(left) + near], return_index=True)
+        other = roots != label[i]
+        if other.any():
+            out += [(int(i), int(j)) for j in near[where[other]]]
+            label[np.isin(label, roots[other])] = label[i]
+    return out
+
+
+def _tiles(width: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        sets, ids, comps, sides = [], [], [], []
-        for batch in table.to_batches():
-            for part in slices(batch, "text"):
-                values, first = shingle_sets(part["text"], width)
-                sets += [values[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-                for to, column in ((ids, "id"), (comps, "comp"), (sides, "side")):
-                    to += part[column].to_pylist()
-        size = np.array([len(s) for s in sets], np.int64)
-        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        common = count[code] > 1
-        code, owner = code[common], owner[common]
-        _, code = np.unique(code, return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        code, owner = code[order], owner[order]
-        shared = np.zeros((len(sets), len(sets)), np.float32)
-        for lo in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
-            a, b = np.searchsorted(code, [lo, lo + 4096])
-            block = np.zeros((len(sets), 4096), np.float32)
-            block[owner[a:b], code[a:b] - lo] = 1
-            shared += block @ block.T
-        shared = shared.astype(np.int64)
-        comps, sides = np.array(comps), np.array(sides)
-        ok = (100 * shared >= percent * (size[:, None] + size[None, :] - shared)) & (comps[:, None] != comps[None, :])
-        if len(set(sides.tolist())) > 1:
-            ok &= sides[:, None] != sides[None, :]
-        parent = {c: c for c in comps.tolist()}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
+        tiles, sides = table["tile"].to_numpy(), table["side"].to_numpy()
+        order = np.lexsort((sides, tiles))
+        edges = np.flatnonzero(np.r_[True, tiles[order][1:] != tiles[order][:-1], True])
         out = []
-        for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
-            x, y = root(int(comps[i])), root(int(comps[j]))
-            if x != y:
-                parent[x] = y
-                out.append((ids[i], ids[j]))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            own = table.take(pa.array(order[lo:hi])).combine_chunks()
+            sets: list[np.ndarray] = []
+            for batch in own.to_batches():
+                for part in slices(batch, "text"):
+                    values, first = shingle_sets(part["text"], width)
+                    sets += [values[a:b].copy() for a, b in zip(first[:-1], first[1:], strict=True)]
+            size = np.array([len(x) for x in sets], np.int64)
+            ids, comps = own["id"].to_numpy(), own["comp"].to_numpy()
+            cut = int((own["side"].to_numpy() == 0).sum())
+            a, b = (slice(0, cut), slice(cut, None)) if 0 < cut < len(sets) else (slice(None), slice(None))
+            ok = _similar(_intersections(sets[a], sets[b]), size[a], size[b], percent)
+            ok &= comps[a][:, None] != comps[b][None, :]
+            out += [(ids[a][i], ids[b][j]) for i, j in _joining(ok, comps[a], comps[b])]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
@@ -190,50 +218,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.save(docs.mapInArrow(_signatures(width), SIGNATURES), "signed")
     named = signed.where("n > 0 and id is not null")
-    nodes = scratch.save(named.groupBy("fp", "fp2").agg(F.min(F.struct("id", "n", "bands", "e0", "e1")).alias("s")).select("fp", "fp2", "s.*"), "nodes")
-    brief = nodes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("e0").alias("f0"), F.col("e1").alias("f1"))
-    members = nodes.select(F.explode("bands").alias("key"), "id", "n", "e0", "e1")
-    hubs = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("x")).where("size > 1").select("key", "size", F.col("x").bitwiseXOR(F.col("key")).alias("hub"))
-    shared = scratch.save(members.join(hubs, "key"), "shared")
+    nodes = scratch.save(named.groupBy("fp", "fp2").agg(F.min(F.struct("id", "size", "bands")).alias("s")).select("fp", "fp2", "s.*"), "nodes")
+    members = nodes.select(F.explode("bands").alias("key"), "id", "size")
+    hubs = members.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1").select("key", "hub")
+    hubs = scratch.save(hubs, "hubs")  # a plain exchange in the join, so that Spark can split a common bucket
+    seats = scratch.save(members.join(hubs, "key").where("id <> hub").groupBy("hub", "id").agg(F.max("size").alias("size")), "seats")
 
     # Texts of candidates, once: the list of candidates grows with the corpus, so it is joined by a shuffle at every size.
-    candidates = shared.select("id").distinct()
+    candidates = seats.select("id").union(seats.select("hub")).distinct()
     docs = scratch.save(docs.join(candidates.hint("merge"), "id"), "texts")
 
-    stars = shared.where("id <> hub").select("id", "n", "e0", "e1", F.col("hub").alias("b")).distinct().join(brief, "b").where(_similar(percent)).select(F.col("b").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirm(docs, stars, width, percent, scratch, "stars")
-    first = scratch.save(components(links, scratch, "first"), "first")
-
-    placed = shared.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-    placed = scratch.save(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    left = scratch.save(placed.join(open_keys, "key"), "open")
-
-    small = left.where(F.col("size") <= SMALL_BUCKET)
-    other = small.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("e0").alias("f0"), F.col("e1").alias("f1"), F.col("comp").alias("comp2"))
-    pairs = small.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp2")) & (F.col("id") != F.col("hub")) & (F.col("b") != F.col("hub")) & _similar(percent))
-    more = _confirm(docs, pairs.select(F.col("id").alias("a"), "b").distinct(), width, percent, scratch, "small")
-
-    # Larger buckets: members of a component with many of them fill blocks of their own, the others mixed blocks.
-    large = left.where(F.col("size") > SMALL_BUCKET)
-    shares = large.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    kinds = shares.select("key", "comp", F.when(F.col("c") >= BLOCK // 2, F.col("comp")).otherwise(F.lit(-1)).alias("kind"), "c")
-    sums = kinds.groupBy("key", "kind").agg(F.sum("c").alias("c"))
-    cut = scratch.save(large.join(kinds.drop("c"), ["key", "comp"]).join(sums, ["key", "kind"]).select("key", "id", "comp", "kind", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)).cast("int").alias("block")), "cut")
-    blocks = scratch.save(cut.select("key", "kind", "block").distinct(), "blocks")
-    facing = blocks.select("key", F.col("kind").alias("kind2"), F.col("block").alias("block2"))
-    tiles = blocks.join(facing, "key").where("(kind < kind2 or (kind = kind2 and block <= block2)) and (kind <> kind2 or kind = -1)")
-    tiles = tiles.withColumn("tile", F.xxhash64("key", "kind", "block", "kind2", "block2"))
-    sides = tiles.select("tile", "key", "kind", "block", F.lit(0).alias("side")).union(tiles.where("kind <> kind2 or block <> block2").select("tile", "key", "kind2", "block2", F.lit(1)))
-    seats = scratch.save(cut.join(sides, ["key", "kind", "block"]).select("tile", "side", "id", "comp"), "seats")
-    tiled = scratch.save(docs.join(seats, "id").select("tile", "side", "id", "comp", "text").groupBy("tile").applyInArrow(_tile(width, percent), "a bigint, b bigint"), "tiled")
-
-    roots = scratch.save(components(links.union(more).union(tiled), scratch, "all"), "roots")
+    links = _confirm(docs, seats.select(F.col("hub").alias("a"), F.col("id").alias("b")), width, percent, scratch, "stars")
+    first = components(links, scratch, "first")
+
+    # hubs have been compared with all their members; what is left are the members of different components
+    placed = scratch.save(seats.join(first.withColumnRenamed("node", "id"), "id", "left").select("hub", "id", "size", F.coalesce("root", "id").alias("comp")), "placed")
+    open_hubs = placed.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("hub")
+    left = scratch.save(salted(placed, "id").join(at_all_salts(open_hubs), ["hub", "salt"]).drop("salt"), "left")
+
+    # members of a component with many of them fill blocks of their own, the others mixed blocks
+    shares = left.groupBy("hub", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("size"))
+    own = (F.col("c") >= min(LEAST_ROWS, BLOCK_ROWS)) | (F.col("size") >= BLOCK_BYTES // 2)
+    shares = shares.withColumn("kind", F.when(own, F.col("comp")).otherwise(F.lit(-1)))
+    count = F.greatest(F.least(F.ceil(F.sum("c") / LEAST_ROWS), F.lit(SHARES)), F.ceil(F.sum("c") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
+    kinds = scratch.save(shares.groupBy("hub", "kind").agg(count.alias("blocks")), "kinds")
+    placing = salted(shares.select("hub", "comp", "kind"), "comp").join(at_all_salts(kinds), ["hub", "kind", "salt"]).drop("salt")
+    cut = salted(left, "id").join(at_all_salts(placing), ["hub", "comp", "salt"]).select("hub", "id", "comp", "size", "kind", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    blocks = kinds.select("hub", "kind", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    facing = blocks.select("hub", F.col("kind").alias("kind2"), F.col("block").alias("block2"))
+    tiles = blocks.join(facing, "hub").where("(kind < kind2 or (kind = kind2 and block <= block2)) and (kind <> kind2 or kind = -1)")
+    tile = F.xxhash64("hub", "kind", "block", "kind2", "block2").alias("tile")
+    one, two = (F.struct(F.lit(k).alias("side"), F.col("kind" + x).alias("kind"), F.col("block" + x).alias("block")) for k, x in ((0, ""), (1, "2")))
+    both = F.when(F.expr("kind <> kind2 or block <> block2"), F.array(one, two)).otherwise(F.array(one))
+    sides = tiles.select(tile, "hub", F.explode(both).alias("s")).select("tile", "hub", "s.*")
+    faced = scratch.save(cut.join(sides, ["hub", "kind", "block"]).select("tile", "side", "id", "comp", "size"), "faced")
+    lots = max(2 * shuffle_partitions(spark), (faced.agg(F.sum("size")).first()[0] or 0) // LOT_BYTES)
+    lot = F.pmod(F.xxhash64("tile"), F.lit(lots)).cast("int").alias("lot")
+    tiled = scratch.save(docs.join(faced.hint("merge"), "id").select(lot, "tile", "side", "id", "comp", "text").groupBy("lot").applyInArrow(_tiles(width, percent), "a bigint, b bigint"), "tiled")
+
+    roots = components(links.union(tiled), scratch, "all")
     # rows of one id and several texts are one document
     tops = nodes.select("fp", "fp2", F.col("id").alias("node")).join(roots, "node", "left").select("fp", "fp2", F.coalesce("root", "node").alias("top"))
     tops = scratch.save(tops, "tops")
     # the result reads signed and tops only
-    scratch.drop("nodes", "shared", "texts", "first", "placed", "open", "cut", "blocks", "seats", "tiled", "roots", *(f"{a}-{b}" for a in ("stars", "small") for b in ("pairs", "dealt", "wanted", "links")))
+    scratch.drop("nodes", "hubs", "seats", "texts", "placed", "left", "kinds", "faced", "tiled", "stars-dealt", "stars-links")
     found = signed.select("id", "n", "fp", "fp2").join(tops, ["fp", "fp2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("top", "id")).otherwise(F.col("id")).alias("top"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("top")).alias("component_id"), F.coalesce(F.col("id") == F.col("top"), F.lit(True)).alias("kept"))
 

@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spliceatlas.llm import bpe, minhash, substring, toxicity
+from spliceatlas.llm import _graph, bpe, minhash, substring, toxicity
+from spliceatlas.llm._store import Scratch
 from spliceatlas.llm._text import rolling, split_words, window_starts, word_hashes
 from spliceatlas.llm.queries import tokenizer_file
 
@@ -111,16 +112,58 @@ def components(texts, width=3, percent=85):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("small_bucket,width,percent", [(64, 3, 85), (2, 3, 85), (64, 5, 80)])
-def test_near_duplicates_match_brute_force(spark, corpus, small_bucket, width, percent, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL_BUCKET", small_bucket)  # 2: larger buckets go by tiles
-    monkeypatch.setattr(minhash, "BLOCK", 8 if small_bucket == 2 else minhash.BLOCK)
+@pytest.mark.parametrize("rows,width,percent", [(2048, 3, 85), (4, 3, 85), (2048, 5, 80)])
+def test_near_duplicates_match_brute_force(spark, corpus, rows, width, percent, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows)  # 4: groups are cut into many blocks
     expected = components(corpus, width, percent)
     got = {r.doc_id: r for r in minhash.near_duplicates(docs_of(spark, corpus), width, percent).collect()}
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == expected
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def variants(n, most, seed=3):
+    """Copies of one text of 120 words with up to `most` words changed: many are near each other without being linked."""
+    rnd = random.Random(seed)
+    base = ["b%d" % rnd.randrange(400) for _ in range(120)]
+    out = []
+    for k in range(n):
+        copy = list(base)
+        for _ in range(rnd.randint(0, most)):
+            copy[rnd.randrange(len(copy))] = "e%d" % rnd.randrange(2000)
+        out.append((k, " ".join(copy)))
+    return out
+
+
+@pytest.mark.parametrize("block_rows,block_bytes,hub_pairs", [(2048, 2 << 20, 256), (50, 2 << 20, 20), (2048, 20_000, 256)])
+def test_large_groups_of_unlinked_variants_match_brute_force(spark, block_rows, block_bytes, hub_pairs, monkeypatch):
+    for name, value in (("BLOCK_ROWS", block_rows), ("BLOCK_BYTES", block_bytes), ("HUB_PAIRS", hub_pairs)):
+        monkeypatch.setattr(minhash, name, value)
+    rows = variants(400, 9)
+    expected = components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs_of(spark, rows), 3, 85).collect()}
+    assert got == expected
+    assert len({c for _, c in expected.values()}) > 50
+
+
+def test_intersections_of_common_and_rare_members():
+    rnd = np.random.default_rng(1)
+    sets = [np.unique(rnd.integers(0, 40 if k % 2 else 4000, 80)).astype(np.uint64) for k in range(90)]
+    got = minhash._intersections(sets[:40], sets[40:])
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[40:]] for x in sets[:40]]
+    assert minhash._intersections(sets[:3], sets[:3]).tolist() == [[len(np.intersect1d(x, y)) for y in sets[:3]] for x in sets[:3]]
+
+
+def test_components_of_paths_and_endless_steps(spark, monkeypatch):
+    edges = [(k, k + 1) for k in range(50)] + [(100 + k, 100) for k in range(1, 40)] + [(7, 7), (300, 301), (301, 300)]
+    scratch = Scratch(spark)
+    found = {r.node: r.root for r in _graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), scratch).collect()}
+    assert found == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(100, 140), 100), 300: 300, 301: 300}
+    assert _graph.components(spark.createDataFrame([], "a bigint, b bigint"), scratch).collect() == []
+    monkeypatch.setattr(_graph, "MOST_STEPS", 1)
+    with pytest.raises(RuntimeError):
+        _graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), scratch)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).collect() == []
     got = minhash.near_duplicates(docs_of(spark, [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (9, None)])).collect()
