@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import logging
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -13,6 +15,7 @@ from .functions import stats
 from .operators.classify import CLIP_A5SS_CUTS, CLIP_CUTS, MOTIF_CUTS, Cuts
 from .operators.isoforms import convert, exon_sets, header
 from .operators.motif import Shape, sequences
+from .paths import user_path
 from .plans import maps
 from .sources import genome, sinks, text
 from .specs import EVENTS, event
@@ -75,14 +78,49 @@ def cuts_of(args: argparse.Namespace, analysis: str) -> Cuts:
     return Cuts(fdr, delta, base.bg_fdr, base.min_psi, base.max_psi)
 
 
+#: Arguments that are paths.
+PATHS = ("output", "events", "isoforms", "up", "down", "background", "known_motifs", "motifs", "fasta", "peak", "input")
+LOG = logging.getLogger("spliceatlas")
+
+
+def _log_to(folder: str, command: str) -> logging.Handler:
+    """A log file log.<command>.txt in the output folder."""
+    os.makedirs(folder, exist_ok=True)
+    handler = logging.FileHandler(os.path.join(folder, f"log.{command}.txt"), mode="w", encoding="utf-8")
+    handler.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+    LOG.addHandler(handler)
+    LOG.setLevel(logging.INFO)
+    return handler
+
+
 def main(argv: list[str] | None = None) -> int:
+    """Relative paths are taken from the folder the command is called from. A run is logged in its output folder."""
     args = parser().parse_args(argv)
+    for name in PATHS:
+        if getattr(args, name, None) is not None:
+            setattr(args, name, user_path(getattr(args, name)))
+    handler = _log_to(os.path.dirname(args.output) if args.command == "convert" else args.output, args.command)
+    LOG.info("start: %s", " ".join(sys.argv[1:] if argv is None else argv))
+    try:
+        code = _run(args)
+        LOG.info("end")
+        return code
+    except Exception:
+        LOG.exception("failed")
+        raise
+    finally:
+        LOG.removeHandler(handler)
+        handler.close()
+
+
+def _run(args: argparse.Namespace) -> int:
     spark = SparkSession.builder.appName(f"spliceatlas {args.command}").getOrCreate()
     if args.command in ("motif-map", "clip-map"):
         analysis = "motif" if args.command == "motif-map" else "clip"
         kind = event(args.event)
         coords = maps.load_coordinates(spark, kind, analysis, events=args.events, isoforms=args.isoforms, up=args.up, dn=args.down, bg=args.background, cuts=cuts_of(args, analysis))
         maps.write_coordinates(coords, kind, args.output)
+        LOG.info("coordinates written")
         shape = Shape(args.exon, args.intron, args.window, args.step)
         how = {"method": args.stat_method, "permutations": args.stat_permutations, "seed": args.stat_seed}
         if analysis == "motif":

@@ -7,6 +7,8 @@ the permutation test takes the values themselves.
 from __future__ import annotations
 
 import math
+import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,17 @@ HEADERS = {
 PERMUTATIONS, SEED, LEAST_PERMUTATIONS = 500, 1337, 50
 
 
+def permutation_settings() -> tuple[int, int]:
+    """Number of permutations and seed: from SPLICEATLAS_STAT_PERMUTATIONS (at least 50) and SPLICEATLAS_STAT_SEED (at least 0), where these
+    are set to such numbers, else the defaults."""
+
+    def read(name: str, default: int, least: int) -> int:
+        text = os.environ.get(name, "").strip()
+        return int(text) if re.fullmatch(r"[+-]?[0-9]{1,18}", text) and int(text) >= least else default
+
+    return read("SPLICEATLAS_STAT_PERMUTATIONS", PERMUTATIONS, LEAST_PERMUTATIONS), read("SPLICEATLAS_STAT_SEED", SEED, 0)
+
+
 def method_name(name: str | None) -> str:
     """The test a name stands for; unknown names mean Fisher's."""
     return METHODS.get((name or "fisher").strip().lower(), "fisher")

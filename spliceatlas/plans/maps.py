@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -14,12 +15,12 @@ from ..operators.classify import CLIP_A5SS_CUTS, CLIP_CUTS, MOTIF_CUTS, Cuts, cl
 from ..operators.isoforms import convert
 from ..operators.motif import Shape
 from ..operators.numbering import numbered
+from ..paths import MISSING
 from ..sources.text import read_coordinates, read_events, read_isoforms
 from ..sources.workbook import is_workbook, read_workbook
 from ..specs import CONTRASTS, GROUPS, Event, event
 
 CLIP_SHAPE = Shape(window=10)
-MISSING = "NA"
 
 
 def given(path: str | None) -> bool:
@@ -81,12 +82,13 @@ def _tested(counts: DataFrame, cells: DataFrame, keys: list[str], sizes: dict[st
     if method == "fisher":
         return summary.fisher(total, sizes, window if clip else 1)
     if method == "permutation_one_sided":
+        usual, own = stats.permutation_settings()
         if clip:
-            b = permutations if permutations is not None and permutations >= stats.LEAST_PERMUTATIONS else stats.PERMUTATIONS
-            s = seed if seed is not None and seed >= 0 else stats.SEED
+            b = permutations if permutations is not None and permutations >= stats.LEAST_PERMUTATIONS else usual
+            s = seed if seed is not None and seed >= 0 else own
         else:
-            b = max(stats.LEAST_PERMUTATIONS, stats.PERMUTATIONS if permutations is None else permutations)
-            s = max(0, stats.SEED if seed is None else seed)
+            b = max(stats.LEAST_PERMUTATIONS, usual if permutations is None else permutations)
+            s = max(0, own if seed is None else seed)
         p = summary.permutation_test(counts, cells, keys, sizes, b, s, shared=not clip, value=value)
     else:
         p = summary.rank_test(summary.histograms(counts, cells, keys, sizes, value), method, clip).select(*on, *[f"p_{g}" for g in CONTRASTS])
@@ -130,7 +132,7 @@ def write_coordinates(coords: DataFrame, kind: Event, out: str) -> None:
 
 
 def write_motif_map(result: Map, out: str, method: str = "fisher", tables: bool = False, plot: bool = False) -> None:
-    """Summaries of smallest p-values and draw points; with tables also count distributions and p-values of all motifs, as folders;
+    """Summaries of smallest p-values and draw points; with tables also count distributions and p-values, a folder for each motif;
     with plot also a map of each motif as an SVG file."""
     from ..sources.sinks import write_report, write_svg, write_table
 
@@ -139,16 +141,16 @@ def write_motif_map(result: Map, out: str, method: str = "fisher", tables: bool
         write_report(result.min_p(g), f"{out}/pVal.{g}.vs.bg.RNAmap.txt")
     write_report(result.labelled(result.points()).orderBy(*result.keys, "region", "pos"), f"{out}/points.txt")
     if plot:
-        points = result.points().persist()
-        for r in points.select(*result.keys).distinct().collect():  # a row for each motif
-            own = points.where((F.col("motif") == r["motif"]) & (F.col("regex") == r["regex"]))
-            write_svg(own, f"{out}/maps/{result.event.name}.{re.sub('[^A-Za-z0-9.-]', '_', r['motif'] + '.' + r['regex'])}.svg", result.event.labels, f"{r['motif']} {r['regex']}")
-        points.unpersist()
+        # one pass over all motifs in order; the points of one map are held at a time
+        rows = result.points().orderBy(*result.keys, "region", "pos").toLocalIterator(prefetchPartitions=True)
+        for (name, expression), own in itertools.groupby(rows, lambda r: (r["motif"], r["regex"])):
+            write_svg(list(own), f"{out}/maps/{result.event.name}.{re.sub('[^A-Za-z0-9.-]', '_', name + '.' + expression)}.svg", result.event.labels, f"{name} {expression}", result.sizes)
     if tables:
+        named = F.concat_ws(".", *result.keys).alias("RBP")
         for g in GROUPS:
-            write_table(result.labelled(result.values(g)), f"{out}/countDist.{g}")
+            write_table(result.labelled(result.values(g)).select(named, F.col("region").alias("Region"), F.col("pos").alias("position"), "sum", "values"), f"{out}/countDist.{g}", "RBP")
         for g in CONTRASTS:
-            write_table(result.labelled(result.tested).select(*result.keys, F.col("region").alias("Region"), F.col("pos").alias("position"), F.col(f"p_{g}").alias(label)), f"{out}/pVal.{g}.vs.bg")
+            write_table(result.labelled(result.tested).select(named, F.col("region").alias("Region"), F.col("pos").alias("position"), F.col(f"p_{g}").alias(label)), f"{out}/pVal.{g}.vs.bg", "RBP")
 
 
 def write_clip_map(result: Map, out: str, method: str = "fisher", plot: bool = False) -> None:
@@ -166,4 +168,6 @@ def write_clip_map(result: Map, out: str, method: str = "fisher", plot: bool = F
     for g in CONTRASTS:
         write_report(result.labelled(result.tested.orderBy("region", "pos")).select(F.col("region").alias("Region"), F.col("pos").alias("position"), F.col(f"p_{g}").alias(label)), f"{out}/pVal.{g}.vs.bg.RNAmap.txt")
     if plot:
-        write_svg(result.combined(), f"{out}/{result.event.name}.RNA.map.svg", result.event.labels, f"{result.event.name} RNA map")
+        drawn = result.points().drop(*[f"mean_{g}" for g in GROUPS]).join(result.combined().select("region", "pos", *[f"mean_{g}" for g in GROUPS]), ["region", "pos"])
+        rows = drawn.orderBy("region", "pos").collect()  # bounded: positions of one map
+        write_svg(rows, f"{out}/{result.event.name}.RNA.map.svg", result.event.labels, f"{result.event.name} RNA map", result.sizes)

@@ -14,6 +14,7 @@ from spliceatlas import cli, streaming
 from spliceatlas.functions import stats
 from spliceatlas.operators import summary
 from spliceatlas.operators.motif import Shape
+from spliceatlas.paths import user_path
 from spliceatlas.plans import maps
 from spliceatlas.plans.queries import QUERIES, SQL
 from spliceatlas.sources import genome, text, workbook
@@ -109,14 +110,18 @@ def test_motif_map(spark, files):
 def test_command_line(spark, files, tmp_path):
     args = ["clip-map", "se", "--events", str(files / "events.txt"), "--peak", str(files / "peaks.bed"), "--output", str(tmp_path / "c"), "--exon", "20", "--intron", "30", "--plots"]
     assert cli.main(args) == 0
-    assert (tmp_path / "c/SE.RNA.map.svg").read_text().count("<polyline") == 24
+    assert (tmp_path / "c/SE.RNA.map.svg").read_text().count("<polyline") == 40
+    assert "Upregulated (" in (tmp_path / "c/SE.RNA.map.svg").read_text() and "-log10 p" in (tmp_path / "c/SE.RNA.map.svg").read_text()
+    assert "start: clip-map se" in (tmp_path / "c/log.clip-map.txt").read_text()
     names = {p.name for p in (tmp_path / "c").iterdir()}
     assert {"upregulated.RNAmap.txt", "combined.RNAmap.txt", "count.dist.background.RNAmap.txt", "pVal.up.vs.bg.RNAmap.txt"} <= names
     head = (tmp_path / "c/pVal.up.vs.bg.RNAmap.txt").read_text().split("\n")
     assert head[0] == f"Region\tposition\t{stats.HEADERS['fisher']}" and head[1].startswith("UpstreamExon_3prime\t0\t")
     assert cli.main(["motif-map", "se", "--events", str(files / "events.txt"), "--known-motifs", str(files / "motifs.txt"), "--fasta", str(files / "genome.fa"), "--output", str(tmp_path / "m"), "--exon", "10", "--intron", "10", "--window", "5", "--keep-tables", "--plots"]) == 0
     assert len(list((tmp_path / "m/maps").glob("SE.m*.svg"))) == 2
-    assert all(list((tmp_path / "m" / d).glob("part-*")) for d in ("countDist.up", "pVal.dn.vs.bg", "fasta"))
+    assert list((tmp_path / "m/fasta").glob("part-*"))
+    for d in ("countDist.up", "pVal.dn.vs.bg"):  # a folder for each motif
+        assert {p.name.split(".")[0] for p in (tmp_path / "m" / d).glob("RBP=*")} == {"RBP=m1", "RBP=m2"}
     paths = {g: str(tmp_path / f"c/exon/{g}.coord.txt") for g in ("up", "dn", "bg")}
     assert maps.load_coordinates(spark, EVENTS["SE"], "clip", **paths).groupBy("grp").count().count() == 3
     assert (tmp_path / "m/pVal.up.vs.bg.RNAmap.txt").read_text().startswith("RBP\tsmallest_p_in")
@@ -183,3 +188,20 @@ def test_the_permutation_query_takes_all_permutations(spark, small):
     counts = [p * (stats.PERMUTATIONS + 1) for r in rows for p in (r.p_up, r.p_dn)]
     assert any(c < stats.PERMUTATIONS for c in counts)
     assert counts == pytest.approx([round(c) for c in counts], abs=1e-6)
+
+
+def test_user_paths(tmp_path, monkeypatch):
+    monkeypatch.setenv("HOME", "/home/someone")
+    base = str(tmp_path.resolve())
+    assert user_path("NA", base) == "NA" and user_path("results/../out", base) == f"{base}/out"
+    assert user_path("~/x", base) == "/home/someone/x" and user_path("/a/b", base) == "/a/b"
+    assert user_path("s3a://bucket/x", base) == "s3a://bucket/x" and user_path("file:/x", base) == "file:/x"
+    monkeypatch.chdir(tmp_path)
+    assert user_path("y") == f"{base}/y"
+
+
+def test_permutation_settings(monkeypatch):
+    for given, expected in ((("80", "7"), (80, 7)), (("49", "-1"), (500, 1337)), (("many", ""), (500, 1337)), ((" 50 ", "0"), (50, 0))):
+        monkeypatch.setenv("SPLICEATLAS_STAT_PERMUTATIONS", given[0])
+        monkeypatch.setenv("SPLICEATLAS_STAT_SEED", given[1])
+        assert stats.permutation_settings() == expected
