@@ -11,20 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 
 #: Bytes of an Arrow batch that goes to a Python worker. Spark's default of 64 MB is held several times over, by worker and executor.
-BATCH_BYTES, DEFAULT_BATCH = 8 << 20, "67108864b"
+BATCH_BYTES, DEFAULT_BATCH = 4 << 20, "67108864b"
 _OWN: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset, a folder of this machine (tests)."""
+    """The session's spark.checkpoint.dir; only where that is unset and the master is local, a folder of this machine (tests).
+
+    On a cluster other machines would not see such a folder, so RuntimeError is raised there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        root = _OWN.setdefault(app, "") or tempfile.mkdtemp(prefix="spliceatlas-")
-        _OWN[app] = root
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _OWN.get(context.applicationId) or tempfile.mkdtemp(prefix="spliceatlas-")
+        _OWN[context.applicationId] = root
     return root.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the scratch tables of this application, once their results have been used."""
+    _delete(spark, f"{checkpoint_root(spark)}/spliceatlas/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with the package shipped and Arrow batches of bounded size (a setting of the user's stays)."""
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -39,11 +54,11 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 class Scratch:
-    """Tables of one operator call. A written table cuts the lineage and is read again after an executor is lost."""
+    """Tables of one operator call. A written table cuts the lineage and is read again after an executor is lost; clear deletes them."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.path = f"{checkpoint_root(spark)}/spliceatlas/{uuid.uuid4().hex}"
+        self.path = f"{checkpoint_root(spark)}/spliceatlas/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -52,8 +67,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Deletes tables that no later result reads."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.path}/{name}")
 
 
 def input_bytes(df: DataFrame) -> int:

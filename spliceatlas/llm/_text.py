@@ -6,6 +6,7 @@ buffers with numpy, so a text of any length costs a few passes over its bytes an
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -33,6 +35,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _VALUES = mix64(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
+#: Of a second hash that is independent of the first.
+_OTHER_BASE, _OTHER_VALUES = 0xC2B2AE3D27D4EB4F, mix64(np.arange(1, 257, dtype=U64) * U64(0x165667B19E3779F9))
+_OTHER_INV = pow(_OTHER_BASE, -1, 1 << 64)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 
@@ -66,6 +71,13 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system. A Python worker is kept for the next task, and would keep its peak with it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n + 1 offsets of an Arrow string array; nulls are empty."""
     if texts.null_count:
@@ -98,18 +110,19 @@ def split_words(texts: pa.Array, separators: np.ndarray = _SPACE) -> Words:
     return Words(data, start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets))
 
 
-def word_hashes(words: Words, lower: bool = False) -> np.ndarray:
-    """A 64-bit polynomial hash of each word's bytes; lower folds A-Z only."""
-    values = _VALUES[_LOWER] if lower else _VALUES
+def word_hashes(words: Words, lower: bool = False, other: bool = False) -> np.ndarray:
+    """A 64-bit polynomial hash of each word's bytes; lower folds A-Z only; other gives another hash, independent of this one."""
+    values, base, inverse = (_OTHER_VALUES, _OTHER_BASE, _OTHER_INV) if other else (_VALUES, _BASE, _BASE_INV)
+    values = values[_LOWER] if lower else values
     out = np.empty(len(words.start), U64)
     lo = 0
     while lo < len(out):
         hi = max(lo + 1, int(np.searchsorted(words.end, words.start[lo] + _CHUNK, "right")))
         at, upto = int(words.start[lo]), int(words.end[hi - 1])
         sums = np.zeros(upto - at + 1, U64)
-        np.cumsum(values[words.data[at:upto]] * _powers(_BASE, upto - at), out=sums[1:])
+        np.cumsum(values[words.data[at:upto]] * _powers(base, upto - at), out=sums[1:])
         begin = words.start[lo:hi] - at
-        out[lo:hi] = (sums[words.end[lo:hi] - at] - sums[begin]) * _powers(_BASE_INV, upto - at)[begin]
+        out[lo:hi] = (sums[words.end[lo:hi] - at] - sums[begin]) * _powers(inverse, upto - at)[begin]
         lo = hi
     return mix64(out + (words.end - words.start).astype(U64))
 
@@ -159,13 +172,20 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
     held, size = [], 0
     for batch in batches:
         if held and size + batch.nbytes > limit:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
+            yield _joined(held)
+            size = 0
         if batch.num_rows:
             held.append(batch)
             size += batch.nbytes
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch of all; the list is emptied, so that they are not held beside it."""
+    whole = pa.Table.from_batches(batches).combine_chunks()
+    batches.clear()
+    return whole.to_batches()[0]
 
 
 def ragged(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:

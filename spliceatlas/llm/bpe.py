@@ -25,11 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import session_of
-from ._text import buffers, gathered, ragged, slices, split_words
+from ._text import buffers, gathered, give_back, ragged, slices, split_words
 
 #: Bytes of text whose distinct chunks are merged at once, and that are split into chunks at once.
-GROUP, SLICE = 16 << 20, 4 << 20
+GROUP, SLICE = 12 << 20, 2 << 20
 SLOT_BITS = 20
+#: Positions that enter the index at once at the start.
+FIRST = 1 << 19
+#: Characters of distinct chunks that are split into pieces at once.
+PART = 1 << 19
 #: Unicode White_Space, as \s means it in the tokenizers' pattern language.
 WHITE = "\\u0009-\\u000D\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 #: The split patterns of the two public vocabularies, with white space spelled out.
@@ -59,8 +63,8 @@ class Vocabulary:
         self.words = bool(self.word_end)
         self.split = regex.compile(WORD_SPLIT if self.words else BYTE_SPLIT)
         self.special_split = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")")
-        self.base = np.array([ids[c] for c in letters], np.int64)
-        self.last = np.array([ids[c + self.word_end] for c in letters], np.int64)
+        self.base = np.array([ids[c] for c in letters], np.int32)
+        self.last = np.array([ids[c + self.word_end] for c in letters], np.int32)
         self.size = max(*ids.values(), *self.special.values()) + 1
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([ids[a] * self.size + ids[b] for a, b in pairs], np.int64)
@@ -110,7 +114,8 @@ class Vocabulary:
     def merge(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Applies all merges to pieces that end (exclusive) at `ends`. Returns the ids left and where each stood."""
         n = len(symbols)
-        sym = np.append(symbols.astype(np.int32), np.int32(-1))
+        sym = np.append(symbols, np.int32(-1))
+        del symbols
         after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1] = n
         before[np.r_[0, ends[:-1]]] = n
@@ -136,7 +141,8 @@ class Vocabulary:
                     index[r] = [at[edges[k] : edges[k + 1]]]
                     heapq.heappush(heap, r)
 
-        add(np.flatnonzero(after[:n] < n).astype(np.int32))
+        for lo in range(0, n, FIRST):
+            add((np.flatnonzero(after[lo : min(lo + FIRST, n)] < n) + lo).astype(np.int32))
         fresh = np.zeros(n + 1, bool)
         while heap:
             rank = heapq.heappop(heap)
@@ -226,6 +232,36 @@ def _pieces(text: str, vocab: Vocabulary) -> tuple[list[int], list[int]]:
     return symbols, sizes
 
 
+def _split_at_once(text: str, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all pieces of a text, and the ends (exclusive) of the pieces among the symbols and among the characters of the pieces."""
+    at, codes = [], []
+    lo, upto = 0, 0
+    while lo < len(text):
+        # parts end where a chunk does: at the space between chunks, or before white space after a visible character
+        hi = len(text) if len(text) - lo <= PART else _cut(text, lo + PART, vocab)
+        pieces = vocab.split.findall(text[lo:hi])
+        sizes = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) + upto
+        upto = int(sizes[-1]) if len(sizes) else upto
+        at.append(sizes)
+        codes.append(np.frombuffer("".join(pieces).encode(), np.uint8))
+        lo = hi
+    at, codes = np.concatenate(at), np.concatenate(codes)
+    head = (codes & 0xC0) != 0x80
+    end = np.r_[np.flatnonzero(head).astype(np.int32), np.int32(len(codes))][at]
+    made = vocab.base[codes]
+    made[end - 1] = vocab.last[codes[end - 1]]
+    return made, end, at
+
+
+_CUT = regex.compile(r"(?<=[!-~])[ \t\n\r\f\v]")
+
+
+def _cut(text: str, at: int, vocab: Vocabulary) -> int:
+    """A place from `at` on where the split of the text does not change if it is cut there."""
+    found = text.find(" ", at) if vocab.words else (m.start() if (m := _CUT.search(text, at)) else -1)
+    return found if found >= 0 else len(text)
+
+
 def _encode_chunks(chunks: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of distinct chunks: the ids of chunk i are ids[first[i] : first[i] + size[i]]."""
     data, offsets = buffers(chunks)
@@ -246,29 +282,26 @@ def _encode_chunks(chunks: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.
             own, at = buffers(parts)
             text = own.tobytes().decode()
             upto = np.cumsum(np.add.reduceat(((own & 0xC0) != 0x80).astype(np.int64), at[:-1]))
-        pieces = vocab.split.findall(text)
-        end = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        owner.append(np.flatnonzero(plain)[np.searchsorted(upto, end)])
-        codes = np.frombuffer("".join(pieces).encode(), np.uint8)
-        end = np.r_[np.flatnonzero((codes & 0xC0) != 0x80), len(codes)][end]
-        made = vocab.base[codes]
-        made[end - 1] = vocab.last[codes[end - 1]]
+        made, end, at = _split_at_once(text, vocab)
+        owner.append(np.flatnonzero(plain)[np.searchsorted(upto, at)].astype(np.int32))
         symbols.append(made)
         ends.append(end)
+        del text, upto, at, made, end, parts
     odd = np.flatnonzero(~plain)
     rest = dict(zip(odd.tolist(), chunks.take(pa.array(odd)).cast(pa.string()).to_pylist(), strict=True))
     for i in rest:
         got, sizes = _pieces(rest[i], vocab)
         base = int(ends[-1][-1]) if ends else 0
         if sizes:
-            symbols.append(np.array(got, np.int64))
+            symbols.append(np.array(got, np.int32))
             ends.append(base + np.cumsum(sizes))
-            owner.append(np.full(len(sizes), i))
+            owner.append(np.full(len(sizes), i, np.int32))
     if not symbols:
         none = np.zeros(len(chunks), np.int64)
         return none[:0], none, none
     end, owner = np.concatenate(ends), np.concatenate(owner)
-    ids, stood = vocab.merge(np.concatenate(symbols), end)
+    symbols.append(np.concatenate([symbols.pop(0) for _ in range(len(symbols))]))
+    ids, stood = vocab.merge(symbols.pop(), end)
     holder = owner[np.searchsorted(end, stood, "right")]
     size = np.bincount(holder, minlength=len(chunks))
     first = np.zeros(len(chunks), np.int64)
@@ -296,6 +329,8 @@ def encode_batch(texts: pa.Array, vocab: Vocabulary):
             codes = whole.chunk(k).indices.to_numpy()
             sizes = size[codes]
             yield begin, end, ragged(ids, at[codes], sizes), np.r_[0, np.cumsum(sizes)][first]
+        del whole, ids, at, size, codes, sizes, spans
+        give_back()
 
 
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

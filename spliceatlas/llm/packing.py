@@ -4,7 +4,8 @@ Lengths are integers from 1 to the capacity, so the packing is planned over the
 entries whatever the corpus: pieces above a third of the capacity are matched greedily, at most two to a
 sequence, the longest with the longest that still fits; then shorter pieces, longest first, go into the smallest gap that
 holds them. The plan is a short list of runs of equal sequences. A piece finds its place by its rank among the pieces of
-its length; ranks come from counts of small random groups, so no length, however common, is sorted in one task.
+its length; ranks come from counts of small groups that rows fall into by their number, so neither a common length nor repeated rows are
+sorted in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ GROUP_ROWS = 100_000
 
 def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's ids and end_id, cut into pieces of at most `capacity` only where they are more. Null texts are empty: one
-    piece, the end_id. Returns id_col, piece, start, length, ids_crc32 (of little-endian unsigned 32-bit ids)."""
+    piece, the end_id. Returns id_col, piece, start, length, ids_crc32 (of little-endian unsigned 32-bit ids).
+
+    Rows, repeated ones and null ids too, are cut independently; other columns are ignored; an empty table gives no pieces."""
     session_of(docs)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     end = int(end_id).to_bytes(4, "little")
@@ -120,14 +123,14 @@ def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFr
     """
     spark = session_of(cut)
     scratch = Scratch(spark)
-    cut = scratch.save(cut, "pieces")
+    cut = scratch.save(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")  # written, so a row keeps its number
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     table = places(plan(counts, capacity))
     groups = max(shuffle_partitions(spark), sum(counts.values()) // GROUP_ROWS)
-    cut = cut.withColumn("part", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)).cast("int"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = cut.groupBy("length", "part").agg(F.count("*").alias("c")).select("length", "part", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("base"))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy(id_col, "piece")) - 1)
+    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy(id_col, "piece", "row")) - 1)
     ranked = ranked.join(bases, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
     # bounded: at most one row for each run and distinct length in it
     lookup = spark.createDataFrame(table, "length bigint, lo bigint, hi bigint, seq bigint, each bigint, off bigint")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._store import session_of
 from ._spans import SPANS, Taken
-from ._text import slices
+from ._text import give_back, slices
 
 KINDS = ["assign", "access", "hex", "novel"]
 #: The shapes of the base kinds.
@@ -130,12 +130,17 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(_batch_spans(part["text"], novelty), _TYPE)], ["id", "spans"])
+            give_back()
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs, all columns, with each secret replaced by [SECRET]; length_col, if there is one, is brought up to date."""
+    """docs, all columns, with each secret replaced by [SECRET]; length_col, if there is one, is brought up to date.
+
+    Spans that overlap are replaced together. Null texts stay null, empty ones empty, and texts without secrets as they are; rows, repeated ones
+    too, are scanned independently; an empty table stays empty.
+    """
     session_of(docs)
     names = docs.columns
 
@@ -152,6 +157,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                     at = names.index(text_col)
                     part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
                 yield part
+            give_back()
 
     out = docs.mapInArrow(run, docs.schema)
     if length_col in names:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch, session_of
@@ -29,17 +29,22 @@ def _products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
+def _floored(x: Column) -> Column:
+    """floor of a double, as a double. floor alone goes through 64-bit integers; from 2 to the 53rd on a double is whole anyway."""
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+
+
 def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each id divisible by `every`, its k best other rows: query_id, rank (from 1), vec_id, score.
 
-    Components x become floor(scale * x); the score is their integer inner product (scores beyond 64 bits are held at the
-    largest that fits); ties go to the smaller id. Rows with null ids, and vectors that are null, empty or hold null or
+    Components x become floor(scale * x), whatever their size (those that overflow a double then take no part); the score is their integer
+    inner product (scores beyond 64 bits are held at the largest that fits); ties go to the smaller id. Rows with null ids, and vectors that are null, empty or hold null or
     non-finite components take no part; zero vectors do. Repeated ids count once, with their smallest vector. Vectors of
     other lengths than the query's are not its candidates. Fewer candidates give fewer ranks; none give none.
     """
     spark = session_of(vectors)
     scratch = Scratch(spark)
-    rows = scratch.save(usable(vectors, id_col, vector_col).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"), F.size("v").alias("d")), "rows")
+    rows = scratch.save(usable(vectors, id_col, vector_col).select("id", F.transform("v", lambda x: _floored(x * scale)).alias("v"), F.size("v").alias("d")).where(F.forall("v", lambda x: F.abs(x) != float("inf"))), "rows")
     total = rows.count()
     asked = rows.where(F.col("id") % every == 0)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))

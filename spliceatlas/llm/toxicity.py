@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import session_of
-from ._text import U64, Words, mix64, slices, split_words, window_starts, word_hashes
+from ._text import U64, Words, give_back, mix64, slices, split_words, window_starts, word_hashes
 
 SLOTS = 1 << 20
 #: Bound on the labelled rows that are learned from: those with the smallest hashes of their ids.
 TRAINING_ROWS = 16_000
 SKIPS = (1, 2, 3)
+#: Bytes of text whose features are held at once; they take about fifty times as much.
+PART = 1 << 20
 #: Longer words also count by their first bytes, so that inflected forms share features.
 STEMS = (4, 5, 6, 7, 8)
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 1.0, 1.0, 8.0, 0.0
@@ -80,11 +82,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def extract(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 slot, owner = features(part["text"])
                 key = np.unique(owner * SLOTS + slot)
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(key // SLOTS, np.arange(part.num_rows + 1)).astype(np.int32)), pa.array((key % SLOTS).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part["id"], part["y"], lists], ["id", "y", "slots"])
+                del slot, owner, key, lists
+            give_back()
 
     def fit(batches):
         found = []
@@ -94,6 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0])))
         weights, bias = _fit([r[2] for r in found], np.array([r[1] for r in found], float))
         at = np.flatnonzero(weights)
+        del found
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([weights[at].tolist()], pa.list_(pa.float64())), pa.array([float(bias)])], ["at", "w", "bias"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -133,20 +139,26 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     def run(batches):
         scores = scorer(model)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(scores(part["text"]))], ["id", "score"])
+            give_back()
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that score at least `threshold`."""
+    """docs, all columns, without the rows that score at least `threshold`.
+
+    Null and empty texts get the score of no features, which is low, and so stay; rows with null ids and repeated rows are scored
+    one by one. Without labels the model has no weights and nothing goes; an empty table stays empty.
+    """
     model = train(docs, labels, id_col, text_col)
 
     def run(batches):
         scores = scorer(model)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, PART):
                 yield part.filter(pa.array(scores(part[text_col]) < threshold))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
