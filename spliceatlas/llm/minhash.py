@@ -22,18 +22,18 @@ from pyspark.sql import functions as F
 
 from ._graph import at_all_salts, components, salted
 from ._store import Scratch, session_of, shuffle_partitions
-from ._text import U64, buffers, mix64, ragged, rolling, slices, split_words, window_starts, word_hashes
+from ._text import U64, buffers, give_back, mix64, ragged, rolling, slices, split_words, window_starts, word_hashes
 
 ROWS, BANDS = 4, 32
 PERMUTATIONS = ROWS * BANDS // 2
 #: Most rows and bytes of text of a block (a longer text is a block of its own). A group of more than LEAST_ROWS rows is cut into
 #: SHARES blocks before blocks grow, so that its tiles are compared side by side.
-BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS, SHARES = 2048, 2 << 20, 256, 8
+BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS, SHARES = 2048, 2 << 20, 160, 16
 #: Text of the tiles that a task takes at once.
 LOT_BYTES = 8 << 20
 VERIFY_BYTES = 4 << 20
 #: Pairs of one hub that are confirmed together.
-HUB_PAIRS = 256
+HUB_PAIRS = 128
 #: Groups that rows of one id are spread over.
 SALTS = 16
 _ODD = mix64(np.arange(101, 101 + PERMUTATIONS, dtype=U64)) | U64(1)
@@ -83,6 +83,7 @@ def _signatures(width: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((sizes > 0) * BANDS)].astype(np.int32)), pa.array(keys.T.reshape(-1).view(np.int64)))
                 size = np.diff(buffers(part["text"])[1])
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(sizes, pa.int64()), pa.array(size), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists], ["id", "n", "size", "fp", "fp2", "bands"])
+            give_back()
 
     return run
 
@@ -106,8 +107,9 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratc
                     sets.setdefault(k, []).append(values[first[i] : first[i + 1]])
         left, right = links["a"].to_pylist(), links["b"].to_pylist()
         good = [any(_linked(x, y, percent) for x in sets.get(a, ()) for y in sets.get(b, ())) for a, b in zip(left, right, strict=True)]
-        kept = links.filter(pa.array(good, pa.bool_()))
-        return kept.select(["a", "b"])
+        del sets
+        give_back()
+        return links.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     return scratch.save(texts.groupBy("lot").cogroup(dealt.groupBy("g")).applyInArrow(check, "a bigint, b bigint"), f"{name}-links")
 
@@ -198,6 +200,8 @@ def _tiles(width: int, percent: int):
             ok = _similar(_intersections(sets[a], sets[b]), size[a], size[b], percent)
             ok &= comps[a][:, None] != comps[b][None, :]
             out += [(ids[a][i], ids[b][j]) for i, j in _joining(ok, comps[a], comps[b])]
+            del sets, ok
+        give_back()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -242,8 +246,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     shares = shares.withColumn("kind", F.when(own, F.col("comp")).otherwise(F.lit(-1)))
     count = F.greatest(F.least(F.ceil(F.sum("c") / LEAST_ROWS), F.lit(SHARES)), F.ceil(F.sum("c") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
     kinds = scratch.save(shares.groupBy("hub", "kind").agg(count.alias("blocks")), "kinds")
-    placing = salted(shares.select("hub", "comp", "kind"), "comp").join(at_all_salts(kinds), ["hub", "kind", "salt"]).drop("salt")
-    cut = salted(left, "id").join(at_all_salts(placing), ["hub", "comp", "salt"]).select("hub", "id", "comp", "size", "kind", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    # only what is cut needs to be looked up: the common components and the groups of several blocks
+    common = kinds.where("kind <> -1").select("hub", F.col("kind").alias("comp"), "blocks")
+    several = kinds.where("kind = -1 and blocks > 1").select("hub", F.col("blocks").alias("mixed"))
+    cut = salted(left, "id").join(at_all_salts(common), ["hub", "comp", "salt"], "left").join(at_all_salts(several), ["hub", "salt"], "left")
+    block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", "mixed", F.lit(1))).cast("int").alias("block")
+    cut = cut.select("hub", "id", "comp", "size", F.when(F.col("blocks").isNotNull(), F.col("comp")).otherwise(F.lit(-1)).alias("kind"), block)
     blocks = kinds.select("hub", "kind", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     facing = blocks.select("hub", F.col("kind").alias("kind2"), F.col("block").alias("block2"))
     tiles = blocks.join(facing, "hub").where("(kind < kind2 or (kind = kind2 and block <= block2)) and (kind <> kind2 or kind = -1)")
@@ -269,7 +277,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the near-duplicates: of each component the document with the smallest id stays, once.
 
-    Of rows that repeat an id the one with the longest text stays, ties to the smallest row. Rows with null ids all stay.
+    Of rows that repeat an id the one with the longest text stays, ties to the smallest row. Rows with null ids all stay, and so do
+    null and blank texts, which have no duplicates. All columns are kept, whatever their names; an empty table stays empty.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), (F.spark_partition_id() % SALTS).alias("salt"), F.struct(*docs.columns).alias("row"))
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("id"), "kept").where("id is not null")
