@@ -26,9 +26,10 @@ def at_all_salts(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """edges has bigint columns a and b. Returns node and root (the smallest node reachable) for nodes with an edge.
 
-    Every step is grouped minima and joins by salted nodes, so no component is gathered in a task or on the driver; the
-    number of steps grows with the logarithm of the longest path. Each step is written to the shared folder. Raises
-    RuntimeError if the steps do not come to an end.
+    Every step is grouped minima and joins, so no component is gathered in a task or on the driver; the number of steps grows with the
+    logarithm of the longest path. Neighbours of a common node (the middle of a star) are salted; in the second half of a step rows
+    meet by their larger node, which has a few smaller neighbours only. Each step is written to the shared folder. Raises RuntimeError if the
+    steps do not come to an end.
     """
     now = scratch.save(_down(edges), f"{name}-0")
     for step in range(1, MOST_STEPS + 1):
@@ -36,9 +37,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = salted(both, "b").join(at_all_salts(least), ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = salted(both, "b").join(at_all_salts(least), ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = salted(large, "b").join(at_all_salts(least), ["a", "salt"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = large.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         now = scratch.save(_down(small), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
     raise RuntimeError(f"components did not settle in {MOST_STEPS} steps")
