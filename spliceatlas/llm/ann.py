@@ -3,13 +3,16 @@
 Vectors are rotated at random and projected to a few dimensions; each of several orderings puts the projections, shifted by
 an offset of its own, on a Hilbert curve and sorts all rows by their keys (range-partitioned by Spark). A query's candidates are the
 rows within a window around it in each ordering. Sorted rows fall into blocks; a query visits the blocks its windows touch,
-is compared there in double precision with the original vectors, and the lists of all orderings merge to the final ranking.
+is compared there with the rows of its window only, and the lists of all orderings merge to the final ranking, in double
+precision on the original vectors.
 
 Equal vectors are indexed once, by their smallest id, and searched once. A list of k + 1 vectors, each with its k + 1 smallest ids, holds
 the best k rows for every copy that asks: lists are expanded by ids at the end, so that copies are found exactly.
 
-Windows are a share of all distinct vectors. Vectors without clusters, as random directions are, have neighbours hardly nearer than
-the rest, and no ordering brings them close: there a recall of 0.9 needs windows of several hundredths of the rows.
+The window is measured, not set: a bounded sample of queries (SAMPLE of them, those with the smallest hashes of their ids) is
+compared with all rows, and the window is the smallest that holds TARGET of their neighbours in one ordering at least. Clusters
+give windows of the size of a cluster, however many rows there are. Vectors without clusters, as random directions are, have
+neighbours hardly nearer than the rest, and no ordering brings them close: there windows are a share of the rows.
 """
 
 from __future__ import annotations
@@ -24,10 +27,16 @@ from pyspark.sql import functions as F
 from ._store import Scratch, session_of, shuffle_partitions
 from ._vectors import best, matrix, usable
 
-ORDERINGS, DIMENSIONS, BITS = 8, 8, 6
-#: Distinct vectors on either side of a query in each ordering: this share of all, and at least LEAST_WINDOW.
-WINDOW_SHARE, LEAST_WINDOW = 0.085, 256
-BLOCK, STRIP = 8192, 256
+ORDERINGS, DIMENSIONS, BITS = 12, 4, 10
+#: Queries that the window is measured by, the share of their neighbours that it holds, and the least of it.
+SAMPLE, TARGET, LEAST_WINDOW = 256, 0.92, 256
+BLOCK, STRIP = 8192, 128
+#: Keys that are sorted in one partition.
+KEYS = 1 << 20
+#: Scores of products are taken to be right to this part of 1; what is nearer to the last place is compared exactly.
+MARGIN = 1e-9
+#: Rows that the sampled queries are compared with at once.
+STEP = 4096
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -132,36 +141,36 @@ def _indexed(rows: DataFrame, width: int, k: int, every: int, seed: int, single:
                 cells = np.minimum((0.75 * _normal_share(m @ turns[o]) + shifts[o]) * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(np.full(len(m), o, np.int32)), pa.array(hilbert_keys(cells, BITS))], ["id", "o", "key"])
 
-    parts = shuffle_partitions(spark)
+    parts = max(shuffle_partitions(spark), ORDERINGS * total // KEYS)
     keyed = rows.mapInArrow(keys, "id bigint, o int, key bigint").repartitionByRange(parts, "o", "key", "id").sortWithinPartitions("o", "key", "id")
     keyed = scratch.save(keyed.select("id", "o", "key", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), "keyed")
     # a row's place in its ordering: its index in its partition, less the rows of earlier orderings there, plus those of earlier partitions
     chunks = keyed.groupBy("o", "p").agg(F.count("*").alias("c"), F.min("i").alias("i0"))
     chunks = scratch.save(chunks.withColumn("ahead", F.coalesce(F.sum("c").over(Window.partitionBy("o").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("o", "p", "i0", "ahead"), "chunks")
-    ranked = keyed.join(chunks, ["o", "p"]).select("id", "o", (F.col("i") - F.col("i0") + F.col("ahead")).alias("rank"))
-    window = max(LEAST_WINDOW, int(np.ceil(WINDOW_SHARE * total)))
-    queries = members.select("id").distinct().withColumn("asked", F.lit(True))
+    ranked = scratch.save(keyed.join(chunks, ["o", "p"]).select("id", "o", (F.col("i") - F.col("i0") + F.col("ahead")).alias("rank")), "ranked")
+    queries = members.select("id").distinct().join(rows, "id")
+    window = max(LEAST_WINDOW, _measured_window(rows, queries, ranked, k))
     v = F.transform("v", lambda x: x.cast("float")) if single else F.col("v")
-    located = scratch.save(rows.join(ranked, "id").join(queries, "id", "left").select("id", "o", "rank", v.alias("v"), "asked"), "located")
-    block = F.floor(F.col("rank") / BLOCK).cast("int")
-    right = located.withColumn("b", block)
-    asked = located.where("asked")
-    left = asked.withColumn("b", F.explode(F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / BLOCK).cast("int"), F.floor(F.least(F.col("rank") + window, F.lit(max(total - 1, 0))) / BLOCK).cast("int"))))
+    right = rows.select("id", v.alias("v")).join(ranked, "id").withColumn("b", F.floor(F.col("rank") / BLOCK).cast("int"))
+    first, last = F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / BLOCK), F.floor(F.least(F.col("rank") + window, F.lit(max(total - 1, 0))) / BLOCK)
+    left = queries.select("id", v.alias("v")).join(ranked, "id").withColumn("b", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    left = left.select(*[F.col(c).alias(c) for c in ("id", "v", "o", "rank", "b")])  # columns of their own, as both sides come from the same tables
 
     def visit(key, queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out = []
         if queries.num_rows and candidates.num_rows:
-            candidates = candidates.sort_by("id")
+            queries, candidates = queries.sort_by("rank"), candidates.sort_by("rank")
             qi, ci = queries["id"].to_numpy(), candidates["id"].to_numpy()
             qr, cr = queries["rank"].to_numpy(), candidates["rank"].to_numpy()
             qm, cm = matrix(queries["v"]).astype(float), matrix(candidates["v"]).astype(float)
-            for lo in range(0, len(qi), STRIP):
-                hi = lo + STRIP
-                scores = qm[lo:hi] @ cm.T
-                scores[np.abs(qr[lo:hi, None] - cr[None, :]) > window] = -np.inf
-                row, column = best(scores, ci, k + 1)
-                exact = (qm[lo + row] * cm[column]).sum(1)
-                out.append((qi[lo:hi], np.bincount(row, minlength=len(scores)), -exact, ci[column]))
+            lo = 0
+            while lo < len(qi):
+                # queries near each other in the ordering, so that their windows are nearly the same
+                hi = min(lo + STRIP, int(np.searchsorted(qr, qr[lo] + max(window // 8, 1), "right")))
+                a, b = np.searchsorted(cr, [qr[lo] - window, qr[hi - 1] + window + 1])
+                row, column, exact = _nearest_of(qm[lo:hi], cm[a:b], ci[a:b], k + 1)
+                out.append((qi[lo:hi], np.bincount(row, minlength=hi - lo), -exact, ci[a:b][column]))
+                lo = hi
         asked_, sizes, minus, near = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
         tops = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(minus), pa.array(near)], ["m", "i"]))
         return pa.table({"query_id": asked_, "o": pa.array(np.full(len(asked_), key[0].as_py(), np.int32)), "top": tops})
@@ -178,6 +187,52 @@ def _indexed(rows: DataFrame, width: int, k: int, every: int, seed: int, single:
     return out.select("query_id", (F.col("p") + 1).alias("rank"), F.col("t.i").alias("vec_id"), (0 - F.col("t.m")).alias("score"))
 
 
+def _nearest_of(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (query, row) of each query's k best rows, and their scores summed in one order, by score and then smaller id."""
+    scores = queries @ rows.T
+    if scores.shape[1] > k:
+        cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        low = np.where(np.isfinite(cut), cut - MARGIN * np.maximum(1, np.abs(cut)), cut)
+        row, column = np.nonzero(scores >= low[:, None])
+    else:
+        row, column = np.nonzero(np.ones(scores.shape, bool))
+    exact = (queries[row] * rows[column]).sum(1)
+    order = np.lexsort((ids[column], -exact, row))
+    row, column, exact = row[order], column[order], exact[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(queries)))[row] < k
+    return row[keep], column[keep], exact[keep]
+
+
+def _measured_window(rows: DataFrame, queries: DataFrame, ranked: DataFrame, k: int) -> int:
+    """The window that holds TARGET of the k nearest rows of the sampled queries in the ordering where they are nearest."""
+    sample = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # bounded: SAMPLE vectors
+    if not sample:
+        return 0
+    asked, matrix_ = np.array([r["id"] for r in sample]), np.array([r["v"] for r in sample], float)
+
+    def best_of_part(batches):
+        held: list[list[tuple[float, int]]] = [[] for _ in asked]
+        for batch in batches:
+            m = matrix(batch["v"])
+            for lo in range(0, len(m), STEP):
+                row, column, exact = _nearest_of(matrix_, m[lo : lo + STEP], batch["id"].to_numpy()[lo : lo + STEP], k + 1)
+                near = batch["id"].to_numpy()[lo : lo + STEP][column]
+                for q in range(len(asked)):
+                    own = row == q
+                    held[q] = sorted(held[q] + list(zip((-exact[own]).tolist(), near[own].tolist(), strict=True)))[: k + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array([[{"m": m, "i": i} for m, i in h] for h in held], pa.list_(pa.struct([("m", pa.float64()), ("i", pa.int64())])))], ["query_id", "top"])
+
+    tops = rows.mapInArrow(best_of_part, "query_id bigint, top array<struct<m:double,i:bigint>>").withColumn("part", F.spark_partition_id() % 64)
+    for by in (["query_id", "part"], ["query_id"]):
+        tops = tops.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k + 1).alias("top"))
+    near = tops.select("query_id", F.explode("top.i").alias("id")).where("id <> query_id")
+    # at most SAMPLE times k + 1 pairs, each with ORDERINGS places
+    own = ranked.select(F.col("id").alias("asking"), F.col("o").alias("o2"), F.col("rank").alias("at"))
+    apart = near.join(ranked, "id").join(own, F.expr("query_id = asking and o = o2")).groupBy("query_id", "id").agg(F.min(F.abs(F.col("rank") - F.col("at"))).alias("d"))
+    found = sorted(r["d"] for r in apart.select("d").collect())
+    return int(found[min(len(found) - 1, int(TARGET * len(found)))]) if found else 0
+
+
 def _all_float(df: DataFrame, column: str) -> bool:
     """Whether components are single precision: they then travel as such and lose nothing."""
     return df.schema[column].dataType.elementType.simpleString() == "float"

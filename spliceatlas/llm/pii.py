@@ -2,23 +2,27 @@
 
 Patterns propose candidates: strict ones, which are always reported, and loose ones (spelled-out addresses, phones without a plus,
 cards in unusual groups). Labelers of three families vote on each candidate: shape rules, gazetteers (mail domains, country and
-area codes, card issuers) and the words around it. Expectation-maximisation over the table of vote patterns estimates each
-labeler's accuracy and each pattern's probability; a logistic span classifier, trained on those probabilities, decides on the loose
-candidates. The vote table is counted in Spark and has at most a few hundred rows, whatever the corpus.
+area codes, card issuers) and the words around it. Expectation-maximisation over the table of vote patterns estimates, for each
+kind of its own, every labeler's reliability and every pattern's probability. A logistic span classifier learns these
+probabilities from the span itself and the text around it (its shape, the characters at its ends, the words before and after), beside
+the votes, and decides on the loose candidates: what the votes leave open, like contexts settle. The vote table is counted over all
+documents in Spark and has at most a few hundred rows, whatever the corpus; the classifier is fitted on TRAINING_SPANS spans at most.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spans import SPANS, Taken
 from ._store import Scratch, session_of
-from ._text import slices
+from ._text import give_back, slices
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The shapes of the base kinds. (A digit run that fails fails from each of its digits, hence the lookbehind.)
@@ -47,6 +51,11 @@ NEAR = {
 AGAINST = ("version", "release", "isbn", "serial", "order", "invoice", "section", "build", "part no", "model")
 LABELERS = ("shape", "gazetteer", "context", "against")
 REACH = 40
+#: Slots of the classifier's hashed features, and the most spans it is fitted on: those with the smallest hashes of their places.
+SLOTS, TRAINING_SPANS = 4096, 20_000
+ROUNDS, RATE, RIDGE = 150, 0.5, 2.0
+_WORD = re.compile(r"[^\W_]+")
+_RUN = re.compile(r"(.)\1+")
 
 
 def luhn(digits: str) -> bool:
@@ -141,28 +150,48 @@ def estimate(table: dict[tuple[int, ...], int], rounds: int = 50) -> dict[tuple[
     return dict(zip(map(tuple, rows.tolist()), p.tolist(), strict=True))
 
 
-def encode_votes(kind: str, vote: list[int] | tuple[int, ...]) -> np.ndarray:
-    """Features of the span classifier: the kind, and of each labeler whether it voted for or against."""
-    return np.array([1.0, *[k == kind for k in KINDS], *[v > 0 for v in vote], *[v < 0 for v in vote]], float)
+def features(text: str, kind: str, start: int, end: int, vote: list[int]) -> list[int]:
+    """Slots of the span's votes, its shape, the characters at its ends and the words around it, each with its kind."""
+    body = text[start:end]
+    shape = "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in body[:64])
+    items = [f"vote {k} {v}" for k, v in enumerate(vote)]
+    items += ["shape " + _RUN.sub(lambda m: m[1] + ("+" if m[1] == "a" else str(len(m[0]))), shape), f"digits {min(len(_digits(body)), 20)}"]
+    items += [f"before {_class_of(text[start - 1 : start])}", f"after {_class_of(text[end : end + 1])}"]
+    items += [f"left {w.lower()}" for w in _WORD.findall(text[max(0, start - REACH) : start])[-4:]]
+    items += [f"right {w.lower()}" for w in _WORD.findall(text[end : end + REACH])[:2]]
+    return sorted({zlib.crc32(f"{kind} {x}".encode()) % SLOTS for x in [*items, "kind"]})
 
 
-def fit_classifier(rows: list[tuple[str, tuple[int, ...], float, float]]) -> np.ndarray:
-    """Ridge logistic regression by Newton steps on (kind, votes, probability, count)."""
-    width = len(encode_votes(KINDS[0], [0] * len(LABELERS)))
-    w = np.zeros(width)
+def _class_of(c: str) -> str:
+    return "none" if not c else "digit" if c.isdigit() else "letter" if c.isalpha() else "space" if c.isspace() else c
+
+
+def fit_classifier(rows: list[tuple[list[int], float]]) -> np.ndarray:
+    """Weights of a ridge logistic regression on (slots, probability), by gradient steps with a rate for each weight; bias last.
+
+    Without rows every span is unlikely.
+    """
+    w = np.zeros(SLOTS + 1)
+    w[SLOTS] = -3.0 if not rows else 0.0
     if not rows:
-        w[0] = -3.0
         return w
-    x = np.array([encode_votes(k, v) for k, v, _, _ in rows])
-    y, n = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(width), x.T @ (n * (y - p)) - 0.1 * w)
+    sizes = np.array([len(x) for x, _ in rows])
+    slot, owner = np.concatenate([np.asarray(x, np.int64) for x, _ in rows]), np.repeat(np.arange(len(rows)), sizes)
+    y, seen = np.array([p for _, p in rows]), np.zeros(SLOTS + 1)
+    for _ in range(ROUNDS):
+        wrong = _likely(w, slot, owner, len(rows)) - y
+        slope = np.append(np.bincount(slot, weights=wrong[owner], minlength=SLOTS), wrong.sum()) + RIDGE * np.append(w[:SLOTS], 0)
+        seen += slope**2
+        w -= RATE * slope / np.sqrt(np.maximum(seen, 1e-12))
     return w
 
 
-_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.list_(pa.int8()))]))
-FOUND = "array<struct<kind:string,start:int,end:int,base:boolean,votes:array<tinyint>>>"
+def _likely(w: np.ndarray, slot: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(np.bincount(owner, weights=w[slot], minlength=n) + w[SLOTS], -30, 30)))
+
+
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.list_(pa.int8())), ("features", pa.list_(pa.int16()))]))
+FOUND = "array<struct<kind:string,start:int,end:int,base:boolean,votes:array<tinyint>,features:array<smallint>>>"
 
 
 def find_personal_data(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,18 +211,40 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5, id_col: str = "d
                 rows = []
                 for text in part["text"].to_pylist():
                     text = text or ""
-                    base = base_spans(text)
-                    rows.append([{"kind": k, "start": a, "end": b, "base": strict, "votes": votes(text, k, a, b)} for strict, spans in ((True, base), (False, candidates(text, base))) for k, a, b in spans])
+                    base, spans = base_spans(text), []
+                    for strict, some in ((True, base), (False, candidates(text, base))):
+                        for kind, a, b in some:
+                            vote = votes(text, kind, a, b)
+                            spans.append({"kind": kind, "start": a, "end": b, "base": strict, "votes": vote, "features": features(text, kind, a, b, vote)})
+                    rows.append(spans)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(rows, _FOUND)], ["id", "found"])
+            give_back()
 
     found = Scratch(spark).save(docs.mapInArrow(propose, f"id {id_type}, found {FOUND}"), "found")
-    counts = found.select(F.explode("found").alias("f")).groupBy("f.kind", "f.votes").count().collect()  # bounded: kinds times vote patterns
-    table: dict[tuple[int, ...], int] = {}
+    spans = found.select("id", F.explode("found").alias("f"))
+    counts = spans.groupBy("f.kind", "f.votes").count().collect()  # bounded: kinds times vote patterns
+    tables: dict[str, dict[tuple[int, ...], int]] = {}
     for r in counts:
-        table[tuple(r["votes"])] = table.get(tuple(r["votes"]), 0) + r["count"]
-    likely = estimate(table) if table else {}
-    weights = fit_classifier([(r["kind"], tuple(r["votes"]), likely[tuple(r["votes"])], float(r["count"])) for r in sorted(counts, key=lambda r: (r["kind"], r["votes"]))])
-    scores = {(r["kind"], tuple(r["votes"])): float(1 / (1 + np.exp(-encode_votes(r["kind"], r["votes"]) @ weights))) for r in counts}
-    lookup = F.create_map(*[x for (kind, vote), p in sorted(scores.items()) for x in (F.lit(f"{kind}:{','.join(map(str, vote))}"), F.lit(p))]) if scores else F.create_map().cast("map<string,double>")
-    scored = F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"), f["base"].alias("base"), F.coalesce(F.try_element_at(lookup, F.concat(f["kind"], F.lit(":"), F.array_join(f["votes"].cast("array<string>"), ","))), F.lit(0.0)).alias("score")))
-    return found.select(F.col("id").alias(id_col), F.filter(scored, lambda s: s["base"] | (s["score"] >= threshold)).cast(SPANS).alias("spans"))
+        tables.setdefault(r["kind"], {})[tuple(r["votes"])] = r["count"]
+    likely = {kind: estimate(table) for kind, table in tables.items()}
+    # bounded: TRAINING_SPANS rows of a few dozen numbers, the same for any order and partitioning of the input
+    place = F.xxhash64(F.col("id").cast("string"), "f.kind", "f.start", "f.end")
+    sample = spans.select(place.alias("place"), "f.kind", "f.votes", "f.features").orderBy("place", "kind", "features").limit(TRAINING_SPANS).collect()
+    weights = fit_classifier([(r["features"], likely[r["kind"]][tuple(r["votes"])]) for r in sample])
+
+    def decide(batches):
+        for batch in batches:
+            lists = batch["found"]
+            flat = lists.flatten()
+            slots = flat.field("features").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.list_value_length(flat.field("features")).to_numpy(zero_copy_only=False)
+            score = _likely(weights, slots, np.repeat(np.arange(len(flat)), sizes), len(flat)) if len(flat) else np.zeros(0)
+            base = flat.field("base").to_numpy(zero_copy_only=False).astype(bool)
+            keep = base | (score >= threshold)
+            per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            kept = np.bincount(np.repeat(np.arange(len(lists)), per_text)[keep], minlength=len(lists))
+            some = flat.filter(pa.array(keep))
+            structs = pa.StructArray.from_arrays([*(some.field(n) for n in ("kind", "start", "end", "base")), pa.array(score[keep])], ["kind", "start", "end", "base", "score"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)].astype(np.int32)), structs)], ["id", "spans"])
+
+    return found.mapInArrow(decide, f"id {id_type}, spans {SPANS}").withColumnRenamed("id", id_col)

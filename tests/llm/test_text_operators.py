@@ -79,6 +79,19 @@ def test_repeats_match_brute_force(spark, corpus):
         assert sum(s.end - s.start for s in got[i].repeats) == sum(g)
 
 
+def test_windows_of_one_first_hash_are_told_apart():
+    keys, second = np.array([5, 5, 5, 9, 9], np.uint64), np.array([1, 2, 2, 7, 8], np.uint32)
+    sent = substring._send(3, 1, keys, keys, second, np.zeros(5, np.uint8))
+    assert sent.num_rows == 1
+    found = substring._hits(substring._repeated(sent, False))
+    assert [x.tolist() for x in found] == [[5], [2]]
+    several = np.array([4, 5, 5, 5, 9], np.uint64), np.array([1, 1, 2, 4, 7], np.uint32)
+    assert substring._among_both(keys, second, *several).tolist() == [True, True, True, True, False]
+    words = split_words(pa.array(["a b c a"]))
+    one, other = word_hashes(words), word_hashes(words, other=True)
+    assert len(set(one) | set(other)) == 6 and other[0] == other[3]
+
+
 def test_repeated_rows_repeat_and_empty_stays_empty(spark):
     long = " ".join("t%d" % k for k in range(40))
     rows = [(1, long), (1, long), (None, None)]
@@ -192,8 +205,11 @@ def test_chain_of_links(spark):
 ODD = ["", " ", "\n\n  \n", "a  b\n\n c \t", "x<|endoftext|> y <|startoftext|>z", "café naïve   x　y", "don't DON'T we'll", "a" * 40, "ΣΣ İx é Å", "\x1c a\x1db", "1234 5,6.7 !!!", "\U0001f600\U0001f600 hi", "trail  ", "<|", "\x85x y\x85", "́abc ́", "word " * 3000]
 
 
+@pytest.mark.parametrize("part,first", [(1 << 19, 1 << 19), (30, 16)])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoding_equals_the_library(name):
+def test_encoding_equals_the_library(name, part, first, monkeypatch):
+    monkeypatch.setattr(bpe, "PART", part)  # 30 and 16: many parts
+    monkeypatch.setattr(bpe, "FIRST", first)
     from tokenizers import Tokenizer
 
     rnd = random.Random(3)
@@ -276,3 +292,50 @@ def test_graph_components(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark)).collect()}
     expected = defaultdict(int) | {k: 0 for k in range(61)} | {k: 100 for k in (100, 200, 300)}
     assert got == dict(expected)
+
+
+def plain_ftrl(rows, labels):
+    """FTRL-proximal one coordinate at a time, as published; the bias by its own rate."""
+    z, n = defaultdict(float), defaultdict(float)
+    alpha, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2)
+
+    bias, seen = np.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 4.5)), 1.0
+    for _ in range(toxicity.EPOCHS):
+        for row, y in zip(rows, labels):
+            w = {i: weight(i) for i in row}
+            g = 1 / (1 + np.exp(-(sum(w.values()) + bias))) - y
+            for i in row:
+                sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            seen += g * g
+            bias -= alpha * g / np.sqrt(seen)
+    return {i: weight(i) for i in list(z)}, bias
+
+
+def test_fit_matches_plain_ftrl(monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 0.5)
+    rnd = random.Random(3)
+    labels = [rnd.randrange(2) for _ in range(120)]
+    rows = [np.array(sorted(rnd.sample(range(40), 6) + ([41] if y else [43])), np.int32) for y in labels]
+    weights, bias = toxicity._fit(rows, np.array(labels, float))
+    expected, expected_bias = plain_ftrl([r.tolist() for r in rows], labels)
+    assert {i: w for i, w in expected.items() if w} == pytest.approx({int(i): weights[i] for i in np.flatnonzero(weights)})
+    assert bias == pytest.approx(expected_bias) and len(np.flatnonzero(weights)) < 42
+
+
+def test_rejecting_without_rows_or_labels(spark):
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    docs = docs_of(spark, [(1, None), (None, ""), (2, "word " * 50_000), (2, "x")])
+    assert Counter((r.doc_id, r.text) for r in toxicity.reject_toxic(docs, labels).collect()) == Counter((r.doc_id, r.text) for r in docs.collect())
+    assert toxicity.reject_toxic(docs_of(spark, []), labels).collect() == []
+
+
+def test_keeping_one_of_odd_rows(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (2, "A b c d e f"), (4, None), (5, ""), (6, "word " * 60_000), (7, "word " * 60_001), (8, " ")]
+    kept = minhash.keep_one(docs_of(spark, rows).withColumnsRenamed({"n": "kept", "gid": "salt"}))
+    assert kept.columns == ["doc_id", "text", "id", "kept", "salt"]
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([None, None, 2, 4, 5, 6, 8])
