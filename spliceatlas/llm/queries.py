@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, minhash, packing, pii, secret_scan, substring, topk, toxicity, warc
+from . import ann, bpe, divergence, minhash, packing, pii, secret_scan, substring, topk, toxicity, warc
 from ._spans import counted, joined
 from ._store import Scratch
 
@@ -77,6 +77,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -120,6 +124,26 @@ select d.doc_id, cast(coalesce(z.n, 0) as bigint) as n_shingles, least(d.doc_id,
 from d left join z using (doc_id) left join roots using (doc_id)"""
 
 
+OP12_SQL = r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select lang, source, r, unnest(w) as term from d),
+g as (select distinct lang, source from d),
+kept as (select lang, term, count(*) as n from t group by all having count(distinct r) >= 3),
+size as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+c as (select lang, source, term, count(*) as n from t semi join kept using (lang, term) group by all),
+own as (select lang, source, sum(n) as total from c group by all),
+p as (select g.lang, g.source, kept.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (coalesce(own.total, 0) + v)::hugeint as p,
+    1 + (1000000000::hugeint * (kept.n + 1)) // (size.total + v)::hugeint as q
+  from g join kept using (lang) join size using (lang) left join own on own.lang = g.lang and own.source = g.source left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+sums as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(s.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+parts as (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', term, ((p - q) * (p - q)) // q from p where n > 0 and p > q),
+ranked as (select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from parts)
+select * from ranked where part = 'pair' or rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators it can express. The others are tested against brute force, the tokenizers library or held-out rows."""
-    return {"op1_warc": OP1_SQL, "op4_topk": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_minhash": OP7_SQL}
+    return {"op1_warc": OP1_SQL, "op4_topk": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_minhash": OP7_SQL, "op12_divergence": OP12_SQL}
