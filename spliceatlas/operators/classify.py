@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mean_of_list, number
-from ..specs import Event
-from .numbering import numbered
+from ..scratch import written
+from ..specs import CONTRASTS, GROUPS, Event
+from .numbering import first_rows, numbered
 
 
 @dataclass(frozen=True)
@@ -66,35 +67,55 @@ def exclusive(df: DataFrame, key: str, kind: str) -> DataFrame:
     return df.join(single, key, "left_semi")
 
 
+def _least_change(coords: Column) -> Column:
+    return F.struct(F.abs("delta").alias("a"), (-F.col("fdr")).alias("b"), coords.alias("coords"))
+
+
 def fallback_background(candidates: DataFrame, taken: DataFrame, n: int) -> DataFrame:
     """The n candidates with the smallest changes: ordered by |delta|, larger fdr, key, coords; one for each key, none of `taken`.
 
     candidates: key, coords, fdr, delta. Returns key, coords and pos, the place in that order.
     """
-    best = candidates.groupBy("key").agg(F.min(F.struct(F.abs("delta").alias("a"), (-F.col("fdr")).alias("b"), F.col("key").alias("k"), F.col("coords").alias("coords"))).alias("s"))
-    best = best.join(taken.select("key"), "key", "left_anti")
-    top = best.orderBy("s.a", "s.b", "s.k", "s.coords").limit(n)
-    return top.select("key", F.col("s.coords").alias("coords"), F.row_number().over(Window.orderBy("s.a", "s.b", "s.k", "s.coords")).cast("bigint").alias("pos"))
+    best = candidates.groupBy("key").agg(F.min(_least_change(F.col("coords"))).alias("s"))
+    return _ordered(best.join(taken.select("key"), "key", "left_anti"), n)
+
+
+def _ordered(best: DataFrame, n: int) -> DataFrame:
+    """key, coords and pos of the n rows of best (key, s) that come first."""
+    return first_rows(best, [F.col(c) for c in ("s.a", "s.b", "key", "s.coords")], n, "pos").select("key", F.col("s.coords").alias("coords"), "pos")
 
 
 def classify(events: DataFrame, event: Event, cuts: Cuts, analysis: str = "motif") -> DataFrame:
-    """grp, key, coords and place of the exclusive members of each class, with a fallback background where there is none at all.
+    """grp, key, coords and place of the exclusive members of each class, with a fallback background where there is none at all."""
+    return classified(measured(events, event, analysis), cuts, analysis)
+
+
+def classified(rows: DataFrame, cuts: Cuts, analysis: str = "motif") -> DataFrame:
+    """As classify, of measured rows (line, key, coords, fdr, delta, psi1, psi2).
 
     The fallback applies if no row is background before members of several classes are removed. It takes as many
     rows as the larger of the two sets (at least 1; for motifs a quarter of both sets together, at least 200).
+    One pass: a key's last row and first place in each class and its smallest change are found together and written, and the sizes of the
+    classes are counted while that is written.
     """
-    rows = measured(events, event, analysis)
     rows = rows.withColumn("grp", class_of(F.col("fdr"), F.col("delta"), F.col("psi1"), F.col("psi2"), cuts))
-    unique = last_wins(rows.where(F.col("grp").isNotNull()), ["grp", "key"], "coords", "line")
-    sizes = {r["grp"]: r["count"] for r in unique.groupBy("grp").count().collect()}
-    kept = exclusive(unique, "key", "grp").withColumn("pos", F.lit(None).cast("bigint"))
-    if sizes.get("bg"):
+    own = {g: F.col("grp") == g for g in GROUPS}
+    of_class = [F.struct(F.max_by(F.when(own[g], F.col("coords")), F.when(own[g], F.col("line"))).alias("coords"), F.min(F.when(own[g], F.col("line"))).alias("first")).alias(g) for g in GROUPS]
+    possible = F.col("delta").isNotNull() & (F.col("fdr") >= cuts.sig_fdr)
+    keys = rows.groupBy("key").agg(*of_class, F.min(F.when(possible, _least_change(F.col("coords")))).alias("s"))
+    n_classes = sum(F.col(f"{g}.coords").isNotNull().cast("int") for g in GROUPS)
+    keys = keys.withColumn("classes", n_classes).where((F.col("classes") > 0) | F.col("s").isNotNull())
+    seen = Observation()
+    only = {g: (F.col("classes") == 1) & F.col(f"{g}.coords").isNotNull() for g in GROUPS}
+    keys = written(keys.observe(seen, F.count_if(F.col("bg.coords").isNotNull()).alias("bg"), *[F.count_if(only[g]).alias(f"only_{g}") for g in CONTRASTS]))
+    kept = keys.where("classes = 1").select(F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), "key", f"{g}.coords", f"{g}.first") for g in GROUPS])).alias("m")).where("m.coords is not null")
+    kept = kept.select("m.*", F.lit(None).cast("bigint").alias("pos"))
+    sizes = seen.get
+    if sizes["bg"]:
         return kept
-    counts = {r["grp"]: r["count"] for r in kept.groupBy("grp").count().collect()}
-    nu, nd = counts.get("up", 0), counts.get("dn", 0)
+    nu, nd = sizes["only_up"], sizes["only_dn"]
     n = max(200, int((max(nu, 1) + max(nd, 1)) / 4)) if analysis == "motif" else max(1, max(nu, nd))
-    pool = rows.where(F.col("delta").isNotNull() & (F.col("fdr") >= cuts.sig_fdr))
-    extra = fallback_background(pool, unique, n)
+    extra = _ordered(keys.where("classes = 0").select("key", "s"), n)
     return kept.unionByName(extra.select(F.lit("bg").alias("grp"), "key", "coords", F.lit(None).cast(kept.schema["first"].dataType).alias("first"), "pos"))
 
 

@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..scratch import written
+
 #: Rows of a bucket are at most 2 to the power of this.
 BUCKET_BITS = 14
+#: Rows that one task may take to put them in order.
+MOST_AT_ONCE = 10_000
 
 
 def bucket(df: DataFrame, place: str) -> Column:
@@ -39,3 +43,17 @@ def numbered(df: DataFrame, group: str, places: list[str], into: str) -> DataFra
     bases = ahead(rows.groupBy(group, "bucket").agg(F.count("*").alias("n")), [group], "n", "base").drop("n")
     inside = F.row_number().over(Window.partitionBy(group, "bucket").orderBy(*places)) - 1
     return rows.withColumn("inside", inside).join(bases, [group, "bucket"]).withColumn(into, (F.col("base") + F.col("inside")).cast("bigint")).drop("bucket", "base", "inside")
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int, into: str) -> DataFrame:
+    """The n first rows in an order without ties, numbered from 1.
+
+    Few rows are picked by partial lists and one last task. More than MOST_AT_ONCE fall into ranges of the order; the sizes of the ranges give what
+    lies ahead of each, ranges beyond n are left out, and the rest is numbered inside its range.
+    """
+    if n <= MOST_AT_ONCE:
+        return df.orderBy(*order).limit(n).withColumn(into, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    parts = written(df.repartitionByRange(*order).withColumn("bucket", F.spark_partition_id()))
+    bases = ahead(parts.groupBy("bucket").agg(F.count("*").alias("n")), [], "n", "base").where(F.col("base") < n).drop("n")
+    inside = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
+    return parts.join(bases, "bucket").withColumn(into, (F.col("base") + inside).cast("bigint")).where(F.col(into) <= n).drop("bucket", "base")
