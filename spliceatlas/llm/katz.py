@@ -31,10 +31,13 @@ ORDER = 2
 #: Counts up to this are discounted by Good-Turing; larger ones lose TAIL, so that every history has mass for the unseen.
 MOST, TAIL = 5, 0.01
 #: Bytes of text of a unit, units of a lot, and keys of a bucket.
-UNIT_BYTES, LOT_UNITS, BUCKET_KEYS = 12 << 20, 8, 4 << 20
+UNIT_BYTES, LOT_UNITS, BUCKET_KEYS = 6 << 20, 8, 2 << 20
 END, *STARTS = mix64(np.arange(901, 911, dtype=U64))
 _ODD = U64(0x9E3779B97F4A7C15)
-FOUND = "kind int, unit bigint, at int, n_tokens bigint, n_known bigint, base double, score double, level int, key bigint, freed double, covered double, times bigint"
+#: Rows of texts (key: unit, level: place in it, a: tokens, b: known ones, x: base, y: score), of sums of a history (level, key, x: freed, y: covered) and of
+#: descents from a history (level, key, a: unit, b: place, x: how often).
+TEXT, SUMS, DESCENTS = range(3)
+FOUND = "kind int, level int, key bigint, a bigint, b bigint, x double, y double"
 
 
 def held_out(id_col: str, of: int = 10) -> Column:
@@ -115,6 +118,7 @@ def _asked(order: int, buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 unit = _Unit(row, order)
+                del unit.history
                 for level, keys in enumerate(unit.keys):
                     counts = unit.learned_counts(level).astype(np.int64)
                     edges = np.searchsorted(_buckets(keys, buckets), np.arange(buckets + 1))
@@ -207,9 +211,11 @@ def _scored(model: Model, order: int):
             log[at] += np.log10(model.kept(k, counts[k][at]) / before[k][at])
             todo = todo[~seen]
             at = todo[before[k][todo] > 0]
-            pairs = np.stack([doc_of[at].astype(U64), unit.history[k][at]], 1)
-            pairs, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, int))
-            backs.append((k, pairs[:, 0].astype(np.int64), pairs[:, 1], times))
+            doc, key = doc_of[at], unit.history[k][at]
+            by = np.lexsort((key, doc))
+            doc, key = doc[by], key[by]
+            new = np.flatnonzero(np.r_[len(doc) > 0, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else by
+            backs.append((k, doc[new], key[new], np.diff(new, append=len(doc))))
         known = counts[0][todo] > 0
         at = todo[known]
         log[at] += np.log10(model.kept(0, counts[0][at]) / max(1, model.tokens))
@@ -233,13 +239,13 @@ def _scored(model: Model, order: int):
             u = row["unit"]
             docs, backs, parts = one(row, blobs.pop(u))
             n = len(docs[0])
-            out.append(_rows(n, kind=np.zeros(n, np.int32), unit=np.full(n, u), at=np.arange(n), n_tokens=docs[0], n_known=docs[1], base=docs[2], score=docs[3]))
+            out.append(_rows(n, TEXT, np.arange(n), np.full(n, u), docs[0], docs[1], docs[2], docs[3]))
             for level, doc, key, times in backs:
-                out.append(_rows(len(key), kind=np.full(len(key), 2), unit=np.full(len(key), u), at=doc, level=np.full(len(key), level), key=key.view(np.int64), times=times))
+                out.append(_rows(len(key), DESCENTS, level, key, np.full(len(key), u), doc, times, 0))
             sums = [_summed([a, b]) for a, b in zip(sums, parts, strict=True)] if sums else [_summed([p]) for p in parts]
             give_back()
         for level, key, freed, covered in sums:
-            out.append(_rows(len(key), kind=np.ones(len(key)), level=np.full(len(key), level), key=key.view(np.int64), freed=freed, covered=covered))
+            out.append(_rows(len(key), SUMS, level, key, 0, 0, freed, covered))
         return pa.concat_tables(out)
 
     return run
@@ -250,12 +256,14 @@ def _summed(parts: list[tuple]) -> tuple:
     return (parts[0][0], keys, *(np.bincount(code, np.concatenate([p[j] for p in parts]), len(keys)) for j in (2, 3)))
 
 
-_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+_TYPES = (np.int32, np.int32, np.int64, np.int64, np.int64, np.float64, np.float64)
 
 
-def _rows(n: int, **columns: np.ndarray) -> pa.Table:
-    fields = [f.split(" ") for f in FOUND.split(", ")]
-    return pa.table({c: pa.array(columns[c]).cast(_TYPES[t]) if c in columns else pa.nulls(n, _TYPES[t]) for c, t in fields})
+def _rows(n: int, *columns) -> pa.Table:
+    """A table of FOUND; numbers are the same in all rows."""
+    columns = [c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == U64 else c for c in columns]
+    filled = [np.full(n, c, t) if np.isscalar(c) else c.astype(t, copy=False) for c, t in zip(columns, _TYPES, strict=True)]
+    return pa.table([pa.array(c) for c in filled], [f.split(" ")[0] for f in FOUND.split(", ")])
 
 
 def katz_scores(docs: DataFrame, held: Column | None = None, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,14 +290,16 @@ def katz_scores(docs: DataFrame, held: Column | None = None, order: int = ORDER,
     sums = [F.sum(F.col("stats")[j]) for j in range(MOST + 3)]
     stats = {r[0]: list(r[1:]) for r in counts.where("stats is not null").groupBy("level").agg(*sums).collect()}  # one row for each level
     model = Model([stats.get(k, [0] * (MOST + 3)) for k in range(order)])
-    lot = F.pmod(F.xxhash64("unit"), F.lit(max(min(number, 2 * shuffle_partitions(spark)), number // LOT_UNITS, 1))).cast("int")
+    lot = F.pmod(F.xxhash64("unit"), F.lit(max(min(number, shuffle_partitions(spark)), number // LOT_UNITS, 1))).cast("int")
     left = units.select(lot.alias("lot"), "unit", "held", "sizes", "words", "codes").groupBy("lot")
     right = counts.where("unit is not null").select(lot.alias("lot"), "unit", "level", "bucket", "counts").groupBy("lot")
     found = scratch.save(left.cogroup(right).applyInArrow(_scored(model, order), FOUND), "found")
 
-    covered = F.sum("freed") / (1 - F.sum("covered"))
-    weights = scratch.save(found.where("kind = 1").groupBy("level", "key").agg(F.log10(covered).alias("weight")), "weights")
-    backs = found.where("kind = 2").join(weights.hint("merge"), ["level", "key"]).groupBy("unit", "at").agg(F.sum(F.col("times") * F.col("weight")).alias("backed"))
+    left_open = F.sum("x") / (1 - F.sum("y"))
+    weights = scratch.save(found.where(F.col("kind") == SUMS).groupBy("level", "key").agg(F.log10(left_open).alias("weight")), "weights")
+    backed = F.sum(F.col("x") * F.col("weight")).alias("backed")
+    backs = found.where(F.col("kind") == DESCENTS).join(weights.hint("merge"), ["level", "key"]).groupBy(F.col("a").alias("unit"), F.col("b").cast("int").alias("at")).agg(backed)
     ids = units.select("unit", F.posexplode(F.arrays_zip("ids", "held")).alias("at", "d")).select("unit", "at", F.col("d.ids").alias(id_col), F.col("d.held").alias("held_out"))
-    rows = ids.join(found.where("kind = 0").select("unit", "at", "n_tokens", "n_known", "base", "score"), ["unit", "at"]).join(backs, ["unit", "at"], "left")
-    return rows.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("backed", F.lit(0.0))).alias("score"))
+    texts = found.where(F.col("kind") == TEXT).select(F.col("key").alias("unit"), F.col("level").alias("at"), F.col("a").alias("n_tokens"), F.col("b").alias("n_known"), F.col("x").alias("base_score"), F.col("y").alias("score"))
+    rows = ids.join(texts, ["unit", "at"]).join(backs, ["unit", "at"], "left")
+    return rows.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("backed", F.lit(0.0))).alias("score"))
