@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +10,7 @@ from pyspark.sql import functions as F
 from . import ann, bpe, divergence, katz, minhash, packing, pii, secret_scan, substring, topk, toxicity, warc
 from ._spans import counted, joined
 from ._store import Scratch
-
-
-def tokenizer_file(name: str) -> str:
-    """Place of a public vocabulary file: in SPLICEATLAS_TOKENIZERS, if set, else beside the installed public_tokenizers."""
-    folder = os.environ.get("SPLICEATLAS_TOKENIZERS") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
-    return os.path.join(folder, name)
+from ._vocabularies import tokenizer_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

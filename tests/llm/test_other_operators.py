@@ -1,20 +1,25 @@
 """WARC, vector search, personal data, secrets, packing, the queries and the pipeline, with hard cases."""
 
+import functools
+import glob
 import gzip
 import hashlib
+import os
 import random
 import re
+import zipfile
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
-
 import pyarrow as pa
+import pyspark
+import pytest
 
 from spliceatlas.llm import _store, ann, packing, pii, secret_scan, topk, toxicity, warc
 from spliceatlas.llm import queries as Q
 from spliceatlas.llm._vectors import best
+from spliceatlas.llm._vocabularies import tokenizer_file
 
 from test_text_operators import components, words_removed
 
@@ -310,8 +315,13 @@ def test_secret_base_spans_and_novelty(spark):
 ALPHABETS = {"upper hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
+@functools.cache
+def novelty():
+    return secret_scan.Novelty(secret_scan.pieces([tokenizer_file(v) for v in secret_scan.VOCABULARIES]))
+
+
 def novel_tokens(text):
-    return [text[a:b] for a, b, _ in secret_scan.novel_spans(text, secret_scan.base_spans(text), secret_scan.Novelty())]
+    return [text[a:b] for a, b, _ in secret_scan.novel_spans(text, secret_scan.base_spans(text), novelty())]
 
 
 def test_random_keys_of_any_alphabet_are_novel():
@@ -321,12 +331,44 @@ def test_random_keys_of_any_alphabet_are_novel():
             for _ in range(10):
                 key = "A7" + "".join(rnd.choice(letters) for _ in range(n - 2))
                 text = f"INFO call with Authorization: Bearer {key} was sent\n"
-                found = secret_scan.base_spans(text) + [("novel", a, b) for a, b, _ in secret_scan.novel_spans(text, secret_scan.base_spans(text), secret_scan.Novelty())]
+                found = secret_scan.base_spans(text) + [("novel", a, b) for a, b, _ in secret_scan.novel_spans(text, secret_scan.base_spans(text), novelty())]
                 assert "".join(text[a:b] for _, a, b in sorted(found, key=lambda s: s[1])) == key, (name, n)
     for plain in ("/usr/local/lib/python3/site-packages", "a1" * 20, "=" * 40 + "a1", "my1-application-production-database-password", "hunter2" * 10):
         assert not novel_tokens(f"INFO call with Authorization: Bearer {plain} was sent\n"), plain
 
 
+#: Words, names and paths that no dictionary of ours holds.
+PLAIN = """Zugangsberechtigungsschein internationalization Datenschutzgrundverordnung Rechtsschutzversicherung Kraftfahrzeughaftpflicht Bundesausbildungsgesetz Wiedergutmachungsverfahren
+anticonstitutionnellement otorrinolaringologia electroencefalografista responsabilidades-administrativas desproporcionadamente gouvernementalisation interdepartementales malheureusement-perdu
+django.contrib.auth.backends getServletContextPath com.fasterxml.jackson.databind /etc/nginx/conf.d/default src/main/java/com/example/App.java kubernetes-cluster-autoscaler application.properties.example
+authenticationProviderFactoryBean X-Requested-With-Header UPPER_CASE_CONSTANT_NAME snake_case_function_name user.profile.settings.page org.hibernate.SessionFactory customer-onboarding-service
+/home/builder/projects/website/templates/index.html node_modules/webpack-dev-server/client validateTransactionSignature https-redirect-middleware requirements-development.txt""".split()
+
+
+def plain_names():
+    """Names of classes and files that are installed here: those that the dictionary does not hold."""
+    names = set(PLAIN)
+    jars = sorted(glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "*.jar")))
+    for jar in jars[::6]:
+        for name in zipfile.ZipFile(jar).namelist()[::25]:
+            names |= {name, name.rsplit("/", 1)[-1].rsplit(".", 1)[0], name.replace("/", ".").rsplit(".", 1)[0]}
+    names |= set(glob.glob(os.path.dirname(os.__file__) + "/*/*.py"))
+    held = secret_scan.pieces([tokenizer_file(v) for v in secret_scan.VOCABULARIES]).decode(errors="replace")
+    return sorted(n for n in names if re.fullmatch(r"[A-Za-z0-9+/_=.~-]{16,200}", n) and n.lower() not in held)
+
+
+def test_names_paths_and_words_are_not_novel():
+    names = plain_names()
+    assert len(names) >= 500
+    wrong = [n for n in names if novel_tokens(f"Calls send auth: {n} in the header of each request, as before.\n")]
+    assert len(wrong) <= 0.05 * len(names), wrong
+    assert sum(n in PLAIN for n in wrong) <= 0.1 * len(PLAIN), wrong
+    rnd = random.Random(12)
+    keys = ["".join(rnd.choice(letters) for _ in range(n)) for letters in [*ALPHABETS.values(), ALPHABETS["base64"][:52]] for n in (20, 24, 32, 40, 64, 100, 200, 500, 1500, 5000) for _ in range(8)]
+    found = [novel_tokens(f"Calls send auth: {k} in the header of each request, as before.\n") for k in keys]
+    assert sum(map(bool, found)) >= 0.95 * len(keys)
+
+
 def test_long_keys_and_keys_of_letters_or_digits_are_novel(spark):
     rnd = random.Random(9)
     letters = ALPHABETS["base64"]
@@ -347,6 +389,9 @@ def test_repeated_keys_stay_novel():
     for gap in (150, 190, 230, 250):  # the other occurrence reaches into the surroundings
         assert novel_tokens(line + " " * gap + line) == [key] * 2
     assert not novel_tokens("auth /usr/local/lib/python3/site-packages\n" * 4)
+    # what the surroundings hold is no secret: here parts that are named before
+    assert not novel_tokens("from zqxvkjwpyx import bgfzrt\nauth: zqxvkjwpyx.bgfzrt\n")
+    assert novel_tokens("from somewhere import thing\nauth: zqxvkjwpyx.bgfzrt\n")
 
 
 def test_plan_is_whole_and_tight():
@@ -429,13 +474,13 @@ def test_pipeline_against_brute_force(spark, small):
     assert {r.doc_id: r.text for r in after} == cut and any(map(any, gone))
 
     before, after, _ = out["secrets"]
-    novelty = secret_scan.Novelty()
+    measure = novelty()
     for old, new in zip(sorted(before), sorted(after)):
         text = old.text or ""
         base = [m.span() for m in re.finditer(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 12]
         base += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18] + [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
         hidden = set()
-        for a, b in base + [s[:2] for s in secret_scan.novel_spans(text, secret_scan.base_spans(text), novelty)]:
+        for a, b in base + [s[:2] for s in secret_scan.novel_spans(text, secret_scan.base_spans(text), measure)]:
             hidden |= set(range(a, b))
         left = "".join(c for k, c in enumerate(text) if k not in hidden)
         assert (new.text or "").replace("[SECRET]", "") == left and (new.text == old.text) == (not hidden)
