@@ -153,7 +153,7 @@ def estimate(table: dict[tuple[int, ...], int], rounds: int = 50) -> dict[tuple[
 def features(text: str, kind: str, start: int, end: int, vote: list[int]) -> list[int]:
     """Slots of the span's votes, its shape, the characters at its ends and the words around it, each with its kind."""
     body = text[start:end]
-    shape = "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in body[:64])
+    shape = "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in body)
     items = [f"vote {k} {v}" for k, v in enumerate(vote)]
     items += ["shape " + _RUN.sub(lambda m: m[1] + ("+" if m[1] == "a" else str(len(m[0]))), shape), f"digits {min(len(_digits(body)), 20)}"]
     items += [f"before {_class_of(text[start - 1 : start])}", f"after {_class_of(text[end : end + 1])}"]
