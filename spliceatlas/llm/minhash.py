@@ -228,6 +228,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     hubs = scratch.save(hubs, "hubs")  # a plain exchange in the join, so that Spark can split a common bucket
     seats = scratch.save(members.join(hubs, "key").where("id <> hub").groupBy("hub", "id").agg(F.max("size").alias("size")), "seats")
 
+    # a row that repeats its id and set is compared once: such rows are looked for among the signatures, and are few or none
+    again = scratch.save(named.groupBy("id", "fp", "fp2").agg(F.count("*").alias("c")).where("c > 1").select("id").distinct(), "again")
+    if not again.isEmpty():
+        docs = docs.join(again, "id", "left_anti").union(docs.join(again, "id", "left_semi").distinct())
+
     # Texts of candidates, once: the list of candidates grows with the corpus, so it is joined by a shuffle at every size.
     candidates = seats.select("id").union(seats.select("hub")).distinct()
     docs = scratch.save(docs.join(candidates.hint("merge"), "id"), "texts")
@@ -269,7 +274,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     tops = nodes.select("fp", "fp2", F.col("id").alias("node")).join(roots, "node", "left").select("fp", "fp2", F.coalesce("root", "node").alias("top"))
     tops = scratch.save(tops, "tops")
     # the result reads signed and tops only
-    scratch.drop("nodes", "hubs", "seats", "texts", "placed", "left", "kinds", "faced", "tiled", "stars-dealt", "stars-links")
+    scratch.drop("nodes", "again", "hubs", "seats", "texts", "placed", "left", "kinds", "faced", "tiled", "stars-dealt", "stars-links")
     found = signed.select("id", "n", "fp", "fp2").join(tops, ["fp", "fp2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("top", "id")).otherwise(F.col("id")).alias("top"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("top")).alias("component_id"), F.coalesce(F.col("id") == F.col("top"), F.lit(True)).alias("kept"))
 

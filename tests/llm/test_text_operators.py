@@ -339,3 +339,18 @@ def test_keeping_one_of_odd_rows(spark):
     kept = minhash.keep_one(docs_of(spark, rows).withColumnsRenamed({"n": "kept", "gid": "salt"}))
     assert kept.columns == ["doc_id", "text", "id", "kept", "salt"]
     assert Counter(r.doc_id for r in kept.collect()) == Counter([None, None, 2, 4, 5, 6, 8])
+
+
+def test_rows_that_repeat_an_id_are_compared_once(spark, monkeypatch):
+    sent = []
+    confirm = minhash._confirm
+
+    def spy(docs, *rest):
+        sent.append(docs.count())
+        return confirm(docs, *rest)
+
+    monkeypatch.setattr(minhash, "_confirm", spy)
+    words = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(words))] * 500 + [(2, " ".join([*words[:99], "other"])), (3, "something else entirely"), (1, "a second text of one")]
+    found = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs_of(spark, rows)).distinct().collect())
+    assert set(found) == {(1, 1), (2, 1), (3, 3)} and sent[0] <= 4
