@@ -1,14 +1,16 @@
 """Windows around splice sites and the interval join of windows with peaks.
 
-Peaks and windows meet by chromosome and bin of BIN bases, an equi-join, and an overlap test on what meets. A pair
-that shares several bins is taken in the first of them, so no pass removes duplicates.
+Intervals meet by chromosome, level and bin, an equi-join, and an overlap test on what meets. The level of an interval is the least
+power of two that holds its length, so it touches two bins of its level at most, and a pair meets at the higher of its two levels: bins
+follow the lengths in the data, whatever they are. A pair that shares two bins is taken in the first of them, so no pass removes
+duplicates. Bins with very many intervals are split on both sides.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import steps_between
@@ -16,7 +18,10 @@ from ..shipping import session_of
 from ..specs import Event
 from .motif import Shape, positions
 
+#: Fixed value: windows see the peaks of the chunks of this many bases at their two ends; wider windows miss those between.
 BIN = 10_000
+#: Intervals shorter than two to the power of this share a level; and rows of one side of a bin that meet in one place.
+LEAST_LEVEL, MOST_IN_BIN = 5, 20_000
 
 
 def distinct_peaks(peaks: DataFrame, keys: list[str] | None = None, order: str = "line") -> DataFrame:
@@ -51,19 +56,62 @@ def windows(coords: DataFrame, event: Event, shape: Shape) -> DataFrame:
     return placed.select("grp", "exon_idx", "chr", "region", "pos", start.alias("w_start"), (start + shape.window - 1).alias("w_end"))
 
 
+def _level(lo: Column, hi: Column) -> Column:
+    return F.greatest(F.length(F.bin(F.greatest(hi - lo, F.lit(0)))), F.lit(LEAST_LEVEL))
+
+
+def _binned(df: DataFrame, lo: Column, hi: Column, levels: list[int]) -> DataFrame:
+    """df with own (its level) and a row for each level and bin at which it can meet intervals of these levels."""
+    first, last = F.least(lo, hi), F.greatest(lo, hi)
+    higher = F.filter(F.array(*map(F.lit, levels)), lambda x: x > F.col("own"))
+    at = F.when(F.col("own") >= min(levels), F.concat(F.array("own"), higher)).otherwise(higher)
+    df = df.withColumn("own", _level(first, last)).withColumn("level", F.explode(at))
+    low, high = F.call_function("shiftright", first, F.col("level")), F.call_function("shiftright", last, F.col("level"))
+    return df.withColumn("low", low).withColumn("bin", F.explode(F.sequence("low", high)))
+
+
+def overlapping(left: DataFrame, right: DataFrame, ends: tuple[str, str] = ("w_start", "w_end"), lengths: set[int] | None = None) -> DataFrame:
+    """Pairs of rows of left (chr, interval `ends`) and right (chr, p_start, p_end) on one chromosome whose closed intervals overlap.
+
+    An interval whose end lies before its start counts as the bases between, but overlaps only what holds start <= end of the other and end >= start.
+    lengths: of the intervals on the left, where they are known; they are looked for otherwise.
+    """
+    lo, hi = (F.col(c) for c in ends)
+    start, end = F.col("p_start"), F.col("p_end")
+    levels = [] if lengths is None else [sorted({max(LEAST_LEVEL, (n - 1).bit_length()) for n in lengths})]
+    for df, a, b in ((left, lo, hi), (right, start, end))[len(levels) :]:
+        met = df.agg(F.collect_set(_level(F.least(a, b), F.greatest(a, b)))).first()[0]  # 64 levels at most
+        levels.append(sorted(met) or [LEAST_LEVEL])
+    one = _binned(left, lo, hi, levels[1]).withColumnsRenamed({"own": "own_l", "low": "low_l"})
+    two = _binned(right.withColumnRenamed("chr", "chr_r"), start, end, levels[0]).withColumnsRenamed({"own": "own_r", "low": "low_r"}).withColumnRenamed("chr_r", "chr")
+    keys = ["chr", "level", "bin"]
+    parts = [F.greatest(F.ceil(F.count_if(F.col("left") == here) / MOST_IN_BIN), F.lit(1)).cast("int").alias(n) for here, n in ((True, "parts_l"), (False, "parts_r"))]
+    rows = one.select(*keys, F.lit(True).alias("left")).union(two.select(*keys, F.lit(False)))
+    dense = rows.groupBy(*keys).agg(*parts).where("parts_l > 1 or parts_r > 1")
+    if not dense.isEmpty():
+        one, two = _split(one, dense, "l", "r"), _split(two, dense, "r", "l")
+        keys += ["part_l", "part_r"]
+    met = one.join(two, keys).where((F.col("level") == F.greatest("own_l", "own_r")) & (F.col("bin") == F.greatest("low_l", "low_r")) & (start <= hi) & (end >= lo))
+    return met.drop("level", "bin", "own_l", "own_r", "low_l", "low_r", "parts_l", "parts_r", "part_l", "part_r")
+
+
+def _split(df: DataFrame, dense: DataFrame, own: str, other: str) -> DataFrame:
+    """A row of a dense bin goes to one part of its own side, and to all parts of the other's."""
+    df = df.join(dense, ["chr", "level", "bin"], "left").fillna(1, ["parts_l", "parts_r"])
+    df = df.withColumn(f"part_{own}", F.pmod(F.xxhash64(*df.columns), F.col(f"parts_{own}")).cast("int"))
+    return df.withColumn(f"part_{other}", F.explode(F.sequence(F.lit(0), F.col(f"parts_{other}") - 1))).drop("parts_l", "parts_r")
+
+
 def overlap_sum(wins: DataFrame, peaks: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
     """Summed heights of the peaks that overlap each window: keys and total, windows without a peak left out.
 
-    wins: keys, chr, w_start, w_end; peaks: chr, p_start, p_end, height. Windows probe the bins of their two ends only,
-    which are all their bins unless they are wider than a bin.
+    wins: keys, chr, w_start, w_end; peaks: chr, p_start, p_end, height. Windows see the peaks of the chunks of `width` bases at their
+    two ends only, which are all their chunks unless they are wider than one.
     """
-    ends = F.array_distinct(F.array(F.floor(F.col("w_start") / width), F.floor(F.col("w_end") / width)))
-    left = wins.withColumn("bin", F.explode(ends))
-    right = peaks.select("chr", "p_start", "p_end", "height", F.explode(F.sequence(F.floor(F.col("p_start") / width), F.floor(F.col("p_end") / width))).alias("bin"))
-    first = F.greatest(F.floor(F.col("w_start") / width), F.floor(F.col("p_start") / width))
-    other = F.when(F.floor(F.col("p_start") / width) > F.floor(F.col("w_start") / width), F.floor(F.col("w_end") / width)).otherwise(first)
-    met = left.join(right, ["chr", "bin"]).where((F.col("p_start") <= F.col("w_end")) & (F.col("p_end") >= F.col("w_start")) & (F.col("bin") == other))
-    return met.groupBy(*keys).agg(F.sum("height").alias("total"))
+    met = overlapping(wins, peaks.select("chr", "p_start", "p_end", "height"))
+    first, last = F.floor(F.col("p_start") / width), F.floor(F.col("p_end") / width)
+    seen = F.floor(F.col("w_start") / width).between(first, last) | F.floor(F.col("w_end") / width).between(first, last)
+    return met.where(seen).groupBy(*keys).agg(F.sum("height").alias("total"))
 
 
 def region_overlap_sum(coords: DataFrame, peaks: DataFrame, event: Event, shape: Shape) -> DataFrame:
@@ -73,14 +121,13 @@ def region_overlap_sum(coords: DataFrame, peaks: DataFrame, event: Event, shape:
     """
     last = F.col("first") + (F.col("n") - 1) * F.col("by")
     spans = _regions(coords, event, shape).select("grp", "exon_idx", "chr", "region", F.least("first", last).alias("lo"), (F.greatest("first", last) + shape.window - 1).alias("hi"), "n", "first", last.alias("last"))
-    return spans_overlap(spans, peaks, shape)
+    lengths = {(n - 1) * shape.step + shape.window for _, n in positions(event, shape, clip=True) if n > 0}
+    return spans_overlap(spans, peaks, shape, lengths)
 
 
-def spans_overlap(spans: DataFrame, peaks: DataFrame, shape: Shape) -> DataFrame:
+def spans_overlap(spans: DataFrame, peaks: DataFrame, shape: Shape, lengths: set[int] | None = None) -> DataFrame:
     """As region_overlap_sum, for spans (grp, exon_idx, chr, region, lo, hi, n, first, last: the starts of the first and last window)."""
-    left = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor(F.col("hi") / BIN))))
-    right = peaks.select("chr", "p_start", "p_end", "height", F.explode(F.sequence(F.floor(F.col("p_start") / BIN), F.floor(F.col("p_end") / BIN))).alias("bin"))
-    met = left.join(right, ["chr", "bin"]).where((F.col("p_start") <= F.col("hi")) & (F.col("p_end") >= F.col("lo")) & (F.col("bin") == F.greatest(F.floor(F.col("lo") / BIN), F.floor(F.col("p_start") / BIN))))
+    met = overlapping(spans, peaks.select("chr", "p_start", "p_end", "height"), ("lo", "hi"), lengths)
     s, w = shape.step, shape.window
     # window k covers [first + k s, first + k s + w - 1], or the same counted down from first
     up = F.col("last") >= F.col("first")

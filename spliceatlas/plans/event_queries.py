@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -105,10 +105,11 @@ select w.grp, w.region, w.pos, cast(sum(p.height) as bigint) as total from w joi
 
 
 def _pieces(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """The first 40 to 539 characters of documents as sequences of the regions of an event type, in turn."""
+    """Whole documents, cut at full stops and line ends, as sequences of the regions of an event type, in turn."""
     names = F.array(*[F.lit(r[0]) for r in EVENTS[kind].motif_regions()])
-    d = _t(spark, sf_dir, "documents")
-    return d.select(F.col("lang").alias("grp"), F.col("doc_id").alias("exon_idx"), F.element_at(names, (F.col("doc_id") % len(EVENTS[kind].regions) + 1).cast("int")).alias("fasta_region"), F.expr("substring(text, 1, cast(40 + doc_id % 500 as int))").alias("seq"))
+    d = _t(spark, sf_dir, "documents").select("lang", "doc_id", F.posexplode(F.split("text", "[.\n]")).alias("k", "seq"))
+    region = F.element_at(names, ((F.col("doc_id") + F.col("k")) % len(EVENTS[kind].regions) + 1).cast("int"))
+    return d.select(F.col("lang").alias("grp"), F.struct("doc_id", "k").alias("exon_idx"), region.alias("fasta_region"), "seq")
 
 
 def _scatter(kind: str):
@@ -117,9 +118,9 @@ def _scatter(kind: str):
 
 def _scatter_sql(kind: str) -> str:
     order = REGIONS.get(kind) or [(n,) for n in ("UpstreamExon", "UpstreamExonIntron", "UpstreamIntron", "TargetExon", "DownstreamIntron", "DownstreamExonIntron", "DownstreamExon")]
-    named = "case " + " ".join(f"when doc_id % {len(order)} = {k} then '{r[0]}'" for k, r in enumerate(order)) + " end"
+    named = "case " + " ".join(f"when (doc_id + j) % {len(order)} = {k} then '{r[0]}'" for k, r in enumerate(order)) + " end"
     starts = " union all ".join(
-        f"select motif, lang, region, n, m_len, cast(sum(len(piece)) over (partition by doc_id order by k rows unbounded preceding) as bigint) as p, k, last_k from (select *, '{name}' as motif, unnest(pieces) as piece, generate_subscripts(pieces, 1) as k, len(pieces) as last_k from (select doc_id, lang, {named} as region, length(t) as n, length(regexp_extract(t, '{rx}')) as m_len, string_split(regexp_replace(t, '{rx}', chr(1) || '\\0', 'g'), chr(1)) as pieces from (select doc_id, lang, substring(text, 1, 40 + doc_id % 500) as t from documents)))"
+        f"select motif, lang, region, n, m_len, cast(sum(len(piece)) over (partition by doc_id, j order by k rows unbounded preceding) as bigint) as p, k, last_k from (select *, '{name}' as motif, unnest(pieces) as piece, generate_subscripts(pieces, 1) as k, len(pieces) as last_k from (select doc_id, lang, j, {named} as region, length(t) as n, length(regexp_extract(t, '{rx}')) as m_len, string_split(regexp_replace(t, '{rx}', chr(1) || '\\0', 'g'), chr(1)) as pieces from cut))"
         for name, rx in _MOTIFS)
     hits = []
     for k, (name, side, m) in enumerate(WIRING[kind]):
@@ -129,7 +130,8 @@ def _scatter_sql(kind: str) -> str:
             hits.append(f"select motif, grp, {k} as region, unnest(range(greatest(0, q + {m}), least({m}, q + {m + 50}))) as pos from near where region = '{name}' and q >= -{m + 50}")
         else:
             hits.append(f"select motif, grp, {k} as region, unnest(range(greatest(0, x - w + 1), least({m}, x) - 1)) as pos from (select *, cast(floor(p / n * {m}) as bigint) as x, cast(floor(50.0 / n * {m}) as bigint) as w from near where region = '{name}') where x < {m} + w")
-    return f"""with starts as ({starts}), near as (select motif, lang as grp, region, n, p, p + m_len - 1 - n as q from starts where k < last_k and p < 300 and p + m_len - 1 - n >= -300),
+    return f"""with cut as (select doc_id, lang, unnest(s) as t, generate_subscripts(s, 1) - 1 as j from (select doc_id, lang, string_split_regex(text, '[.\\n]') as s from documents)),
+starts as ({starts}), near as (select motif, lang as grp, region, n, p, p + m_len - 1 - n as q from starts where k < last_k and p < 300 and p + m_len - 1 - n >= -300),
 hits as ({' union all '.join(hits)}) select motif, grp, region, cast(pos as int) as pos, count(*) as cnt from hits group by all"""
 
 
@@ -197,34 +199,43 @@ def brunner_munzel_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _columns(spark, sf_dir, "brunnermunzel_greater", True, "p")
 
 
-_SMALL = """v as (select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) as n, c_acctbal + c_custkey * 1e-4 as x from customer),
-s as (select c_nationkey, n <= 3 as one, x from v where n <= 11)"""
+_SMALL = """v as (select c_custkey // 11 as g, row_number() over (partition by c_custkey // 11 order by c_custkey) as n, c_acctbal + c_custkey * 1e-4 as x from customer),
+s as (select g, n <= 3 as one, x from v)"""
 
 
-def _small_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three customers of each nation against the next eight, as histograms."""
-    c = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.slice(F.array_sort(F.collect_list(F.struct("c_custkey", (F.col("c_acctbal") + F.col("c_custkey") * 1e-4).alias("x")))), 1, 11).alias("s"))
-    x = F.transform("s", lambda s: s["x"])
-    one, two = F.array_sort(F.slice(x, 1, 3)), F.array_sort(F.slice(x, 4, 8))
-    return c.where(F.size("s") == 11).select("c_nationkey", one.alias("v1"), F.transform(one, lambda _: F.lit(1.0)).alias("c1"), two.alias("v2"), F.transform(two, lambda _: F.lit(1.0)).alias("c2"))
+def _small_samples(spark: SparkSession, sf_dir: str, first: Column, value: Column) -> DataFrame:
+    """Customers in groups of eleven: in each the first ones against the others, as histograms."""
+    c = _t(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 11).alias("g"), "c_custkey", value.alias("v"))
+    c = c.withColumn("one", F.row_number().over(Window.partitionBy("g").orderBy("c_custkey")) <= first)
+    bars = c.groupBy("g", "one", "v").agg(F.count("*").cast("double").alias("c"))
+    lists = bars.groupBy("g").agg(*[F.array_sort(F.collect_list(F.when(F.col("one") == one, F.struct("v", "c")))).alias(n) for one, n in ((True, "a"), (False, "b"))])
+    return lists.select("g", F.col("a.v").alias("v1"), F.col("a.c").alias("c1"), F.col("b.v").alias("v2"), F.col("b.c").alias("c2"))
 
 
-@query(f"""with {_SMALL}, r as (select *, rank() over (partition by c_nationkey order by x) as k, count(*) over (partition by c_nationkey) as n from s),
-o as (select c_nationkey, sum(k) filter (one) as got from r where n = 11 group by c_nationkey),
-ways as (select a.i + b.i + c.i as total from range(1, 12) a(i), range(1, 12) b(i), range(1, 12) c(i) where a.i < b.i and b.i < c.i)
-select c_nationkey, round(count(*) filter (total >= got) / cast(count(*) as double), 6) as p from o, ways group by c_nationkey""")
+@query(f"""with {_SMALL}, r as (select *, rank() over (partition by g order by x) as k, count(*) over (partition by g) as n from s),
+o as (select g, n, sum(k) filter (one) as got from r group by all),
+ways as (select n.n, a.i + b.i + c.i as total from range(4, 12) n(n), range(1, 12) a(i), range(1, 12) b(i), range(1, 12) c(i) where a.i < b.i and b.i < c.i and c.i <= n.n)
+select o.g, coalesce(round(count(*) filter (total >= got) / cast(nullif(count(total), 0) as double), 6), 1.0) as p from o left join ways on o.n = ways.n group by o.g""")
 def mannwhitney_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of three against eight without ties: the exact form."""
+    """Samples of three against up to eight without ties: the exact form; 1 without a second sample."""
     p = stats.rank_column("mannwhitney_greater", False)("v1", "c1", "v2", "c2")
-    return _small_samples(spark, sf_dir).select("c_nationkey", F.round(p, 6).alias("p"))
+    return _small_samples(spark, sf_dir, F.lit(3), F.col("c_acctbal") + F.col("c_custkey") * 1e-4).select("g", F.round(p, 6).alias("p"))
 
 
-@query("""with v as (select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) as n from customer)
-select c_nationkey, cast(1.0 as double) as p_guarded, count(*) as n from v where n <= 11 group by c_nationkey having count(*) = 11""")
+@query(f"""with v as (select c_custkey // 11 as g, row_number() over (partition by c_custkey // 11 order by c_custkey) <= (c_custkey // 11) % 6 as one, case when (c_custkey // 11) % 4 = 0 then 5.0 else floor(c_acctbal / 3000) end as x from customer),
+r as (select *, rank() over (partition by g order by x) + (count(*) over (partition by g, x) - 1) / 2.0 as pooled, rank() over (partition by g, one order by x) + (count(*) over (partition by g, one, x) - 1) / 2.0 as own from v),
+m as (select g, one, avg(pooled) as mp, avg(own) as mo, count(*) as n, count(distinct x) as d from r group by all),
+t as (select r.g, r.one, sum((pooled - own - mp + mo) ** 2) / nullif(any_value(n) - 1, 0) as s, any_value(n) as n, any_value(d) as d, any_value(mp) as mp from r join m on r.g = m.g and r.one = m.one group by all),
+w as (select g.g, x.n as n1, y.n as n2, x.d as d1, y.d as d2, x.n * y.n * (y.mp - x.mp) as top, (x.n + y.n) * sqrt(x.n * x.s + y.n * y.s) as below
+  from (select distinct g from v) g left join t x on x.g = g.g and x.one left join t y on y.g = g.g and not y.one),
+z as (select *, case when below > 1e-9 then top / below end as z from w)
+select g, case when coalesce(n1, 0) < 2 or coalesce(n2, 0) < 2 or d1 < 2 or d2 < 2 then 1.0 when z is null then case when top >= 0 then 1.0 else 0.0 end else round(1 - {_above('z')}, 5) + 0.0 end as p_guarded from z""")
 def brunner_munzel_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of equal values has no variance: the guarded form gives 1."""
-    rows = _small_samples(spark, sf_dir).select("c_nationkey", F.array(F.lit(5.0)).alias("v1"), F.array(F.lit(3.0)).alias("c1"), "v2", "c2")
-    return rows.select("c_nationkey", stats.rank_column("brunnermunzel_greater", True)("v1", "c1", "v2", "c2").alias("p_guarded"), (F.lit(3) + F.size("v2")).cast("bigint").alias("n"))
+    """Samples of none, one and more, of equal and of varied values: the guarded form gives 1 where there is nothing to compare."""
+    g = F.floor(F.col("c_custkey") / 11)
+    value = F.when(g % 4 == 0, 5.0).otherwise(F.floor(F.col("c_acctbal") / 3000).cast("double"))
+    rows = _small_samples(spark, sf_dir, F.col("g") % 6, value)
+    return rows.select("g", F.round(stats.rank_column("brunnermunzel_greater", True)("v1", "c1", "v2", "c2"), 5).alias("p_guarded"))
 
 
 @query("""with c as (select p_type, p_size, sum(case when l_returnflag = 'R' then 1 else 0 end) as a, count(*) as m from lineitem join part on l_partkey = p_partkey group by all),
@@ -240,7 +251,7 @@ def fisher_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("p_type", "p_size", F.round(stats.fisher_column("a", "n", F.col("ta") - F.col("a"), F.col("tn") - F.col("n"), F.lit(10)), 6).alias("p"))
 
 
-_FEW = "few as (select case l_returnflag when 'A' then 'up' when 'R' then 'dn' else 'bg' end as grp, l_linenumber - 1 as region, l_suppkey % 5 as pos, l_orderkey % 40 as exon_idx, cast(sum(l_quantity) as bigint) as cnt from lineitem where l_orderkey % 3 = 0 group by all)"
+_FEW = "few as (select case l_returnflag when 'A' then 'up' when 'R' then 'dn' else 'bg' end as grp, l_linenumber - 1 as region, l_suppkey % 5 as pos, l_orderkey % 40 as exon_idx, cast(sum(l_quantity) as bigint) as cnt from lineitem group by all)"
 
 
 @query(f"""with {_FEW}, cells as (select a.region, b.pos, e.k from range(7) a(region), range(5) b(pos), range(40) e(k)),
@@ -249,8 +260,7 @@ select cast(region as int) as region, cast(pos as int) as pos, cast(sum(cnt) as
 def value_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered lists of the counts of all exons of a group."""
     grp = F.when(F.col("l_returnflag") == "A", "up").when(F.col("l_returnflag") == "R", "dn").otherwise("bg")
-    rows = _t(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
-    counts = rows.groupBy(grp.alias("grp"), (F.col("l_linenumber") - 1).cast("int").alias("region"), (F.col("l_suppkey") % 5).cast("int").alias("pos"), (F.col("l_orderkey") % 40).alias("exon_idx")).agg(F.sum("l_quantity").cast("bigint").alias("cnt"))
+    counts = _t(spark, sf_dir, "lineitem").groupBy(grp.alias("grp"), (F.col("l_linenumber") - 1).cast("int").alias("region"), (F.col("l_suppkey") % 5).cast("int").alias("pos"), (F.col("l_orderkey") % 40).alias("exon_idx")).agg(F.sum("l_quantity").cast("bigint").alias("cnt"))
     return summary.value_lists(counts, summary.grid(spark, [(k, 5) for k in range(7)]), dict.fromkeys(GROUPS, 40), "up", [])
 
 

@@ -132,9 +132,10 @@ def _coords_sql(kind: str) -> str:
 
 
 def _coords(spark: SparkSession, sf_dir: str, kind: str = "SE") -> DataFrame:
+    """Orders as exons; the file is small, and each row becomes many, so rows are spread first."""
     o, c = _t(spark, sf_dir, "orders"), F.col("o_custkey") * 37
     grp = F.when(F.col("o_orderstatus") == "O", "up").when(F.col("o_orderstatus") == "F", "dn").otherwise("bg")
-    return o.select(F.col("o_orderkey").alias("exon_idx"), grp.alias("grp"), F.col("o_orderpriority").alias("chr"), F.when(F.col("o_custkey") % 3 == 0, "-").otherwise("+").alias("strand"), *[(c + v).alias(n) for n, v in _PLACES[kind].items()])
+    return o.select(F.col("o_orderkey").alias("exon_idx"), grp.alias("grp"), F.col("o_orderpriority").alias("chr"), F.when(F.col("o_custkey") % 3 == 0, "-").otherwise("+").alias("strand"), *[(c + v).alias(n) for n, v in _PLACES[kind].items()]).repartition("exon_idx")
 
 
 _COORDS = _coords_sql("SE")

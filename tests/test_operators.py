@@ -353,3 +353,45 @@ def test_retained_introns_end_to_end(spark):
     result = maps.clip_map(coords, peaks, "RI", Shape(20, 60, 10, 2))
     rows = result.tested.collect()
     assert len(rows) == 4 * 6 + 26 and {r.region for r in rows if r.up + r.dn + r.bg} == {0, 1, 2, 3, 4}
+
+
+def interval_tables(spark, rnd, lengths, n=250):
+    left = [(k, rnd.choice(["a", "b", None]), s, s + rnd.choice(lengths) - 1) for k in range(n) for s in [rnd.randint(-3000, 3000)]]
+    right = sorted({(rnd.choice(["a", "b", None]), s, s + rnd.choice(lengths) - 1) for _ in range(n) for s in [rnd.randint(-3000, 3000)]}, key=str)
+    return left, right, spark.createDataFrame(left, "k int, chr string, w_start bigint, w_end bigint"), spark.createDataFrame([(*r, 2, 9) for r in right], "chr string, p_start bigint, p_end bigint, height bigint, line bigint")
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_intervals_of_any_length_meet_once(spark, most, monkeypatch):
+    monkeypatch.setattr(overlap, "MOST_IN_BIN", most)  # 3: nearly every bin is split on both sides
+    rnd = random.Random(most)
+    left, right, one, two = interval_tables(spark, rnd, [1, 2, 20, 31, 32, 33, 64, 65, 500, 2500, 0, -3])
+    got = sorted((r.k, r.chr, r.p_start, r.p_end) for r in overlap.overlapping(one, two).collect())
+    assert got == sorted((k, c, a, b) for k, c, x, y in left for d, a, b in right if c == d and c and a <= y and b >= x)
+    assert overlap.overlapping(one.limit(0), two).count() == overlap.overlapping(one, two.limit(0)).count() == 0
+
+
+def test_bins_follow_the_lengths(spark):
+    """Pairs that meet in a bin are at most about three times those that overlap, for short and for long intervals."""
+    for length in (40, 700, 20_000):
+        rnd = random.Random(length)
+        left = [(k, "a", s, s + length - 1) for k in range(400) for s in [rnd.randint(0, 60 * length)]]
+        right = [("a", s, s + length // 2) for _ in range(400) for s in [rnd.randint(0, 60 * length)]]
+        one = overlap._binned(spark.createDataFrame(left, "k int, chr string, w_start bigint, w_end bigint"), F.col("w_start"), F.col("w_end"), [(length // 2).bit_length()])
+        two = overlap._binned(spark.createDataFrame(right, "chr string, p_start bigint, p_end bigint"), F.col("p_start"), F.col("p_end"), [(length - 1).bit_length()])
+        met = one.select("chr", "level", "bin").join(two.select("chr", "level", "bin"), ["chr", "level", "bin"]).count()
+        found = sum(a <= y and b >= x for _, _, x, y in left for _, a, b in right)
+        assert met <= 3.5 * found
+
+
+def test_first_rows_of_many(spark, monkeypatch):
+    from spliceatlas.operators import numbering
+
+    rows = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("a"), "id")
+    order = [F.col("a"), F.col("id")]
+    expected = sorted((r.a, r.id) for r in rows.collect())[:300]
+    for most in (10_000, 10):
+        monkeypatch.setattr(numbering, "MOST_AT_ONCE", most)
+        got = sorted((r.pos, r.a, r.id) for r in numbering.first_rows(rows, order, 300, "pos").collect())
+        assert [g[1:] for g in got] == expected and [g[0] for g in got] == list(range(1, 301))
+    assert numbering.first_rows(rows.limit(0), order, 300, "pos").count() == 0
