@@ -8,13 +8,10 @@ duplicates. Bins with very many intervals are split on both sides.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import steps_between
-from ..shipping import session_of
 from ..specs import Event
 from .motif import Shape, positions
 
@@ -137,74 +134,53 @@ def spans_overlap(spans: DataFrame, peaks: DataFrame, shape: Shape, lengths: set
     return met.withColumn("pos", F.explode(touched)).groupBy("grp", "exon_idx", "region", "pos").agg(F.sum("height").alias("total"))
 
 
-def scaled_scan(start: int, length: int, plus: bool, window: int, step: int, bins: int, peaks: list[tuple[int, int, int]]) -> np.ndarray:
-    """Peak heights along an intron of any length, folded to `bins` positions.
-
-    Offsets 0..length-1 step along the intron, offset o belonging to bin floor(o / length * bins). At an offset whose window
-    touches peaks, a bin not used before takes the first peak's height: at this bin alone if the offset before touched none; else on
-    the plus strand at all bins after the last offset's, and on the minus strand at none. Later peaks of a used bin add nothing.
-    peaks: (start, end, height) in file order.
-    """
-    out, used = np.zeros(bins), np.zeros(bins, bool)
-    if length <= 0 or bins <= 0:
-        return out
-    at, stop = np.arange(length), start + length - 1
-    begin = start + at * step if plus else stop - at * step - window + 1
-    low, high = begin // BIN, (begin + window - 1) // BIN
-    # the first peak that touches each window: in file order, those found through the window's first bin before the others
-    first, by_low = np.full(length, -1), np.zeros(length, bool)
-    for k in range(len(peaks) - 1, -1, -1):
-        a, b, _ = peaks[k]
-        edges = (a - window + 1 - start, b - start) if plus else (stop - window + 1 - b, stop - a)
-        part = slice(max(0, -(-edges[0] // step)), max(0, edges[1] // step + 1))
-        near = (a // BIN <= low[part]) & (low[part] <= b // BIN)
-        far = ~near & (a // BIN <= high[part]) & (high[part] <= b // BIN) & ~by_low[part]
-        first[part][near | far] = k
-        by_low[part] |= near
-    bin_of = (at.astype(float) / length * bins).astype(int)
-    last, before = 100_000, False
-    for o in np.flatnonzero(first >= 0):
-        before = o > 0 and first[o - 1] >= 0
-        last = bin_of[o - 1] if o else 100_000
-        b, height = bin_of[o], peaks[first[o]][2]
-        if not used[b]:
-            if not before:
-                out[b] += height
-            elif plus:
-                out[last + 1 : b + 1] += height
-        used[b] = True
-    return out
-
-
 def scaled_overlap(coords: DataFrame, peaks: DataFrame, event: Event, shape: Shape) -> DataFrame:
-    """grp, exon_idx, region, pos, total of the scaled region of retained introns, by one sequential scan for each exon.
+    """grp, exon_idx, region, pos, total of the scaled region of retained introns: peak heights along an intron of any length, folded to bins.
+
+    Offsets 0..length-1 step along the intron, offset o belonging to bin floor(o / length * bins). Only the first offset of a bin whose
+    window touches peaks counts, with the height of the first peak it sees: at this bin alone if the offset before touches none; else on
+    the plus strand at all bins after that offset's, and on the minus strand at none. Peaks keep their file order in `line`; repeated
+    intervals count once, in their first place with their last height; a window sees the peaks of its first chunk of BIN bases before others.
 
-    peaks keep their file order in `line`. An exon's peaks are those that its windows can touch.
+    A peak touches a run of offsets. A run that does not continue earlier ones starts an island; inside islands each bin begins at a known
+    offset. Every run that holds such an offset names it, and the first peak is the least of them, so an exon's peaks are compared by
+    one running maximum and grouped minima. Windows of more than BIN bases raise ValueError.
     """
-    session_of(coords)
+    if shape.window > BIN:
+        raise ValueError(f"windows of scaled regions have {BIN} bases at most")
     region, bins = next((k, n) for (k, n), letter in zip(positions(event, shape, clip=True), event.lengths, strict=True) if letter == "i")
     named = coords.select("grp", "exon_idx", "chr", "strand", *[F.expr(x).alias(n) for n, x in event.names.items()])
     plus = F.coalesce(F.col("strand") == "+", F.lit(False))
     spans = named.select("grp", "exon_idx", "chr", plus.alias("plus"), F.col("uE").alias("a"), (F.col("dS") - F.col("uE")).alias("n")).where("n > 0")
-    reach = (F.col("n") - 1) * shape.step + shape.window
+    s, w = shape.step, shape.window
+    reach = (F.col("n") - 1) * s + w
     spans = spans.withColumn("lo", F.when(F.col("plus"), F.col("a")).otherwise(F.col("a") + F.col("n") - reach)).withColumn("hi", F.col("lo") + reach - 1)
-    left = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor(F.col("hi") / BIN))))
-    right = peaks.select("chr", "p_start", "p_end", "height", "line", F.explode(F.sequence(F.floor(F.col("p_start") / BIN), F.floor(F.col("p_end") / BIN))).alias("bin"))
-    met = left.join(right, ["chr", "bin"]).where((F.col("p_start") <= F.col("hi")) & (F.col("p_end") >= F.col("lo")) & (F.col("bin") == F.greatest(F.floor(F.col("lo") / BIN), F.floor(F.col("p_start") / BIN))))
-    found = met.groupBy("grp", "exon_idx", "plus", "a", "n").agg(F.array_sort(F.collect_list(F.struct("line", "p_start", "p_end", "height"))).alias("peaks"))
-    found = found.select("grp", "exon_idx", "plus", "a", "n", F.transform("peaks", lambda p: F.array(p["p_start"], p["p_end"], p["height"])).alias("peaks"))
-
-    @F.pandas_udf("array<double>")
-    def scan(a: pd.Series, n: pd.Series, plus: pd.Series, peaks: pd.Series) -> pd.Series:
-        return pd.Series([scaled_scan(int(x), int(k), bool(p), shape.window, shape.step, bins, _last_heights(list(map(tuple, q)))) for x, k, p, q in zip(a, n, plus, peaks, strict=True)])
-
-    scanned = found.select("grp", "exon_idx", F.posexplode(scan("a", "n", "plus", "peaks")).alias("pos", "total"))
-    return scanned.where("total <> 0").select("grp", "exon_idx", F.lit(region).alias("region"), "pos", F.col("total").cast("bigint").alias("total"))
-
-
-def _last_heights(peaks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Repeated intervals once, in their first place with their last height."""
-    seen: dict[tuple[int, int], int] = {}
-    for a, b, h in peaks:
-        seen[(int(a), int(b))] = int(h)
-    return [(a, b, h) for (a, b), h in seen.items()]
+    once = peaks.groupBy("chr", "p_start", "p_end").agg(F.max_by("height", "line").alias("height"), F.min("line").alias("line"))
+    plus, a, n, stop = F.col("plus"), F.col("a"), F.col("n"), F.col("a") + F.col("n") - 1
+    low = F.when(plus, F.col("p_start") - w + 1 - a).otherwise(stop - w + 1 - F.col("p_end"))
+    high = F.when(plus, F.col("p_end") - a).otherwise(stop - F.col("p_start"))
+    runs = overlapping(spans, once, ("lo", "hi")).withColumn("x", F.greatest(F.ceil(low / s), F.lit(0))).withColumn("y", F.least(F.floor(high / s), n - 1)).where("x <= y")
+    earlier = F.max("y").over(Window.partitionBy("grp", "exon_idx").orderBy("x").rangeBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("prev", earlier)
+
+    def bin_of(o: Column) -> Column:
+        return F.floor(o.cast("double") / n * bins).cast("int")
+
+    def start_of(b: Column) -> Column:
+        """First offset of a bin: the division may fall short of a whole number."""
+        o = F.ceil(b * n / bins)
+        return F.when(bin_of(o) >= b, o).otherwise(o + 1)
+
+    island = F.col("prev").isNull() | (F.col("x") > F.col("prev") + 1)
+    point = lambda o, first, last: F.struct(o.cast("bigint").alias("o"), first.cast("int").alias("first"), last.cast("int").alias("last"))
+    fresh = F.col("prev").isNull() | (bin_of(F.col("prev")) < bin_of(F.col("x")))
+    starts = F.when(island & fresh, F.array(point(F.col("x"), bin_of(F.col("x")), bin_of(F.col("x")))))
+    inside = F.transform(F.sequence(bin_of(F.col("x")), bin_of(F.col("y"))), lambda b: point(start_of(b), bin_of(start_of(b) - 1) + 1, b))
+    inside = F.filter(inside, lambda q: (q["o"] >= F.col("x")) & (q["o"] <= F.col("y")) & (q["o"] > 0) & (bin_of(q["o"]) == q["last"]) & ~(island & (q["o"] == F.col("x"))))
+    none = F.array().cast("array<struct<o:bigint,first:int,last:int>>")
+    named = runs.withColumn("q", F.explode(F.concat(F.coalesce(starts, none), F.when(plus, inside).otherwise(none)))).select("*", "q.*")
+    begin = F.floor(F.when(plus, a + F.col("o") * s).otherwise(stop - F.col("o") * s - w + 1) / BIN)
+    far = ~begin.between(F.floor(F.col("p_start") / BIN), F.floor(F.col("p_end") / BIN))
+    first = named.groupBy("grp", "exon_idx", "o", "first", "last").agg(F.min(F.struct(far.alias("far"), "line", "height")).alias("peak"))
+    out = first.select("grp", "exon_idx", F.lit(region).alias("region"), F.explode(F.sequence("first", "last")).alias("pos"), F.col("peak.height").cast("bigint").alias("total"))
+    return out.where("total <> 0")

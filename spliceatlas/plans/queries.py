@@ -357,10 +357,20 @@ def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.permutation_test(counts, summary.grid(spark, [(0, 24)]), [], dict.fromkeys(GROUPS, int(n)), stats.PERMUTATIONS, stats.SEED, shared=False)
 
 
-@query()
+@query("""with x as (select o_orderkey as k, o_orderpriority as chr, o_custkey % 3 <> 0 as plus, o_custkey * 37 + 1100 as a, 301 + o_orderkey % 400 as n from orders),
+w as (select *, case when plus then a + o else a + n - 1 - o - 9 end as lo from (select *, unnest(range(n)) as o from x)),
+b as (select *, unnest(list_distinct([lo // 64, (lo + 9) // 64])) as bucket from w),
+p as (select *, unnest(list_distinct([p_start // 64, p_end // 64])) as bucket from (select case event_id % 5 when 0 then '1-URGENT' when 1 then '2-HIGH' when 2 then '3-MEDIUM' when 3 then '4-NOT SPECIFIED' else '5-LOW' end as chr,
+  event_id * 6 + 1 as p_start, event_id * 6 + 20 as p_end, cast(floor(value) as bigint) as height, event_id as line from events)),
+touched as (select k, plus, n, o, arg_min(height, line + case when lo // 10000 between p_start // 10000 and p_end // 10000 then 0 else 1000000000000 end) as height
+  from b join p on b.chr = p.chr and b.bucket = p.bucket and p_start <= lo + 9 and p_end >= lo group by all),
+placed as (select *, cast(floor(o / cast(n as double) * 241) as int) as bin, coalesce(lag(o) over (partition by k order by o) = o - 1, false) as before from touched),
+firsts as (select * from placed qualify row_number() over (partition by k, bin order by o) = 1),
+folded as (select k, height, unnest(case when not before then [bin] when plus then range(cast(floor((o - 1) / cast(n as double) * 241) as int) + 1, bin + 1) end) as pos from firsts)
+select 2 as region, cast(pos as int) as pos, cast(sum(height) as bigint) as total, count(*) as exons from folded where height <> 0 group by pos""")
 def retained_intron_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded scans of variable-length introns; no SQL, as each step depends on the one before."""
-    o = _t(spark, sf_dir, "orders")
+    """Folded scans of variable-length introns."""
+    o = _t(spark, sf_dir, "orders").repartition("o_orderkey")
     coords = o.select(F.lit("up").alias("grp"), F.col("o_orderkey").alias("exon_idx"), F.col("o_orderpriority").alias("chr"), F.when(F.col("o_custkey") % 3 == 0, "-").otherwise("+").alias("strand"), F.lit(0).cast("bigint").alias("c2"), F.lit(0).cast("bigint").alias("c3"), *[(F.col("o_custkey") * 37 + x).alias(n) for n, x in (("c4", 1000), ("c5", 1100))], (F.col("o_custkey") * 37 + 1400 + F.col("o_orderkey") % 400).alias("c6"), (F.col("o_custkey") * 37 + 2000).alias("c7"))
     chr_ = F.element_at(F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]), (F.col("event_id") % 5 + 1).cast("int"))
     peaks = _t(spark, sf_dir, "events").select(chr_.alias("chr"), (F.col("event_id") * 6 + 1).alias("p_start"), (F.col("event_id") * 6 + 20).alias("p_end"), F.floor("value").cast("bigint").alias("height"), F.col("event_id").alias("line"))

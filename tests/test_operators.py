@@ -204,18 +204,6 @@ def restated_scan(start, length, plus, window, step, bins, peaks):
     return out
 
 
-def test_scaled_scan():
-    rnd = random.Random(8)
-    for _ in range(300):
-        length, step, window = rnd.choice([3, 30, 120, 400]), rnd.choice([1, 1, 3]), rnd.choice([1, 10])
-        start = rnd.choice([100, 9_900])
-        peaks = list({(a, a + rnd.choice([0, 4, 30])): rnd.randint(1, 9) for a in (start + rnd.randint(-30, length * step + 30) for _ in range(rnd.randint(0, 8)))}.items())
-        peaks = [(a, b, h) for (a, b), h in peaks]
-        for plus in (True, False):
-            got = overlap.scaled_scan(start, length, plus, window, step, 50, peaks)
-            assert got.tolist() == restated_scan(start, length, plus, window, step, 50, peaks)
-
-
 def test_fisher():
     for a, b, c, d in itertools.product((0, 1, 3, 8), (0, 2, 7), (0, 1, 5), (0, 4)):
         row_, col, total = a + b, a + c, a + b + c + d
@@ -328,18 +316,25 @@ def test_event_lists():
     assert loci(False, Shape()) == [1200, 800, 800, 450, 1800] and loci(True, Shape(window=10)) == [1128, 728, 728, 405, 1692]
 
 
-def test_scaled_overlap(spark):
-    rnd, shape, kind = random.Random(12), Shape(20, 60, 10, 1), EVENTS["RI"]
-    exons = [("up", k, "c1", rnd.choice("+-"), 0, 0, 900, a := rnd.choice([1000, 9_900]) + k, a + rnd.randint(5, 300), 99_999) for k in range(20)]
+@pytest.mark.parametrize(("step", "window", "intron"), [(1, 10, 60), (1, 1, 60), (3, 10, 90), (2, 25, 300)])
+def test_scaled_overlap(spark, step, window, intron):
+    """Introns shorter and longer than the map, at chunk edges, with peaks that repeat, touch and overlap."""
+    rnd, shape, kind = random.Random(step * 100 + window), Shape(30, intron, window, step), EVENTS["RI"]
+    exons = [("up", k, "c1", rnd.choice("+-"), 0, 0, 900, a := rnd.choice([1000, 9_900]) + k, a + rnd.choice([0, 1, 5, 40, 120, 300, 500]), 99_999) for k in range(120)]
     coords = spark.createDataFrame(exons, "grp string, exon_idx bigint, chr string, strand string, " + ", ".join(f"c{2 + k} bigint" for k in range(6)))
-    peaks = [(f"c{rnd.choice('112')}", s := rnd.choice([990, 9_890]) + rnd.randint(0, 330), s + rnd.choice([0, 6, 40]), rnd.randint(1, 9), k) for k in range(80)]
+    peaks = [(f"c{rnd.choice('112')}", s := rnd.choice([990, 9_890]) + rnd.randint(0, 630), s + rnd.choice([0, 6, 40]), rnd.randint(0, 9), k) for k in range(90)]
+    peaks += [(*rnd.choice(peaks)[:3], rnd.randint(1, 9), 90 + k) for k in range(20)]
     table = spark.createDataFrame(peaks, "chr string, p_start bigint, p_end bigint, height bigint, line bigint")
-    got = {(r.exon_idx, r.pos): r.total for r in overlap.scaled_overlap(coords, table, kind, shape).collect()}
-    bins, expected = 51, {}
+    found = overlap.scaled_overlap(coords, table, kind, shape).collect()
+    got = {(r.exon_idx, r.pos): r.total for r in found}
+    assert len(got) == len(found) > 0
+    bins, expected = next(n for (_, n), c in zip(motif.positions(kind, shape, True), kind.lengths) if c == "i"), {}
     for _, k, _, strand, _, _, _, c5, c6, _ in exons:
-        totals = restated_scan(c5, c6 - c5 + 1, strand == "+", 10, 1, bins, [(a, b, h) for c, a, b, h, _ in peaks if c == "c1"])
+        totals = restated_scan(c5, c6 - c5 + 1, strand == "+", window, step, bins, [(a, b, h) for c, a, b, h, _ in peaks if c == "c1"])
         expected |= {(k, p): v for p, v in enumerate(totals) if v}
     assert got == expected
+    with pytest.raises(ValueError, match="bases at most"):
+        overlap.scaled_overlap(coords, table, kind, Shape(30, 300, 20_000, 1))
 
 
 def test_retained_introns_end_to_end(spark):
