@@ -6,6 +6,7 @@ the permutation test takes the values themselves.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -141,15 +142,51 @@ def brunner_munzel_greater(v1, c1, v2, c2, guarded: bool) -> float:
 
 
 def permutation_greater(first: np.ndarray, second: np.ndarray, permutations: int, rng: np.random.Generator) -> float:
-    observed = float(np.mean(first) - np.mean(second))
+    """The test of one pair of samples."""
     pooled = np.concatenate([first, second])
-    reached = 0
-    for _ in range(permutations):
-        mixed = rng.permutation(pooled)
-        reached += float(np.mean(mixed[: len(first)]) - np.mean(mixed[len(first) :])) >= observed
+    at = np.flatnonzero(pooled)
+    return float(permuted_greater(np.zeros(len(at), np.int64), at, pooled[at], 1, len(first), len(second), permutations, rng)[0])
+
+
+def permuted_greater(key: np.ndarray, at: np.ndarray, values: np.ndarray, keys: int, n1: int, n2: int, permutations: int, rng: np.random.Generator) -> np.ndarray:
+    """p-values of several keys under the same permutations of n1 + n2 places, of which the first n1 are the first sample.
+
+    values (whole numbers, so that sums are exact in any order) lie at places `at` of their keys; all other places hold 0.
+    """
+    places, column = np.unique(at, return_inverse=True)
+    table = np.zeros((len(places), keys))
+    np.add.at(table, (column, key), values)
+    whole = table.sum(0)
+    above = table[places < n1].sum(0)
+    observed = above / n1 - (whole - above) / n2
+    reached = np.zeros(keys, np.int64)
+    for lo in range(0, permutations, 64):
+        taken = np.zeros((min(64, permutations - lo), n1 + n2), bool)
+        for row in taken:
+            row[rng.permutation(n1 + n2)[:n1]] = True
+        sums = taken[:, places].astype(float) @ table
+        reached += (sums / n1 - (whole - sums) / n2 >= observed).sum(0)
     return (reached + 1.0) / (permutations + 1.0)
 
 
+def stream(seed: int, state: str | None = None) -> np.random.Generator:
+    """The random stream of a seed, from its start or from a state of stream_states."""
+    rng = np.random.default_rng(seed)
+    if state is not None:
+        rng.bit_generator.state = json.loads(state)
+    return rng
+
+
+def stream_states(n: int, positions: int, permutations: int, seed: int) -> list[str]:
+    """States of the stream before each position, if every position permutes n values so many times. What is permuted does not matter."""
+    rng, values, out = stream(seed), np.zeros(n, np.int8), []
+    for _ in range(positions):
+        out.append(json.dumps(rng.bit_generator.state))
+        for _ in range(permutations):
+            rng.shuffle(values)
+    return out
+
+
 def bounded(p: float, clamp: bool) -> float:
     if not math.isfinite(p):
         return 1.0

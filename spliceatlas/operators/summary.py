@@ -11,6 +11,9 @@ from ..functions import stats
 from ..shipping import session_of
 from ..specs import CONTRASTS, GROUPS, SE_SUMMARY, Event
 
+#: Keys of a position that a task permutes together.
+PERMUTED = 128
+
 
 def grid(spark: SparkSession, positions: list[tuple[int, int]], keys: DataFrame | None = None) -> DataFrame:
     """region, pos (and the columns of keys): every position of every region. A region table of a few rows is exploded."""
@@ -60,36 +63,48 @@ def rank_test(hist: DataFrame, method: str, clip: bool) -> DataFrame:
 
 
 def permutation_test(counts: DataFrame, cells: DataFrame, keys: list[str], sizes: dict[str, int], permutations: int, seed: int, shared: bool, value: str = "cnt") -> DataFrame:
-    """p_up and p_dn by permutation of the exons' values in exon order.
+    """p_up and p_dn by permutation of the exons' values (whole numbers) in exon order.
 
-    shared: one random stream runs through all positions of a key, in order of region and position (positions of a key then
-    meet in one task); otherwise every position starts the stream anew.
+    shared: one random stream runs through all positions of a key, in order of region and position; otherwise every position starts the
+    stream anew. How much of it a position takes depends on sample sizes only, so its state at each position is found once, for all keys, and
+    positions are then tested anywhere, PERMUTED keys of a position at a time: a permutation serves all of them. Positions without counts
+    have p 1. The states of all positions of a map (bounded by its shape) go along with the function.
     """
-    session_of(counts)
+    spark = session_of(counts)
     on = [*keys, "region", "pos"]
-    lists = counts.groupBy(*on).agg(*[F.collect_list(F.when(F.col("grp") == g, F.struct("exon_idx", F.col(value).cast("double").alias("v")))).alias(g) for g in GROUPS])
-    df = cells.join(lists, on, "left")
-
-    def dense(items, n: int) -> np.ndarray:
-        out = np.zeros(n)
-        for x in items if items is not None else ():
-            out[x["exon_idx"]] = x["v"]
-        return out
-
-    def p_value(one, two, g: str, rng: np.random.Generator) -> float:
-        if not sizes[g] or not sizes["bg"]:
-            return 1.0
-        return stats.bounded(stats.permutation_greater(dense(one, sizes[g]), dense(two, sizes["bg"]), permutations, rng), True)
-
-    def stream(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["region", "pos"])
+    states: dict[tuple[str, int, int], str] = {}
+    if shared:
+        places = sorted((r["region"], r["pos"]) for r in cells.select("region", "pos").distinct().collect())
+        lengths = spark.createDataFrame([(g, sizes[g] + sizes["bg"]) for g in CONTRASTS if sizes[g] and sizes["bg"]], "grp string, n bigint").repartition("grp")
+
+        def walk(frames):
+            for frame in frames:
+                for g, n in zip(frame["grp"], frame["n"], strict=True):
+                    yield pd.DataFrame({"grp": g, "at": range(len(places)), "state": stats.stream_states(int(n), len(places), permutations, seed)})
+
+        states = {(r["grp"], *places[r["at"]]): r["state"] for r in lengths.mapInPandas(walk, "grp string, at int, state string").collect()}
+
+    def test(frame: pd.DataFrame) -> pd.DataFrame:
+        place = (int(frame["region"].iloc[0]), int(frame["pos"].iloc[0]))
+        which = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(frame), np.int64)
+        out = frame.assign(k=which).drop_duplicates("k").sort_values("k")[on].copy()
         for g in CONTRASTS:
-            rng = np.random.default_rng(seed)
-            frame[f"p_{g}"] = [p_value(a, b, g, rng if shared else np.random.default_rng(seed)) for a, b in zip(frame[g], frame["bg"], strict=True)]
-        return frame[[*on, "p_up", "p_dn"]]
+            p = np.ones(len(out))
+            if sizes[g] and sizes["bg"]:
+                own = frame["grp"].isin([g, "bg"]).to_numpy()
+                at = frame["exon_idx"].to_numpy()[own] + np.where(frame["grp"].to_numpy()[own] == "bg", sizes[g], 0)
+                p = stats.permuted_greater(which[own], at, frame["v"].to_numpy()[own], len(out), sizes[g], sizes["bg"], permutations, stats.stream(seed, states.get((g, *place))))
+            out[f"p_{g}"] = p
+        return out
 
-    schema = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in on) + ", p_up double, p_dn double"
-    return df.groupBy(*(keys or [F.lit(1)]) if shared else on).applyInPandas(stream, schema)
+    rows = counts.select(*on, "grp", F.col("exon_idx").cast("bigint").alias("exon_idx"), F.col(value).cast("double").alias("v"))
+    lots = F.lit(0)
+    if keys:
+        n = counts.select(*keys).distinct().count()
+        lots = F.pmod(F.xxhash64(*keys), F.lit(-(-n // PERMUTED) or 1))
+    schema = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in on) + ", p_up double, p_dn double"
+    tested = rows.withColumn("lot", lots).groupBy("region", "pos", "lot").applyInPandas(test, schema)
+    return cells.join(tested, on, "left").select(*on, *[F.coalesce(f"p_{g}", F.lit(1.0)).alias(f"p_{g}") for g in CONTRASTS])
 
 
 def combined(total: DataFrame, sizes: dict[str, int]) -> DataFrame:

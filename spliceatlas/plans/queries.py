@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -347,14 +348,57 @@ def fpkm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where(F.col("grp").isNotNull()).groupBy("grp").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
 
 
-@query()
-def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permutation p-values of click counts by bucket and hour; no SQL, as the random stream is numpy's."""
+#: Groups of users that stand for exons.
+_USERS = 100
+
+
+def _bits(positions: int) -> list[list[str]]:
+    """For each position the permutations of numpy's stream: 1 for the places that make up the first sample."""
+    rng, out = stats.stream(stats.SEED), []
+    for _ in range(positions):
+        taken = np.zeros((stats.PERMUTATIONS, 2 * _USERS), int)
+        for row in taken:
+            row[rng.permutation(2 * _USERS)[:_USERS]] = 1
+        out.append(["".join(map(str, row)) for row in taken])
+    return out
+
+
+def _permutation_sql(keys: str, positions: int, shared: bool) -> str:
+    """The test in SQL; only the permutations come from outside, as strings of places."""
+    drawn = [(k, bits) for k, own in enumerate(_bits(positions if shared else 1)) for bits in own]
+    values = ", ".join(f"({k}, '{bits}')" for k, bits in drawn)
+    parts = []
+    for g in ("up", "dn"):
+        parts.append(f"""select {keys}, pos, '{g}' as g, (count(*) filter (cast(s as double) / {_USERS} - cast(t - s as double) / {_USERS} >= cast(a as double) / {_USERS} - cast(t - a as double) / {_USERS}) + 1) / {stats.PERMUTATIONS + 1}.0 as p
+  from (select {keys}, pos, bits, sum(cnt) filter (substring(bits, place + 1, 1) = '1') as s0, sum(cnt) as t, coalesce(sum(cnt) filter (grp = '{g}'), 0) as a, coalesce(s0, 0) as s
+    from (select *, exon_idx + case when grp = 'bg' then {_USERS} else 0 end as place from counts where grp in ('{g}', 'bg')) c join drawn on {'drawn.k = c.pos' if shared else 'true'} group by {keys}, pos, bits, drawn.n) group by {keys}, pos""")
+    return f"""with counts as (select {'user_id % 7' if shared else '0'} as motif, case event_type when 'click' then 'up' when 'view' then 'dn' else 'bg' end as grp, hour(ts) // {24 // positions} as pos, user_id % {_USERS} as exon_idx, count(*) as cnt from events group by all),
+drawn as (select *, row_number() over () as n from (values {values}) v(k, bits)), t as ({' union all '.join(parts)})
+select {keys}, cast(pos as int) as pos, round(max(p) filter (g = 'up'), 6) as p_up, round(max(p) filter (g = 'dn'), 6) as p_dn from t group by {keys}, pos"""
+
+
+def _permuted(spark: SparkSession, sf_dir: str, keys: list[str], positions: int, shared: bool) -> DataFrame:
+    """Counts of a hundred groups of users as exons: clicks are up, views down, everything else background."""
     e = _t(spark, sf_dir, "events")
     grp = F.when(F.col("event_type") == "click", "up").when(F.col("event_type") == "view", "dn").otherwise("bg")
-    counts = e.groupBy(grp.alias("grp"), F.lit(0).alias("region"), F.hour("ts").alias("pos"), F.col("user_id").alias("exon_idx")).agg(F.count("*").alias("cnt"))
-    n = e.agg(F.max("user_id")).first()[0] + 1
-    return summary.permutation_test(counts, summary.grid(spark, [(0, 24)]), [], dict.fromkeys(GROUPS, int(n)), stats.PERMUTATIONS, stats.SEED, shared=False)
+    motif_ = (F.col("user_id") % 7 if shared else F.lit(0).cast("bigint")).alias("motif")
+    pos = F.floor(F.hour("ts") / (24 // positions)).cast("int").alias("pos")
+    counts = e.groupBy(motif_, grp.alias("grp"), F.lit(0).alias("region"), pos, (F.col("user_id") % _USERS).alias("exon_idx")).agg(F.count("*").alias("cnt"))
+    cells = summary.grid(spark, [(0, positions)], counts.select("motif").distinct() if keys else None)
+    p = summary.permutation_test(counts if keys else counts.drop("motif"), cells, keys, dict.fromkeys(GROUPS, _USERS), stats.PERMUTATIONS, stats.SEED, shared)
+    return p.select(*keys, "pos", F.round("p_up", 6).alias("p_up"), F.round("p_dn", 6).alias("p_dn"))
+
+
+@query(_permutation_sql("motif", 24, False).replace("select motif, cast(pos", "select cast(pos"))
+def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permutation p-values of click and view counts by hour, each hour with the stream's start."""
+    return _permuted(spark, sf_dir, [], 24, False)
+
+
+@query(_permutation_sql("motif", 4, True))
+def permutation_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for seven keys, one stream through the quarters of the day."""
+    return _permuted(spark, sf_dir, ["motif"], 4, True)
 
 
 @query("""with x as (select o_orderkey as k, o_orderpriority as chr, o_custkey % 3 <> 0 as plus, o_custkey * 37 + 1100 as a, 301 + o_orderkey % 400 as n from orders),
