@@ -13,9 +13,12 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+ColumnOrName = Column | str
+
 #: Accepted names of the tests, and the header of the p-value column of each.
 METHODS = {
     "fisher": "fisher",
@@ -193,17 +196,52 @@ def bounded(p: float, clamp: bool) -> float:
     return min(1.0, max(0.0, p)) if clamp else p
 
 
-@F.pandas_udf(DoubleType())
-def fisher_column(s1: pd.Series, n1: pd.Series, s2: pd.Series, n2: pd.Series, scale: pd.Series) -> pd.Series:
-    """Fisher's p-value of sums s and sample sizes n, the cells divided by scale and rounded up; empty samples give 1."""
-    memory: dict[tuple, float] = {}
-    out = []
-    for row in zip(s1, n1, s2, n2, scale, strict=True):
-        if row not in memory:
-            a, m, c, n, w = row
-            memory[row] = 1.0 if m == 0 or n == 0 else bounded(fisher_greater(*(int(math.ceil(x / w)) for x in (a, max(0, m - a), c, max(0, n - c)))), True)
-        out.append(memory[row])
-    return pd.Series(out, dtype=float)
+#: Factorials up to this come from a table, larger ones from a series.
+_TABLE = 20
+
+
+def _log_factorial(n: Column) -> Column:
+    """log n! of a whole number as a double, by Stirling's series from _TABLE on."""
+    x = F.greatest(n, F.lit(1.0))
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    small = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(_TABLE)])
+    return F.when(n < _TABLE, F.get(small, n.cast("int"))).otherwise(series)
+
+
+def fisher_column(s1: ColumnOrName, n1: ColumnOrName, s2: ColumnOrName, n2: ColumnOrName, scale: Column) -> Column:
+    """Fisher's one-sided p-value of sums s and sample sizes n, the cells divided by scale and rounded up; empty samples and margins of 0 give 1.
+
+    Stays in the JVM: the first term of the tail follows from log-factorials, each further one from the one before. Above the mode the
+    upper tail is summed, below it the lower one, so that terms only fall; terms more than forty standard deviations on are 0.
+    """
+    s1, n1, s2, n2 = (F.col(c) if isinstance(c, str) else c for c in (s1, n1, s2, n2))
+    cells = [F.ceil(x / scale).cast("double") for x in (s1, F.greatest(F.lit(0), n1 - s1), s2, F.greatest(F.lit(0), n2 - s2))]
+    counts = F.struct(*[x.alias(n) for x, n in zip(cells, "abcd", strict=True)])
+
+    def p_value(t: Column) -> Column:
+        a, row, col, total = t["a"], t["row"], t["col"], t["total"]
+        free = total - row - col  # what the fourth cell holds beyond the first one
+        lf = _log_factorial
+
+        def term(x: Column) -> Column:
+            return F.exp(lf(col) - lf(x) - lf(col - x) + lf(total - col) - lf(row - x) - lf(free + x) - lf(total) + lf(row) + lf(total - row))
+
+        spread = F.sqrt(row / total * col * ((total - row) / total) * ((total - col) / total))
+        most = F.ceil(40 * spread) + 100
+
+        def tail(first: Column, steps: Column, ratio) -> Column:
+            start = F.struct(term(first).alias("t"), F.lit(0.0).alias("s"))
+            return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.least(steps.cast("bigint"), most)), start, lambda acc, k: F.struct((acc["t"] * ratio(k.cast("double"))).alias("t"), (acc["s"] + acc["t"]).alias("s")))["s"]
+
+        least = F.greatest(F.lit(0.0), -free)
+        up = tail(a, F.least(row, col) - a, lambda k: (col - a - k) * (row - a - k) / ((a + k + 1) * (free + a + k + 1)))
+        down = tail(a - 1, a - 1 - least, lambda k: (a - 1 - k) * (free + a - 1 - k) / ((col - a + 2 + k) * (row - a + 2 + k)))
+        above = a > F.floor((row + 1) * (col + 1) / (total + 2))
+        p = F.when(a <= least, 1.0).when(above, up).otherwise(1 - down)
+        return F.when(F.least(row, col, total - row, total - col) <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
+
+    margins = F.transform(F.array(counts), lambda t: F.struct(t["a"].alias("a"), (t["a"] + t["b"]).alias("row"), (t["a"] + t["c"]).alias("col"), (t["a"] + t["b"] + t["c"] + t["d"]).alias("total")))
+    return F.when((n1 == 0) | (n2 == 0), 1.0).otherwise(F.get(F.transform(margins, p_value), F.lit(0)))
 
 
 def rank_column(method: str, clip: bool):

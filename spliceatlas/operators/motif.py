@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ..specs import Event
 
 #: A motif table goes to every task.
 MOST_MOTIFS = 100_000
+#: Strings that an expression may stand for to be looked for with others, and expressions from which that pays.
+MOST_LITERALS, LEAST_TOGETHER = 4096, 8
 
 
 @dataclass(frozen=True)
@@ -52,8 +55,8 @@ def sequences(coords: DataFrame, genome: DataFrame, event: Event, shape: Shape)
 def matches(seqs: DataFrame, motifs: DataFrame, id_cols: list[str], shape: Shape | None = None) -> DataFrame:
     """id_cols, motif, regex, p (0-based start), m_len (of the first match) and seq_len of all leftmost non-overlapping matches.
 
-    One pass over the sequences, whose places come from the matches themselves, so a sequence of any number of matches takes
-    linear time. The motif table goes along with the function: MOST_MOTIFS rows at most, more raise ValueError.
+    One pass over the sequences for all expressions that stand for bounded lists of strings (characters, classes, alternatives), as motifs do, and
+    a search for each of the others. Places come from the matches themselves, so a sequence of any number of matches takes linear time. The motif table goes along with the function: MOST_MOTIFS rows at most, more raise ValueError.
     Sequences without a match, null ones and null expressions leave no row. With shape, matches out of its reach are left out
     and a sequence too long to have one within reach is only searched for its first match.
     """
@@ -67,34 +70,104 @@ def matches(seqs: DataFrame, motifs: DataFrame, id_cols: list[str], shape: Shape
     out = StructType([*ids, StructField("motif", StringType()), StructField("regex", StringType()), StructField("seq_len", IntegerType()), StructField("m_len", IntegerType()), StructField("p", IntegerType())])
 
     def run(batches):
-        expressions = [re.compile(rx) for _, rx in table]
+        scan = _Scan([rx for _, rx in table])
         names = pa.array([m for m, _ in table], pa.string()), pa.array([rx for _, rx in table], pa.string())
         for batch in batches:
-            for rows, which, length, first, at in _found(batch["seq"].to_pylist(), expressions, reach):
+            for rows, which, length, first, at in _found(batch["seq"].to_pylist(), scan, reach):
                 own = [batch.column(k).take(pa.array(rows)) for k in range(len(id_cols))]
                 yield pa.RecordBatch.from_arrays([*own, *(x.take(pa.array(which)) for x in names), *(pa.array(x, pa.int32()) for x in (length, first, at))], names=out.names)
 
     return slim.mapInArrow(run, out)
 
 
-def _found(texts: list[str | None], expressions: list[re.Pattern], reach: int | None):
+def literals(expression: str, most: int = MOST_LITERALS) -> set[str] | None:
+    """All strings that an expression matches, if it is made of characters, classes, alternatives and fixed repeats of one total length
+    and matches at most `most` strings; None otherwise (anchors, references, open repeats, classes by exclusion, several lengths)."""
+
+    def strings(parsed) -> list[str] | None:
+        out = [""]
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                own = [chr(arg)]
+            elif name == "IN" and all(str(o) in ("LITERAL", "RANGE") for o, _ in arg):
+                spans = [(x, x) if str(o) == "LITERAL" else x for o, x in arg]
+                own = [chr(c) for lo, hi in spans for c in range(lo, hi + 1)] if sum(hi - lo + 1 for lo, hi in spans) <= most else None
+            elif name == "SUBPATTERN" and not arg[1] and not arg[2]:
+                own = strings(arg[3])
+            elif name == "BRANCH":
+                parts = [strings(x) for x in arg[1]]
+                own = None if None in parts else [x for part in parts for x in part]
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] == arg[1] <= 64:
+                one = strings(list(arg[2]) * int(arg[0]))
+                own = one
+            else:
+                own = None
+            if own is None or len(out) * len(own) > most:
+                return None
+            out = [x + y for x in out for y in own]
+        return out
+
+    flags = re.compile(expression).flags & ~re.UNICODE.value
+    found = None if flags else strings(re._parser.parse(expression))
+    return set(found) if found and len({len(x) for x in found}) == 1 and found[0] else None
+
+
+class _Scan:
+    """All matches of a table of expressions. Those that stand for a bounded list of strings are looked for together, in one pass by an automaton
+    of all their strings; the others one by one."""
+
+    def __init__(self, expressions: list[str]):
+        lists = {e: x for e, x in ((e, literals(rx)) for e, rx in enumerate(expressions)) if x}
+        if len(lists) < LEAST_TOGETHER:
+            lists = {}
+        self.single = [(e, re.compile(rx)) for e, rx in enumerate(expressions) if e not in lists]
+        self.size = {e: len(next(iter(x))) for e, x in lists.items()}
+        owners: dict[str, list[int]] = {}
+        for e, x in lists.items():
+            for text in x:
+                owners.setdefault(text, []).append(e)
+        self.automaton = ahocorasick.Automaton() if owners else None
+        for text, own in owners.items():
+            self.automaton.add_word(text, (len(text), tuple(own)))
+        if owners:
+            self.automaton.make_automaton()
+
+    def __call__(self, text: str, reach: int | None):
+        """(expression, length of its first match, starts of its leftmost non-overlapping matches), of expressions that match."""
+        n = len(text)
+        near = lambda size: None if reach is None else (n - reach - size + 1, reach)
+        for e, expression in self.single:
+            if (one := expression.search(text)) is None:
+                continue
+            size = one.end() - one.start()
+            bounds = near(size)
+            if bounds is None:
+                yield e, size, [m.start() for m in expression.finditer(text)]
+            elif bounds[0] < bounds[1]:
+                yield e, size, [p for p in (m.start() for m in expression.finditer(text)) if bounds[0] <= p < bounds[1]]
+        if self.automaton is None or (reach is not None and n - reach - max(self.size.values()) + 1 >= reach):
+            return
+        found: dict[int, list[int]] = {}
+        for end, (size, own) in self.automaton.iter(text):
+            start = end - size + 1
+            for e in own:
+                at = found.setdefault(e, [])
+                if not at or start >= at[-1] + size:
+                    at.append(start)
+        for e, at in found.items():
+            bounds = near(self.size[e])
+            yield e, self.size[e], at if bounds is None else [p for p in at if bounds[0] <= p < bounds[1]]
+
+
+def _found(texts: list[str | None], scan: _Scan, reach: int | None):
     """Lists of row, expression, sequence length, length of the first match, and start, some matches at a time."""
     rows: list[list[int]] = [[], [], [], [], []]
     for k, text in enumerate(texts):
         if text is None:
             continue
-        n = len(text)
-        for e, expression in enumerate(expressions):
-            if (one := expression.search(text)) is None:
-                continue
-            size = one.end() - one.start()
-            if reach is None:
-                at = [m.start() for m in expression.finditer(text)]
-            elif (low := n - reach - size + 1) < reach:
-                at = [p for p in (m.start() for m in expression.finditer(text)) if low <= p < reach]
-            else:
-                continue
-            for column, values in zip(rows, ([k] * len(at), [e] * len(at), [n] * len(at), [size] * len(at), at), strict=True):
+        for e, size, at in scan(text, reach):
+            for column, values in zip(rows, ([k] * len(at), [e] * len(at), [len(text)] * len(at), [size] * len(at), at), strict=True):
                 column += values
             if len(at) and len(rows[0]) >= 1 << 16:
                 yield rows

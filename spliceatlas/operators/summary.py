@@ -35,7 +35,6 @@ def totals(counts: DataFrame, cells: DataFrame, keys: list[str], value: str = "c
 
 def fisher(total: DataFrame, sizes: dict[str, int], scale: int = 1) -> DataFrame:
     """Adds p_up and p_dn: Fisher's one-sided test of sums against the background's, cells divided by scale."""
-    session_of(total)
     for g in CONTRASTS:
         total = total.withColumn(f"p_{g}", stats.fisher_column(F.col(g), F.lit(sizes[g]), F.col("bg"), F.lit(sizes["bg"]), F.lit(scale)))
     return total

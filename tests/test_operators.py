@@ -114,11 +114,11 @@ def test_matches(spark):
 
 def test_many_matches_in_one_sequence_take_linear_time(spark):
     began = time.time()
-    list(motif._found(["AC" * 32_000], [re.compile("A")], None))
+    list(motif._found(["AC" * 32_000], motif._Scan(["A"]), None))
     assert time.time() - began < 1
-    rows = list(motif._found(["AC" * 100_000, "A"], [re.compile("A"), re.compile("C")], None))
+    rows = list(motif._found(["AC" * 100_000, "A"], motif._Scan(["A", "C"]), None))
     assert sum(len(r[0]) for r in rows) == 200_001 and len(rows) > 1
-    assert list(motif._found(["AC" * 32_000], [re.compile("A")], 300)) == []  # too long to have a match within reach of both ends
+    assert list(motif._found(["AC" * 32_000], motif._Scan(["A"]), 300)) == []  # too long to have a match within reach of both ends
 
 
 def test_a_motif_table_is_bounded(spark, monkeypatch):
@@ -390,3 +390,56 @@ def test_first_rows_of_many(spark, monkeypatch):
         got = sorted((r.pos, r.a, r.id) for r in numbering.first_rows(rows, order, 300, "pos").collect())
         assert [g[1:] for g in got] == expected and [g[0] for g in got] == list(range(1, 301))
     assert numbering.first_rows(rows.limit(0), order, 300, "pos").count() == 0
+
+
+def test_literals_of_expressions():
+    assert motif.literals("[AC]G(T|A)") == {"AGT", "AGA", "CGT", "CGA"} and motif.literals("A{3}") == {"AAA"} and motif.literals("[A-C]{2}", 9) == {x + y for x in "ABC" for y in "ABC"}
+    for other in ("A+", "A|CC", "[^A]", "^A", "A$", "(A)\\1", "A?", ".", "", "(?i)a", "[A-C]{3}x" * 9, r"\d", "A(?=C)"):
+        assert motif.literals(other) is None, other
+
+
+def test_scanning_together_equals_each_expression():
+    rnd = random.Random(4)
+    table = ["".join(rnd.choice(["A", "C", "G", "T", "[AC]", "[GT]", "[ACGT]", "[CT]"]) for _ in range(rnd.randint(1, 7))) for _ in range(60)] + ["A+C", "(AC|CA)G", "AA", "T{2}", "(C|CC)A", "é[AT]", "G$"]
+    scan = motif._Scan(table)
+    assert scan.automaton is not None and len(scan.single) == 3
+    for n in (0, 1, 5, 80, 400, 3000):
+        text = "".join(rnd.choice("ACGTACGTNé") for _ in range(n))
+        for reach in (None, 60, 1600):
+            got = {e: (size, at) for e, size, at in scan(text, reach) if at}
+            expected = {}
+            for e, rx in enumerate(table):
+                found = list(re.finditer(rx, text))
+                if found:
+                    size = found[0].end() - found[0].start()
+                    at = [m.start() for m in found if reach is None or (m.start() < reach and m.start() + size - 1 - n >= -reach)]
+                    expected |= {e: (size, at)} if at else {}
+            assert got == expected
+
+
+def test_time_hardly_grows_with_motifs():
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("ACGT") for _ in range(400_000))
+    table = ["".join(rnd.choice(["A", "C", "G", "T", "[AC]"]) for _ in range(9)) for _ in range(114)]
+
+    def seconds(expressions):
+        scan, began = motif._Scan(expressions), time.process_time()
+        assert sum(len(at) for _, _, at in scan(text, None)) > 0
+        return time.process_time() - began
+
+    few, many = (min(seconds(x) for _ in range(3)) for x in (table[:8], table))
+    assert many < 4 * few
+
+
+def test_fisher_in_the_jvm(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.randint(0, n1), n1, rnd.randint(0, n2), n2) for hi in (3, 40, 900, 60_000, 3_000_000) for _ in range(60) for n1 in [rnd.randint(0, hi)] for n2 in [rnd.randint(0, hi)]]
+    rows += [(0, 5, 0, 5), (5, 5, 5, 5), (5, 5, 0, 9), (0, 5, 9, 9), (7, 5, 3, 5), (1_000_000, 1_000_000, 0, 1_000_000)]
+    df = spark.createDataFrame(rows, "a bigint, m bigint, c bigint, n bigint")
+    for scale in (1, 10):
+        tested = df.select("*", stats.fisher_column("a", "m", "c", "n", F.lit(scale)).alias("p"))
+        assert "Python" not in tested._jdf.queryExecution().toString()
+        for r in tested.collect():
+            cells = [math.ceil(x / scale) for x in (r.a, max(0, r.m - r.a), r.c, max(0, r.n - r.c))]
+            expected = 1.0 if not r.m or not r.n else stats.fisher_greater(*cells) if max(cells) < 100_000 else None
+            assert expected is None and 0 <= r.p <= 1 or r.p == pytest.approx(expected, rel=1e-7, abs=1e-12), r
