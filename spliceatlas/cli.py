@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import io
 import logging
-import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -83,26 +83,21 @@ PATHS = ("output", "events", "isoforms", "up", "down", "background", "known_moti
 LOG = logging.getLogger("spliceatlas")
 
 
-def _log_to(folder: str, command: str) -> logging.Handler:
-    """A log file log.<command>.txt in the output folder."""
-    os.makedirs(folder, exist_ok=True)
-    handler = logging.FileHandler(os.path.join(folder, f"log.{command}.txt"), mode="w", encoding="utf-8")
-    handler.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
-    LOG.addHandler(handler)
-    LOG.setLevel(logging.INFO)
-    return handler
-
-
 def main(argv: list[str] | None = None) -> int:
-    """Relative paths are taken from the folder the command is called from. A run is logged in its output folder."""
+    """Relative paths are taken from the folder the command is called from. A run is logged, at its end, in log.<command>.txt of its output folder."""
     args = parser().parse_args(argv)
     for name in PATHS:
         if getattr(args, name, None) is not None:
             setattr(args, name, user_path(getattr(args, name)))
-    handler = _log_to(os.path.dirname(args.output) if args.command == "convert" else args.output, args.command)
+    lines = io.StringIO()
+    handler = logging.StreamHandler(lines)
+    handler.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+    LOG.addHandler(handler)
+    LOG.setLevel(logging.INFO)
     LOG.info("start: %s", " ".join(sys.argv[1:] if argv is None else argv))
+    spark = SparkSession.builder.appName(f"spliceatlas {args.command}").getOrCreate()
     try:
-        code = _run(args)
+        code = _run(spark, args)
         LOG.info("end")
         return code
     except Exception:
@@ -110,11 +105,11 @@ def main(argv: list[str] | None = None) -> int:
         raise
     finally:
         LOG.removeHandler(handler)
-        handler.close()
+        folder = args.output.rstrip("/").rpartition("/")[0] if args.command == "convert" else args.output
+        sinks.write_text(spark, f"{folder}/log.{args.command}.txt", lines.getvalue())
 
 
-def _run(args: argparse.Namespace) -> int:
-    spark = SparkSession.builder.appName(f"spliceatlas {args.command}").getOrCreate()
+def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command in ("motif-map", "clip-map"):
         analysis = "motif" if args.command == "motif-map" else "clip"
         kind = event(args.event)
@@ -138,12 +133,12 @@ def _run(args: argparse.Namespace) -> int:
     elif args.command == "convert":
         kind = event(args.event)
         rows = convert(text.read_isoforms(spark, args.input), kind, args.bayes_low, args.bayes_high)
-        body = rows.orderBy("line").select(F.array_join("f", "\t").alias("\t".join(header(kind))))
-        sinks.write_report(body, args.output)
+        sinks.write_lines(rows.orderBy("line").select(F.array_join("f", "\t").alias("\t".join(header(kind)))), args.output)
     else:
         found = exon_sets(text.fields(text.lines(spark, args.input)))
         for name, grp in ((f"highIn{args.sample1}", "up"), (f"highIn{args.sample2}", "dn"), ("background", "bg")):
-            sinks.write_report(found.where(F.col("set") == grp).orderBy("first").select(F.array_join("cols", "\t").alias("\t".join(["GeneID", "geneSymbol", "chr", "strand", *header(event("se"))[5:11]]))), f"{args.output}/{name}.txt")
+            titles = ["GeneID", "geneSymbol", "chr", "strand", *header(event("se"))[5:11]]
+            sinks.write_table(found.where(F.col("set") == grp).orderBy("first").select(*[F.get("cols", F.lit(k)).alias(t) for k, t in enumerate(titles)]), f"{args.output}/{name}.txt")
     return 0
 
 

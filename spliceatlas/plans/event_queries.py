@@ -5,6 +5,7 @@ The SQL states the formulas of each event type in full, on the coordinate column
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,8 @@ from ..functions import stats
 from ..operators import classify as K
 from ..operators import isoforms, motif, overlap, summary
 from ..operators.motif import Shape
+from ..scratch import root
+from ..sources import results, sinks
 from ..specs import EVENTS, GROUPS
 from .queries import _COUNTED, _MOTIFS, _RANKS, _SPARSE, QUERIES, SQL, _coords, _coords_sql, _counted, _motifs, _samples, _t
 
@@ -300,4 +303,24 @@ def rekeyed_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.rekeyed(coords, EVENTS["SE"])
 
 
+_RUNS = """o as (select 'run_' || o_orderstatus as run, 'c' || (o_custkey % 500) || '.' || o_orderpriority as RBP, o_orderkey % 8 as region, ((o_orderkey * 7919) % 100003 + 1) / 100004.0 as p from orders),
+s as (select run, RBP, region, min(p) as up, min(1 - p) as dn from o group by all)"""
+
+
+@query(f"""with {_RUNS}, b as (select run, RBP, min(up) as u, min(dn) as d from s group by all),
+r as (select *, row_number() over (partition by run order by u, RBP) as rank from b)
+select run, RBP, round(u, 9) as pval_up_vs_bg, round(d, 9) as pval_dn_vs_bg, round(0 - log10(u), 6) as log_pval_up, round(0 - log10(d), 6) as log_pval_dn, cast(rank as int) as rank from r where rank <= 20""")
+def result_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the summaries of three runs and, in a fourth, p-values by position under the same file names; then takes the top of each run from the folders."""
+    folder = f"{root(spark)}/runs-{uuid.uuid4().hex}"
+    p = ((F.col("o_orderkey") * 7919) % 100003 + 1) / 100004.0
+    o = _t(spark, sf_dir, "orders").select("o_orderstatus", F.concat(F.lit("c"), (F.col("o_custkey") % 500).cast("string")).alias("motif"), F.col("o_orderpriority").alias("regex"), (F.col("o_orderkey") % 8).cast("int").alias("region"), p.alias("p_up"), (1 - p).alias("p_dn"))
+    for status in ("F", "O", "P"):
+        for g in ("up", "dn"):
+            sinks.write_report(summary.min_p_summary(o.where(F.col("o_orderstatus") == status), EVENTS["SE"], g), f"{folder}/run_{status}/pVal.{g}.vs.bg.RNAmap.txt")
+    sinks.write_report(o.groupBy(F.col("region").alias("Region"), F.lit(0).alias("position")).agg(F.min("p_up").alias("fisher.exact.pVal")), f"{folder}/peaks/pVal.up.vs.bg.RNAmap.txt")
+    found = results.top_of_runs(spark, folder)
+    return found.select("run", "RBP", *[F.round(c, 9).alias(c) for c in ("pval_up_vs_bg", "pval_dn_vs_bg")], *[F.round(c, 6).alias(c) for c in ("log_pval_up", "log_pval_dn")], "rank")
+
+
 __all__ = ["QUERIES", "SQL"]

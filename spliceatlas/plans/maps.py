@@ -120,15 +120,15 @@ def clip_map(coords: DataFrame, peaks: DataFrame, event_name: str, shape: Shape
 
 
 def write_coordinates(coords: DataFrame, kind: Event, out: str) -> None:
-    """exon/{up,dn,bg}.coord.txt, in order, as coordinate replay reads them."""
+    """exon/{up,dn,bg}.coord.txt, folders in order, as coordinate replay reads them."""
     from ..operators.isoforms import header
-    from ..sources.sinks import write_report
+    from ..sources.sinks import write_table
 
     names = [c for c in coords.columns if c not in ("grp", "exon_idx")]
     titles = header(kind)[3 : 5 + kind.coordinates]
     for g in GROUPS:
         rows = coords.where(F.col("grp") == g).orderBy("exon_idx")
-        write_report(rows.select(*[F.col(c).alias(t) for c, t in zip(names, titles, strict=True)]), f"{out}/exon/{g}.coord.txt")
+        write_table(rows.select(*[F.col(c).alias(t) for c, t in zip(names, titles, strict=True)]), f"{out}/exon/{g}.coord.txt")
 
 
 def write_motif_map(result: Map, out: str, method: str = "fisher", tables: bool = False, plot: bool = False) -> None:
@@ -139,12 +139,12 @@ def write_motif_map(result: Map, out: str, method: str = "fisher", tables: bool
     label = stats.HEADERS[stats.method_name(method)]
     for g in CONTRASTS:
         write_report(result.min_p(g), f"{out}/pVal.{g}.vs.bg.RNAmap.txt")
-    write_report(result.labelled(result.points()).orderBy(*result.keys, "region", "pos"), f"{out}/points.txt")
+    write_table(result.labelled(result.points().orderBy(*result.keys, "region", "pos")), f"{out}/points.txt")
     if plot:
         # one pass over all motifs in order; the points of one map are held at a time
         rows = result.points().orderBy(*result.keys, "region", "pos").toLocalIterator(prefetchPartitions=True)
         for (name, expression), own in itertools.groupby(rows, lambda r: (r["motif"], r["regex"])):
-            write_svg(list(own), f"{out}/maps/{result.event.name}.{re.sub('[^A-Za-z0-9.-]', '_', name + '.' + expression)}.svg", result.event.labels, f"{name} {expression}", result.sizes)
+            write_svg(result.tested.sparkSession, list(own), f"{out}/maps/{result.event.name}.{re.sub('[^A-Za-z0-9.-]', '_', name + '.' + expression)}.svg", result.event.labels, f"{name} {expression}", result.sizes)
     if tables:
         named = F.concat_ws(".", *result.keys).alias("RBP")
         for g in GROUPS:
@@ -155,14 +155,14 @@ def write_motif_map(result: Map, out: str, method: str = "fisher", tables: bool
 
 def write_clip_map(result: Map, out: str, method: str = "fisher", plot: bool = False) -> None:
     """Counts, combined counts, distributions and p-values; with plot also the map as an SVG file."""
-    from ..sources.sinks import write_report, write_svg
+    from ..sources.sinks import write_report, write_svg, write_table
 
     label = stats.HEADERS[stats.method_name(method)]
     rows = result.combined().orderBy("region", "pos")
     names = {"up": "upregulated", "dn": "downregulated", "bg": "background"}
     for g, name in names.items():
         write_report(result.labelled(rows).select(F.col("region").alias("Region"), F.col("pos").alias("Position"), F.col(g).alias("RawPeakCounts"), F.col(f"mean_{g}").alias("AverageRawPeakCount")), f"{out}/{name}.RNAmap.txt")
-        write_report(result.labelled(result.values(g).orderBy("region", "pos")).select(F.col("region").alias("Region"), F.col("pos").alias("position"), "sum", "values"), f"{out}/count.dist.{name}.RNAmap.txt")
+        write_table(result.labelled(result.values(g).orderBy("region", "pos")).select(F.col("region").alias("Region"), F.col("pos").alias("position"), "sum", "values"), f"{out}/count.dist.{name}.RNAmap.txt")
     tails = {"up": "up", "dn": "down", "bg": "background"}
     write_report(result.labelled(rows).select(F.col("region").alias("Region"), F.col("pos").alias("Position"), *[F.col(g).alias(f"RawPeakCounts_{t}") for g, t in tails.items()], *[F.col(f"mean_{g}").alias(f"AverageRawPeakCount_{t}") for g, t in tails.items()]), f"{out}/combined.RNAmap.txt")
     for g in CONTRASTS:
@@ -170,4 +170,4 @@ def write_clip_map(result: Map, out: str, method: str = "fisher", plot: bool = F
     if plot:
         drawn = result.points().drop(*[f"mean_{g}" for g in GROUPS]).join(result.combined().select("region", "pos", *[f"mean_{g}" for g in GROUPS]), ["region", "pos"])
         rows = drawn.orderBy("region", "pos").collect()  # bounded: positions of one map
-        write_svg(rows, f"{out}/{result.event.name}.RNA.map.svg", result.event.labels, f"{result.event.name} RNA map", result.sizes)
+        write_svg(result.tested.sparkSession, rows, f"{out}/{result.event.name}.RNA.map.svg", result.event.labels, f"{result.event.name} RNA map", result.sizes)

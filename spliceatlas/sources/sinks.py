@@ -1,12 +1,14 @@
-"""Writers. Tables go out as folders of tab-delimited files, or, where a report of bounded size is one file, from the driver."""
+"""Writers. Tables go out as folders of tab-delimited files; reports of bounded size and drawings are single files.
+
+Both go to the file system that Spark resolves the path to, so an output folder may be a URI.
+"""
 
 from __future__ import annotations
 
 import math
-from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..specs import CONTRASTS, GROUPS
@@ -15,20 +17,32 @@ COLORS = {"up": "red", "dn": "blue", "bg": "black"}
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
-    """A folder of tab-delimited files with a header; fields are written as they are. With `by`, one folder for each value of that column."""
+    """A folder of tab-delimited files with a header; fields are written as they are. With `by`, one folder for each value of that column.
+
+    Files keep the order of a sorted table, by their names.
+    """
     writer = df.write.mode("overwrite")
     writer = writer.partitionBy(by) if by else writer
     writer.option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
+def write_lines(df: DataFrame, path: str) -> None:
+    """A folder of files of ready lines, each file with the column's name as its header."""
+    df.write.mode("overwrite").option("sep", "\x01").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file, replaced if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
 def write_report(df: DataFrame, path: str) -> None:
-    """One file of a small table, such as p-values by position or a summary by motif, row by row as they come."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with target.open("w", encoding="utf-8") as out:
-        out.write("\t".join(df.columns) + "\n")
-        for row in df.toLocalIterator():
-            out.write("\t".join("" if x is None else str(x) for x in row) + "\n")
+    """One file of a table that a map's shape or the list of motifs bounds, such as p-values by position or a summary by motif, row by row as they come."""
+    rows = ["\t".join("" if x is None else str(x) for x in row) for row in df.collect()]
+    write_text(df.sparkSession, path, "\n".join(["\t".join(df.columns), *rows]) + "\n")
 
 
 def write_fasta(seqs: DataFrame, path: str) -> None:
@@ -37,7 +51,7 @@ def write_fasta(seqs: DataFrame, path: str) -> None:
     seqs.select(F.concat(F.lit(">"), F.concat_ws(":", *[F.col(c).cast("string") for c in names]), F.lit("\n"), F.col("seq"))).write.mode("overwrite").text(path)
 
 
-def write_svg(rows: list[Row], path: str, labels: tuple[str, ...], title: str, sizes: dict[str, int]) -> None:
+def write_svg(spark: SparkSession, rows: list[Row], path: str, labels: tuple[str, ...], title: str, sizes: dict[str, int]) -> None:
     """One boxed panel for each region: mean scores by position as lines (axis on the left; up red, down blue, background black) and
     -log10 of the p-values as dashed lines (axis on the right), with a legend of the groups and their sizes.
 
@@ -63,6 +77,4 @@ def write_svg(rows: list[Row], path: str, labels: tuple[str, ...], title: str, s
     axes.append(f'<text x="{left - 40}" y="{above - 8}" font-size="9">mean score</text><text x="{right - 20}" y="{above - 8}" font-size="9">-log10 p</text>')
     names = {"up": "Upregulated", "dn": "Downregulated", "bg": "Background"}
     legend = "".join(f'<text x="{left + 150 * k}" y="32" font-size="11" fill="{COLORS[g]}">{names[g]} ({sizes[g]})</text>' for k, g in enumerate(GROUPS))
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(f'<svg xmlns="http://www.w3.org/2000/svg" width="{right + 60}" height="{height + above + 30}"><text x="10" y="16">{escape(title)}</text>{legend}{"".join(axes)}{"".join(panels)}</svg>\n', encoding="utf-8")
+    write_text(spark, path, f'<svg xmlns="http://www.w3.org/2000/svg" width="{right + 60}" height="{height + above + 30}"><text x="10" y="16">{escape(title)}</text>{legend}{"".join(axes)}{"".join(panels)}</svg>\n')

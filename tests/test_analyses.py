@@ -17,7 +17,7 @@ from spliceatlas.operators.motif import Shape
 from spliceatlas.paths import user_path
 from spliceatlas.plans import maps
 from spliceatlas.plans.queries import QUERIES, SQL
-from spliceatlas.sources import genome, text, workbook
+from spliceatlas.sources import genome, results, text, workbook
 from spliceatlas.specs import EVENTS
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -48,6 +48,12 @@ def files(tmp_path_factory):
     return top
 
 
+def written(folder):
+    """Lines of a folder of part files, in order, with the header of the first."""
+    parts = [f.read_text().splitlines() for f in sorted(folder.glob("part-*"))]
+    return parts[0][:1] + [line for p in parts for line in p[1:]]
+
+
 def test_sources(spark, files, tmp_path):
     events = text.read_events(spark, str(files / "events.txt"), EVENTS["SE"])
     assert events.count() == 30 and all(len(r.f) == 23 for r in events.collect())
@@ -128,7 +134,7 @@ def test_command_line(spark, files, tmp_path):
     iso = tmp_path / "iso.txt"
     iso.write_text("\t".join(["h"] * 18) + "\n" + "\t".join(["e", "0.3", "x", "x", "0.2", "x", "x", "0.1", "100", "c:11:20:+@c:31:40:+@c:51:60:+", "x", "0:1", "x", "1:2", "chr1", "+", "x", "x"]) + "\n")
     assert cli.main(["convert", "se", "--input", str(iso), "--output", str(tmp_path / "o.txt")]) == 0
-    assert (tmp_path / "o.txt").read_text().split("\n")[1].startswith("NA\tNA\tNA\tchr1\t+\t30\t40\t10\t20\t50\t60\tNA")
+    assert written(tmp_path / "o.txt")[1].startswith("NA\tNA\tNA\tchr1\t+\t30\t40\t10\t20\t50\t60\tNA")
     with pytest.raises(ValueError, match="underscore"):
         cli.main([*args, "--label", "a_b"])
 
@@ -178,6 +184,7 @@ def test_nothing_else_needs_the_training_data_operators(tmp_path):
     import shutil
 
     shutil.copytree(ROOT / "spliceatlas", tmp_path / "spliceatlas", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs")
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e, spliceatlas.cli, spliceatlas.streaming; q = e.queries(); assert q and not any(n.startswith('op') for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
@@ -205,3 +212,26 @@ def test_permutation_settings(monkeypatch):
         monkeypatch.setenv("SPLICEATLAS_STAT_PERMUTATIONS", given[0])
         monkeypatch.setenv("SPLICEATLAS_STAT_SEED", given[1])
         assert stats.permutation_settings() == expected
+
+
+def test_results_of_many_runs(spark, tmp_path):
+    files = {
+        "a/pVal.up.vs.bg.RNAmap.txt": "RBP\tR1\tR2\nm1\t0.5\t0.01\nm2\t0\t0.2\nm3\tNA\t2\n", "a/pVal.dn.vs.bg.RNAmap.txt": "RBP\tR1\tR2\nm1\t0.04\t1\nm4\t0.3\t0.9\n",
+        "b/pVal.up.vs.bg.RNAmap.txt": "Region\tposition\tfisher.exact.pVal\nR1\t0\t0.25\nR1\t1\tNA\n", "b/pVal.dn.vs.bg.RNAmap.txt": "RBP\tR1\n", "deep/c/pVal.up.vs.bg.RNAmap.txt": "RBP\tR1\nm1\t0.2\nm9\t0.2\n", "a/other.txt": "RBP\tR1\nm7\t0.1\n",
+    }
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    top = results.top_of_runs(spark, str(tmp_path)).collect()
+    assert {(r.run, r.rank, r.RBP, r.pval_up_vs_bg, r.pval_dn_vs_bg) for r in top} == {("a", 1, "m1", 0.01, 0.04), ("a", 2, "m2", 0.2, 1.0), ("a", 3, "m4", 1.0, 0.3), ("c", 1, "m1", 0.2, 1.0), ("c", 2, "m9", 0.2, 1.0)}
+    assert {(r.run, r.rank, r.RBP) for r in results.top_of_runs(spark, str(tmp_path), 1).collect()} == {("a", 1, "m1"), ("c", 1, "m1")}
+    assert [tuple(r) for r in results.read_positions(spark, str(tmp_path)).orderBy("position").collect()] == [("b", "up", "R1", 0, 0.25), ("b", "up", "R1", 1, None)]
+
+
+def test_output_folders_may_be_uris(spark, files, tmp_path):
+    out = (tmp_path / "u").as_uri()
+    assert cli.main(["clip-map", "se", "--events", str(files / "events.txt"), "--peak", str(files / "peaks.bed"), "--output", out, "--exon", "20", "--intron", "30", "--plots"]) == 0
+    names = {f.name for f in (tmp_path / "u").iterdir()}
+    assert {"SE.RNA.map.svg", "log.clip-map.txt", "combined.RNAmap.txt", "exon", "count.dist.background.RNAmap.txt"} <= names
+    assert "end" in (tmp_path / "u/log.clip-map.txt").read_text()
+    assert written(tmp_path / "u/exon/up.coord.txt")[0].startswith("chr\tstrand") and len(written(tmp_path / "u/exon/up.coord.txt")) > 1
