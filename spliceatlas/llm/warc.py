@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ._graph import SALTS, components, salted
 from ._store import Scratch, prepared
 
 #: Payloads from this size on are stored once.
@@ -40,15 +40,20 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Of rows with equal payloads of at least REVISIT_BYTES bytes, those with the largest id are responses and the others
     revisits that refer to it. A null payload is empty, a null url is an empty target, a null id is written as such and
-    its row is a response. Repeated rows are captures of their own. Line breaks in urls are percent-encoded.
+    its row is a response. Repeated rows are captures of their own. Line breaks in urls are percent-encoded. Other columns are ignored,
+    whatever their names.
     """
+    scratch = Scratch(pages.sparkSession)
     uri = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "\r", "%0D"), "\n", "%0A")
     body = F.coalesce(F.col(body_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), uri.alias("uri"), body.alias("body"))
     rows = rows.withColumn("digest", F.sha1(F.col("body").cast("binary"))).withColumn("size", F.octet_length("body"))
     # only payloads that occur more than once need a partner; partial aggregates keep a common one small
     first = rows.where((F.col("size") >= REVISIT_BYTES) & F.col("id").isNotNull()).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(first, "digest", "left")
+    # a written table has a known size, by which Spark broadcasts it or not; else each digest waits in SALTS places, and rows that need no partner look up a key of their own
+    first = scratch.save(first, "first").select(F.col("digest").alias("key"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    key = F.when(F.col("size") >= REVISIT_BYTES, F.col("digest")).otherwise(F.xxhash64("id", "uri").cast("string"))
+    rows = salted(rows.withColumn("key", key), "id").join(first, ["key", "salt"], "left")
     number = F.monotonically_increasing_id()
     seed = F.sha1(F.concat_ws(":", number.cast("string"), F.col("id").cast("string"), F.col("digest")).cast("binary"))
     rows = rows.withColumn("seed", seed)
@@ -150,7 +155,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     """One row for each record of the gzip-compressed archives (of any number of members) under path.
 
     Records that are cut off, or lack a usable length, a type or an id, come as type malformed, with what their header says; the
-    records after them are read. Empty archives and folders without any give no rows. concurrent_to holds all identifiers
+    records after them are read. So do records of more than MOST_RECORD bytes (1 GiB), whose payloads are not put together. Empty archives and folders without any give no rows. concurrent_to holds all identifiers
     that a record names, in order.
     """
     prepared(spark)
@@ -201,6 +206,7 @@ def assemble(records: DataFrame) -> DataFrame:
     several records of one part the one with the smallest id is in its place, the others are in related; a missing part is null.
     Records that name nothing and are not named are transactions of their own; identifiers that no record has are
     shared by those that name them. Malformed records take no part. An empty table gives an empty result.
+    A transaction is one row, so its records must fit in a task.
     records is read several times, so it should be a written table.
     """
     scratch = Scratch(records.sparkSession)
