@@ -182,6 +182,7 @@ def _indexed(rows: DataFrame, width: int, k: int, every: int, seed: int, single:
     # vectors become rows: at most (k + 1)^2 for each list, and for each query all but itself
     wide = tops.select(F.col("query_id").alias("asking"), F.explode("top").alias("t")).select("asking", F.col("t.m").alias("m"), F.col("t.i").alias("id")).join(distinct.select("id", "ids"), "id")
     near = wide.select("asking", F.transform("ids", lambda i: F.struct(F.col("m").alias("m"), i.alias("i"))).alias("top")).groupBy(F.col("asking").alias("id")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k + 1).alias("top"))
+    near = scratch.save(near, "near")  # a plain exchange in the join, so that Spark can split the queries of a common vector
     out = members.join(near, "id").select("query_id", F.slice(F.filter("top", lambda t: t["i"] != F.col("query_id")), 1, k).alias("top"))
     out = out.select("query_id", F.posexplode("top").alias("p", "t"))
     return out.select("query_id", (F.col("p") + 1).alias("rank"), F.col("t.i").alias("vec_id"), (0 - F.col("t.m")).alias("score"))
