@@ -194,7 +194,7 @@ def test_the_permutation_query_takes_all_permutations(spark, small):
     rows = QUERIES["permutation"](spark, small).collect()
     counts = [p * (stats.PERMUTATIONS + 1) for r in rows for p in (r.p_up, r.p_dn)]
     assert any(c < stats.PERMUTATIONS for c in counts)
-    assert counts == pytest.approx([round(c) for c in counts], abs=1e-6)
+    assert counts == pytest.approx([round(c) for c in counts], abs=1e-3)  # p-values come rounded to six places
 
 
 def test_user_paths(tmp_path, monkeypatch):
