@@ -75,7 +75,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, seed: int = 7, id_
     The score is the inner product in double precision; ties go to the smaller id. Rows with null ids, and
     vectors that are null, zero, empty or hold null or non-finite components take no part. Repeated ids count once, with
     their smallest vector. Vectors are compared with those of their own length, and each length has an index of its
-    own; lengths of at most LEAST_WINDOW rows, which a window holds whole, are searched exhaustively together. Every row takes part.
+    own; lengths of at most LEAST_WINDOW rows, which a window holds whole, are searched exhaustively together. Every row takes part. Other columns are ignored; an empty
+    table gives an empty result.
     """
     spark = session_of(vectors)
     scratch = Scratch(spark)

@@ -40,7 +40,8 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int =
     Components x become floor(scale * x), whatever their size (those that overflow a double then take no part); the score is their integer
     inner product (scores beyond 64 bits are held at the largest that fits); ties go to the smaller id. Rows with null ids, and vectors that are null, empty or hold null or
     non-finite components take no part; zero vectors do. Repeated ids count once, with their smallest vector. Vectors of
-    other lengths than the query's are not its candidates. Fewer candidates give fewer ranks; none give none.
+    other lengths than the query's are not its candidates. Fewer candidates give fewer ranks; none give none. Other columns are
+    ignored; an empty table gives an empty result.
     """
     spark = session_of(vectors)
     scratch = Scratch(spark)

@@ -72,7 +72,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Slots with a weight, their weights, and the bias.
 
     Rows whose crc32(id as text) mod 5 is 0 are held out. Rows with a null id, label or text are left out; of repeated
-    ids the largest label counts. Without labelled rows there are no weights and a low bias.
+    ids the largest label counts. Texts of any length are read whole, and count once each; the bound is on rows, so all features of the sample are held by one
+    worker. Other columns are ignored. Without labelled rows there are no weights and a low bias.
     """
     session_of(docs)
     wanted = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(~held_out("id"))
