@@ -99,8 +99,10 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, config:
     config = config or read_config()
     _same_settings(spark, config, output)
     before = _table(spark, f"{output}/sizes", SIZES).agg(F.countDistinct("batch"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    schema = spark.read.option("pathGlobFilter", config["files"]).parquet(source).select(config["group"], config["sequence"]).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", config["files"]).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(source)
+    # the pattern is part of the path, so a match may be a file or a folder of part files
+    files = f"{source.rstrip('/')}/{config['files']}"
+    schema = spark.read.parquet(files).select(config["group"], config["sequence"]).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(files)
     started = stream.writeStream.foreachBatch(lambda df, k: count_batch(df, k, config, output)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     started.awaitTermination()
     counts, sizes = _table(spark, f"{output}/counts", COUNTS), _table(spark, f"{output}/sizes", SIZES)
