@@ -57,7 +57,7 @@ def run(spark: SparkSession, source: str, output: str, config: dict | None = Non
     sizes = {r["grp"]: r["count"] for r in coords.groupBy("grp").count().collect()}
     log.info("read events of %s/%s; wrote %s exons to %s/exons", source, config["tables"]["events"], sizes, output)
     given = peaks.select(*[F.expr(config["peaks"][c]).alias(c) for c in ("chr", "p_start", "p_end", "height", "line")])
-    result = clip_map(coords, given, kind.name, Shape(**config["shape"]), config["method"])
+    result = clip_map(coords, given, kind.name, Shape(**config["shape"]), config["method"], unique=True)
     means = result.combined().select("region", "pos", *[f"mean_{g}" for g in GROUPS])
     tested = result.labelled(result.tested.join(means, ["region", "pos"])).select(*MAP)
     tested.repartition("region").write.mode("overwrite").partitionBy("region").parquet(f"{output}/map")

@@ -7,7 +7,7 @@ import pytest
 
 from jobs import motif_map
 from jobs.queries import QUERIES as JOBS
-from spliceatlas.operators import overlap
+from spliceatlas.operators import numbering, overlap
 from spliceatlas.operators.motif import Shape
 from spliceatlas.plans.event_queries import QUERIES
 from spliceatlas.specs import EVENTS
@@ -57,3 +57,15 @@ def test_motif_map_of_a_folder_of_part_files(spark, small, tmp_path):
     got, want = (sorted(map(tuple, JOBS["job1_motif_map"](spark, str(p)).collect())) for p in (tmp_path, small))
     assert got == want and len(got) == len(want) > 0
     assert len(motif_map.read_config()["motifs"]) == len({r[0] for r in got})
+
+
+def test_numbers_of_sparse_places(spark):
+    """No window takes the rows of a group, however far places lie apart."""
+    rows = [("a" if k % 3 else "b", (k * 7919 % 1009) * 1_000_000_000, k) for k in range(1009)]
+    df = spark.createDataFrame(rows, "grp string, first bigint, id int").repartition(4)
+    out = numbering.numbered(df, "grp", ["first"], "n")
+    got = {r.id: (r.grp, r.n) for r in out.collect()}
+    for g in "ab":
+        own = [k for _, k in sorted((place, k) for grp, place, k in rows if grp == g)]
+        assert [got[k] for k in own] == [(g, n) for n in range(len(own))]
+    assert "row_number" not in out._jdf.queryExecution().executedPlan().toString()
