@@ -1,5 +1,7 @@
 """Sums over groups are not put together by exon first; tiles, long peaks and dense tiles give what plain Python gives; folders as tables."""
 
+import itertools
+import random
 import re
 import shutil
 
@@ -7,10 +9,11 @@ import pytest
 
 from jobs import motif_map
 from jobs.queries import QUERIES as JOBS
-from spliceatlas.operators import numbering, overlap
+from spliceatlas.operators import motif, numbering, overlap
 from spliceatlas.operators.motif import Shape
 from spliceatlas.plans.event_queries import QUERIES
 from spliceatlas.specs import EVENTS
+from test_operators import restated_scan
 
 SUMS = [f"{q}{k}" for q in ("region_overlap_totals",) for k in ("", "_a3ss", "_a5ss", "_ri", "_mxe")]
 SCATTERED = [f"motif_wiring_{k}" for k in ("se", "a3ss", "a5ss", "ri", "mxe")] + ["motif_scatter", "mean_score"]
@@ -49,6 +52,42 @@ def test_tiles_against_plain_python(spark, monkeypatch, most):
     assert got == want and len(got) > 40
 
 
+def test_scaled_introns_are_not_put_together(spark, small):
+    """No shuffle by exon behind the join, no window, and nothing that names bins is sorted."""
+    plan = QUERIES["retained_intron_scan"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and not re.search(r"hashpartitioning\([^)]*exon_idx", plan)
+
+
+@pytest.mark.parametrize("most", [20_000, 2])
+@pytest.mark.parametrize("step", [1, 3])
+def test_scaled_introns_against_plain_python(spark, monkeypatch, step, most):
+    """Introns of very different lengths, at negative places and over chunks; peaks over tile borders, of many tiles, repeated and with ends exchanged; nulls."""
+    monkeypatch.setattr(overlap, "MOST_IN_BIN", most)
+    rnd, kind, shape = random.Random(step), EVENTS["RI"], Shape(20, 60, 10, step)
+    places = list(itertools.product("cd", "+-", (-700, 9_900), (3, 40, 900, 5000, 40_000)))
+    exons = [("up", k, c, strand, 0, 0, 0, a, a + n, 0) for k, (c, strand, a, n) in enumerate(places)]
+    nothing = [("up", 90, None, "+", 0, 0, 0, 10, 900, 0), ("up", 91, "c", "+", 0, 0, 0, None, 900, 0), ("up", 92, "c", None, 0, 0, 0, 10, None, 0)]
+    coords = spark.createDataFrame(exons + nothing, "grp string, exon_idx bigint, chr string, strand string, " + ", ".join(f"c{k} bigint" for k in range(2, 8)))
+    peaks = [(c, s, s + rnd.choice([0, 5, 60]), rnd.randint(0, 9)) for c in "cd" for s in (rnd.randint(-900, 45_000) for _ in range(20))]
+    peaks += [("c", 1020, 1030, 1), ("c", 9_995, 10_005, 2), ("d", 2_047, 2_048, 3), ("d", 3_005, 3_000, 4), ("c", -100_000, 300, 5), ("c", 20_000, 900_000, 6), ("c", 31_000, 60_000, 7), (*peaks[0][:3], 8)]
+    frame = spark.createDataFrame([(*p, k) for k, p in enumerate([*peaks, ("d", None, 9000, 1), ("d", 0, None, 1), (None, 0, 9000, 1)])], "chr string, p_start bigint, p_end bigint, height bigint, line bigint")
+    found = overlap.scaled_overlap(coords, frame, kind, shape).collect()
+    got, want = {(r.exon_idx, r.pos): r.total for r in found}, {}
+    bins = next(n for (_, n), letter in zip(motif.positions(kind, shape, True), kind.lengths) if letter == "i")
+    for _, k, chrom, strand, _, _, _, a, b, _ in exons:
+        totals = restated_scan(a, b - a + 1, strand == "+", 10, step, bins, [p[1:] for p in peaks if p[0] == chrom])
+        want |= {(k, place): v for place, v in enumerate(totals) if v}
+    assert got == want and len(got) == len(found) > 100
+
+
+def test_orders_repeated_count_once(spark, small, tmp_path):
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    orders.union(orders).write.parquet(str(tmp_path / "orders.parquet"))
+    shutil.copy(f"{small}/events.parquet", tmp_path / "events.parquet")
+    got, want = (sorted(map(tuple, QUERIES["retained_intron_scan"](spark, str(p)).collect())) for p in (tmp_path, small))
+    assert got == want and got
+
+
 def test_motif_map_of_a_folder_of_part_files(spark, small, tmp_path):
     """A table may be a folder, with other tables beside it."""
     spark.read.parquet(f"{small}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
